@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, simhash, tokens, topk, toxicity
+from . import decontaminate, lm, mixing, secrets, simhash, substring, tokens, topk, toxicity, warc
 from .common import load
 
 
@@ -19,10 +19,26 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(load(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.report(load(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(load(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(load(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents")).drop("source")
 
@@ -31,5 +47,12 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(load(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op5_simhash, op8_mixing, op9_top_k)}
-ORACLE_SQL = {"op8_mixing": mixing.MIX_SQL, "op9_top_k": topk.TOP_K_SQL}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(load(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_toxicity, op2_token_counts, op3_decontaminate, op4_substring_dedup, op5_simhash, op6_lm_scores, op7_warc, op8_mixing, op9_top_k, op10_secrets)
+}
+ORACLE_SQL = {"op3_decontaminate": decontaminate.REPORT_SQL, "op8_mixing": mixing.MIX_SQL, "op9_top_k": topk.TOP_K_SQL}
