@@ -47,24 +47,24 @@ def mix(docs: DataFrame, seed: int = 0, rows_per_range: int = ROWS_PER_RANGE, ke
 
     Null or empty text: size 0, taken 0. Null source: a source of its own, ranked last. Null or repeated doc_id: each row counts; rows with
     the same doc_id share a key and are ordered by size. An empty table gives no rows. Columns other than doc_id, source and text are ignored, but those named in
-    keep are carried along under their own names.
+    keep are carried along under their own names (texts then move once, with their rows; sizes and sums never carry them).
     """
+    size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size")
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key")
     extra = [F.col(c).alias(f"__keep_{i}") for i, c in enumerate(keep)]
-    sized = materialize(
-        docs.select(
-            "doc_id",
-            "source",
-            F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
-            F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"),
-            *extra,
-        )
-    )
+    sized = materialize(docs.select("doc_id", "source", size, key))
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")))
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("rows") / rows_per_range))).cast("int")
     sources = sources.select(F.col("source").alias("of"), "source_size", "rank", "target", F.least(bits, F.lit(31)).alias("bits"))
-    rows = sized.join(sources, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("range", F.expr("shiftright(cast(conv(substring(key, 1, 8), 16, 10) as bigint), 32 - bits)")).drop("bits")
+
+    def placed_in_range(rows: DataFrame) -> DataFrame:
+        found = rows.join(sources, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+        return found.withColumn("range", F.expr("shiftright(cast(conv(substring(key, 1, 8), 16, 10) as bigint), 32 - bits)")).drop("bits")
+
+    narrow = placed_in_range(sized)
+    rows = placed_in_range(docs.select("doc_id", "source", size, key, *extra)) if keep else narrow
     before = Window.partitionBy("rank").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = rows.groupBy("rank", "range").agg(F.sum("size").alias("in_range")).select(F.col("rank").alias("r_rank"), F.col("range").alias("r_range"), F.coalesce(F.sum("in_range").over(before), F.lit(0)).alias("offset"))
+    ranges = narrow.groupBy("rank", "range").agg(F.sum("size").alias("in_range")).select(F.col("rank").alias("r_rank"), F.col("range").alias("r_range"), F.coalesce(F.sum("in_range").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("rank", "range").orderBy("key", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.join(ranges, (F.col("rank") == F.col("r_rank")) & (F.col("range") == F.col("r_range"))).withColumn("start", F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     budget = F.floor("target").cast("long")

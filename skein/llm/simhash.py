@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import acos, pi
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, raw
+from .common import materialize, mix, raw
 
 LANES = np.uint64(0x0101010101010101)
 #: Buckets of at most this many fingerprints are compared pair by pair; larger ones go the exact way without pairs.
@@ -152,3 +153,83 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
     placed = rooted.join(roots, "root").select(F.col("fp").alias("of"), "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return own.join(placed, F.col("fp") == F.col("of")).select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+#: Blocks of the long fingerprints by which similar texts meet.
+BLOCKS = 64
+
+
+def long_fingerprint(h: np.ndarray, words: int) -> np.ndarray:
+    """A SimHash of 64 * words bits: each shingle hash gives one 64-bit hash for each word."""
+    out = np.zeros(words, dtype=np.uint64)
+    for k in range(words if len(h) else 0):
+        out[k] = np.packbits(bit_counts(mix(h + np.uint64(k * 0x9E3779B97F4A7C15 & (2**64 - 1)))) * 2 > len(h), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def block_keys(fp: np.ndarray) -> np.ndarray:
+    """Of fingerprints (rows of uint64 words), BLOCKS keys each: bit j of every word makes block j."""
+    out = np.zeros((len(fp), BLOCKS), dtype=np.int64)
+    shifts = np.arange(BLOCKS, dtype=np.uint64)
+    for k in range(fp.shape[1]):
+        out |= ((fp[:, k : k + 1] >> shifts & np.uint64(1)) << np.uint64(k)).astype(np.int64)
+    return out
+
+
+def share_apart(similarity: float) -> float:
+    """The share of SimHash bits in which two sets of equal size with this Jaccard similarity differ, on average: the angle between them over pi."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without all but one of each group of near copies: the one with the smallest doc_id (null last) stays.
+
+    Word shingles, A-Z lower-cased; a text of fewer words is one shingle, empty and null texts are copies of each other. Exact copies are one class
+    from the start. Classes meet where they agree in one of 64 blocks of a long SimHash; a block has two bits more than the number of rows has, so that
+    chance company stays rare at every size. In each bucket members are compared with one leader, another one in each block, never all with all, so the work
+    is linear in the rows; links are verified by the Hamming distance over all bits, which stands for the similarity to within about 0.02. Groups are
+    connected components. Repeated rows (equal doc_id and text) are copies. An empty table gives no rows; all columns stay.
+    """
+    rows = docs.count()
+    words = max(12, min(31, rows.bit_length() + 2))
+    text = F.coalesce("text", F.lit(""))
+
+    def fingerprint_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [long_fingerprint(hashes(t, shingle), words).tobytes() for t in raw(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("md"), pa.array(own, pa.binary())], names=["doc_id", "md", "fp"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text.cast("binary")).alias("md"), text.alias("text")).mapInArrow(fingerprint_all, "doc_id long, md string, fp binary")
+    classes = materialize(own.groupBy("md").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")).withColumn("node", F.xxhash64("md")))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2000):
+                part = batch.slice(a, 2000)
+                fp = np.frombuffer(b"".join(part.column("fp").to_pylist()), dtype=np.uint64).reshape(part.num_rows, words)
+                slot = block_keys(fp) | np.arange(BLOCKS, dtype=np.int64) << np.int64(words)
+                node = np.repeat(np.array(part.column("node")), BLOCKS)
+                yield pa.RecordBatch.from_arrays([pa.array(slot.ravel()), pa.array(node), pa.array(np.repeat(fp[:, 0].view(np.int64), BLOCKS))], names=["slot", "node", "word"])
+
+    members = classes.select("node", "fp").mapInArrow(meet, "slot long, node long, word long")
+    led = members.groupBy("slot").agg(F.min(F.struct(F.xxhash64("node", "slot").alias("h"), "node", "word")).alias("lead"), F.count("*").alias("n")).where("n > 1")
+    led = led.select("slot", F.col("lead.node").alias("leader"), F.col("lead.word").alias("leading"))
+    limit = share_apart(similarity)
+    close = members.join(led, "slot").where((F.col("node") != F.col("leader")) & (apart(F.col("word"), F.col("leading")) <= int(64 * limit) + 12))
+    pairs = close.select("node", "leader").distinct()
+    prints = classes.select("node", "fp")
+    other = prints.select(F.col("node").alias("leader"), F.col("fp").alias("fp2"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, words) for c in ("fp", "fp2"))
+            near = np.bitwise_count(a ^ b).sum(axis=1) <= (limit + 0.004) * 64 * words
+            yield pa.RecordBatch.from_arrays([batch.column("node").filter(pa.array(near)), batch.column("leader").filter(pa.array(near))], names=["a", "b"])
+
+    linked = pairs.join(prints, "node").join(other, "leader").select("node", "leader", "fp", "fp2").mapInArrow(verify, "a long, b long")
+    found = components(linked)
+    rooted = classes.select("md", "first", F.col("node").alias("own")).join(found, F.col("own") == F.col("node"), "left").select("md", "first", F.coalesce("root", "own").alias("root"))
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "md")).alias("best")).select(F.col("best.md").alias("__md"), F.col("best.first").alias("__first"))
+    once = Window.partitionBy("__md", "__first").orderBy(F.lit(0))
+    kept = docs.withColumn("__own", F.md5(text.cast("binary"))).join(best, (F.col("__own") == F.col("__md")) & F.col("doc_id").eqNullSafe(F.col("__first")))
+    return kept.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*docs.columns)
