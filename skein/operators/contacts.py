@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .filters import midpoint
@@ -194,5 +194,9 @@ def top_per_row(edges: DataFrame, k: int) -> DataFrame:
     return both.withColumn("rn", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("w"), "dst"))).where(F.col("rn") <= k)
 
 
-def share(a: str, b: str) -> Column:
-    return F.col(a) / F.col(b)
+
+
+def break_positions(porec: DataFrame, size: int) -> DataFrame:
+    """Fragments on contigs broken every `size` bases: the piece that holds the start, and the start within it."""
+    piece = F.floor(F.col("start_pos") / size)
+    return porec.select("read_idx", "frag", "contig", piece.alias("piece"), (F.col("start_pos") - piece * size).alias("start_pos"))

@@ -199,7 +199,7 @@ def end_adjacency(tour: DataFrame) -> DataFrame:
 def precision_recall(truth: DataFrame, test: DataFrame, *keys: str) -> DataFrame:
     """TP, FP, FN, precision, recall and F1 of two sets of rows."""
     both = truth.select(*keys).withColumn("t", F.lit(1)).join(test.select(*keys).withColumn("p", F.lit(1)), list(keys), "full")
-    s = both.agg(F.count_if("t = 1 AND p = 1").alias("tp"), F.count_if("t IS NULL").alias("fp"), F.count_if("p IS NULL").alias("fn"))
+    s = both.agg(F.count_if(F.expr("t = 1 AND p = 1")).alias("tp"), F.count_if(F.expr("t IS NULL")).alias("fp"), F.count_if(F.expr("p IS NULL")).alias("fn"))
     p, r = F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1)), F.col("tp") / F.greatest(F.col("tp") + F.col("fn"), F.lit(1))
     f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
     return s.select("tp", "fp", "fn", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f1, 6).alias("f1"))
@@ -236,7 +236,7 @@ def grouping_errors(truth: DataFrame, test: DataFrame, contigs: DataFrame) -> Da
 def orientation_errors(truth: DataFrame, test: DataFrame) -> DataFrame:
     """Per test group the contigs whose strand differs, after a flip of the whole group where most differ (not on ties)."""
     j = test.select("contig", F.col("grp").alias("grp"), F.col("strand").alias("s")).join(truth.select("contig", F.col("strand").alias("t")), "contig")
-    n = j.groupBy("grp").agg(F.count("*").alias("contigs"), F.count_if("s <> t").alias("differ"))
+    n = j.groupBy("grp").agg(F.count("*").alias("contigs"), F.count_if(F.expr("s <> t")).alias("differ"))
     flip = F.col("differ") * 2 > F.col("contigs")
     return n.select("grp", "contigs", flip.alias("flipped"), F.when(flip, F.col("contigs") - F.col("differ")).otherwise(F.col("differ")).alias("errors"))
 

@@ -87,7 +87,9 @@ def oracle(sql: str) -> str:
     ctes = ",\n".join(f"{n} AS ({FIXTURES[n]})" for n in needed(sql))
     if not ctes:
         return sql
-    return f"WITH {ctes},\n{sql[4:].lstrip()}" if re.match(r"WITH\b", sql) else f"WITH {ctes}\n{sql}"
+    if m := re.match(r"WITH( RECURSIVE)?\b", sql):
+        return f"{m[0]} {ctes},\n{sql[m.end():].lstrip()}"
+    return f"WITH {ctes}\n{sql}"
 
 
 class Tables:
