@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE2, BASE2_INV, U64, Rolling, WordHashes, pack, raw, unpack
+from .common import BASE2, BASE2_INV, U64, Rolling, distinct, pack, raw, unpack, word_hashes
 
 #: Text characters that are hashed together, and entries that one reducing group gets on average.
 CHUNK_CHARS = 8 << 20
@@ -46,8 +46,8 @@ def split(values: np.ndarray, bits: int, width: int) -> list[tuple[int, int, int
 class Words:
     """The words of a chunk as hashes, one document after the other."""
 
-    def __init__(self, texts: list[bytes], hashes: WordHashes):
-        parts = [hashes(t.split()) for t in texts]
+    def __init__(self, texts: list[bytes]):
+        parts = [word_hashes(t.split()) for t in texts]
         self.lengths = np.array([len(p) for p in parts], dtype=np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
         self.h = np.concatenate([*parts, np.zeros(0, dtype=U64)])
@@ -68,16 +68,16 @@ class Words:
 class Anchors:
     """What the three exchanges derive from a chunk, each time anew and alike."""
 
-    def __init__(self, texts: list[bytes], window: int, width: int, hashes: WordHashes, rolling: Rolling):
+    def __init__(self, texts: list[bytes], window: int, width: int, rolling: Rolling, probes: bool = True):
         self.window, self.block, self.width = window, (window + 1) // 2, width
-        self.words = Words(texts, hashes)
+        self.words = Words(texts)
         inside = self.words.inside(self.block)
         rolled = rolling(self.words.h, self.block) >> U64(64 - width)
         grid = inside & (self.words.offsets()[: len(inside)] % self.block == 0) if len(inside) else inside
         self.at = np.flatnonzero(grid)
         self.blocks, self.block_of, counts = np.unique(rolled[self.at], return_inverse=True, return_counts=True)
         self.twice = counts > 1
-        self.probes = np.unique(rolled[inside & ~grid]) if len(inside) else np.zeros(0, dtype=U64)
+        self.probes = distinct(rolled[inside & ~grid]) if probes and len(inside) else np.zeros(0, dtype=U64)
 
     def candidates(self, live: np.ndarray, rolling: Rolling, second: Rolling) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Places of the candidate windows, their distinct (64-bit, 32-bit) hashes in order, and which of these each place has."""
@@ -91,7 +91,9 @@ class Anchors:
         places = np.flatnonzero(ok)
         a = rolling(self.words.h, self.window)[places] if n else np.zeros(0, dtype=U64)
         b = (second(self.words.h, self.window)[places] >> U64(32)) if n else np.zeros(0, dtype=U64)
-        order = np.lexsort((b, a))
+        order = np.argsort(a)
+        if np.any((a[order][1:] == a[order][:-1]) & (b[order][1:] != b[order][:-1])):  # equal in 64 bits, told apart by the other 32
+            order = np.lexsort((b, a))
         a, b = a[order], b[order]
         fresh = np.ones(len(a), dtype=bool)
         fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
@@ -177,12 +179,8 @@ def repeats(docs: DataFrame, window: int = 35, chunk_chars: int = CHUNK_CHARS) -
     block_bits, window_bits = bucket_bits(entries), bucket_bits(entries // 2)
     block_bits, window_bits = min(block_bits, width - 8), min(window_bits, 24)
 
-    def tools():
-        return WordHashes(), Rolling(), Rolling(BASE2, BASE2_INV)
-
     def send_blocks(table: pa.Table) -> pa.Table:
-        hashes, rolling, _ = tools()
-        own = Anchors(raw(table["text"]), window, width, hashes, rolling)
+        own = Anchors(raw(table["text"]), window, width, Rolling())
         chunk, rows = table["chunk"][0].as_py(), []
         for bucket, a, b in split(own.blocks, block_bits, width):
             rows.append((bucket, chunk, 0, pack(own.blocks[a:b] - U64(bucket << (width - block_bits))), bits_of(own.twice[a:b])))
@@ -191,10 +189,10 @@ def repeats(docs: DataFrame, window: int = 35, chunk_chars: int = CHUNK_CHARS) -
         return messages(rows)
 
     def candidates_of(texts: list[bytes], replies: pa.Table):
-        hashes, rolling, second = tools()
-        own = Anchors(texts, window, width, hashes, rolling)
+        rolling = Rolling()
+        own = Anchors(texts, window, width, rolling, probes=False)
         live = answers(replies, 0, split(own.blocks, block_bits, width), len(own.blocks))
-        return own, own.candidates(live, rolling, second)
+        return own, own.candidates(live, rolling, Rolling(BASE2, BASE2_INV))
 
     def send_windows(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
