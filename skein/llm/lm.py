@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import U64, WordHashes, mix, pack, pack_counts, raw, unpack, unpack_counts
+from .common import U64, mix, pack, pack_counts, raw, unpack, unpack_counts, word_hashes
 from .substring import MESSAGE, bucket_bits, chunked, messages, split64
 
 #: What a score is multiplied by for each step back to a shorter context.
@@ -52,9 +52,8 @@ class Chunk:
     """The n-grams of a chunk's documents: all distinct hashes, in order, and each document's places among them."""
 
     def __init__(self, texts: list[bytes], order: int):
-        hashes = WordHashes()
         self.order = order
-        self.docs = [grams(hashes(t.lower().split()), order) for t in texts]
+        self.docs = [grams(word_hashes(t.lower().split()), order) for t in texts]
         flat = np.concatenate([*(g for d in self.docs for g in d), np.zeros(0, dtype=U64)])
         self.words = sum(len(d[0]) for d in self.docs)
         self.values, self.which, self.counts = np.unique(flat, return_inverse=True, return_counts=True)
