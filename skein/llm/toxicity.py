@@ -49,10 +49,16 @@ class Machine:
         return self.w0 + np.add.reduceat(self.w[flat], starts) + 0.5 * ((total**2).sum(1) - np.add.reduceat((v**2).sum(1), starts))
 
 
-def choose(flat: np.ndarray, of: np.ndarray, y: np.ndarray, terms: int, least: int) -> np.ndarray:
-    """The terms, in at least `least` documents, with the largest chi-square between term and label, sorted."""
+def choose(rows: list[np.ndarray], y: np.ndarray, terms: int, least: int, block: int = 512) -> np.ndarray:
+    """The terms, in at least `least` documents, with the largest chi-square between term and label, sorted. Documents are counted block by block."""
     n, pos = len(y), int(y.sum())
-    df, hits = np.bincount(flat, minlength=SPACE).astype(float), np.bincount(flat, weights=y[of], minlength=SPACE)
+    df, hits = np.zeros(SPACE), np.zeros(SPACE)
+    for a in range(0, n, block):
+        part = rows[a : a + block]
+        df += np.bincount(np.concatenate(part), minlength=SPACE)
+        toxic = [r for r, t in zip(part, y[a : a + block], strict=True) if t]
+        if toxic:
+            hits += np.bincount(np.concatenate(toxic), minlength=SPACE)
     expected = df * pos / max(n, 1)
     spread = expected * (1 - pos / max(n, 1)) * (1 - df / max(n, 1)) + 0.5
     chi = np.where(df >= least, (hits - expected) ** 2 / spread, 0)
@@ -60,30 +66,28 @@ def choose(flat: np.ndarray, of: np.ndarray, y: np.ndarray, terms: int, least: i
     return np.sort(kept[chi[kept] > 3.8])
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, terms: int = 4096, rank: int = 8, epochs: int = 30, least: int = 3, rate: float = 0.02, decay: float = 2e-6, seed: int = 5) -> Machine:
-    """Logistic loss, Adam. rows: each document's distinct hashed terms with its number of words last. Without both labels the score is the base rate."""
+def fit(rows: list[np.ndarray], y: np.ndarray, terms: int = 4096, rank: int = 8, epochs: int = 30, steps: int = 600, least: int = 3, rate: float = 0.02, decay: float = 0.15, seed: int = 5) -> Machine:
+    """Logistic loss, Adam, `epochs` passes and `steps` steps at least; weights decay by `decay` over the number of rows. rows: each document's distinct hashed terms with its number of words last. Without both labels the score is the base rate."""
     y = y.astype(float)
-    counts = np.array([r[-1] for r in rows], dtype=int)
-    terms_of = [r[:-1] for r in rows]
-    flat = np.concatenate([*terms_of, np.zeros(0, np.int64)]).astype(np.int64)
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in terms_of])
-    ids = choose(flat, of, y, terms, least) if len(rows) else np.zeros(0, np.int64)
+    ids = choose([r[:-1] for r in rows], y, terms, least) if len(rows) else np.zeros(0, np.int64)
     size = len(ids) + LENGTHS
     rng = np.random.default_rng(seed)
     base = float(np.clip((y.sum() + 0.5) / (len(y) + 1), 0.01, 0.99)) if len(y) else 0.05
     m = Machine(ids, float(np.log(base / (1 - base))), np.zeros(size), rng.normal(0, 0.02, (size, rank)))
     if not len(ids):
         return m
-    at = np.searchsorted(ids, flat)
-    at[at == len(ids)] = 0
-    ok = ids[at] == flat
-    own = np.split(at[ok], np.searchsorted(of[ok], np.arange(1, len(rows))))
-    own = [np.append(a, len(ids) + length_slot(int(n))) for a, n in zip(own, counts, strict=True)]
+
+    def kept(row: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(ids, row[:-1]), len(ids) - 1)
+        return np.append(at[ids[at] == row[:-1]], len(ids) + length_slot(int(row[-1])))
+
+    own = [kept(r) for r in rows]
+    decay /= max(1, len(rows))
     mw, vw, mv, vv, step = np.zeros(size), np.zeros(size), np.zeros_like(m.v), np.zeros_like(m.v), 0
     m0 = v0 = 0.0
-    for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for part in np.array_split(order, max(1, len(order) // 256)):
+    parts = max(1, len(rows) // 256)
+    for _ in range(max(epochs, -(-steps // parts))):
+        for part in np.array_split(rng.permutation(len(rows)), parts):
             lens = np.array([len(own[i]) for i in part])
             f = np.concatenate([own[i] for i in part])
             starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
@@ -130,6 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 16_000, **options) -
 
     got = docs.select("doc_id", "text").join(y, "doc_id").select("doc_id", "text", F.col("y").cast("int").alias("y")).mapInArrow(terms, "y int, terms binary").toArrow()
     rows = sorted(zip(got["terms"].to_pylist(), got["y"].to_pylist(), strict=True))  # the same order in every run
+    del got
     return fit([np.frombuffer(r, dtype=np.int32) for r, _ in rows], np.array([l > 0 for _, l in rows], dtype=bool), **options)
 
 
