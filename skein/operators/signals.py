@@ -100,4 +100,4 @@ def collapsed_by_mixture(copies: DataFrame, probability: float = 0.8, least: flo
         keep = (prob > probability) & (v > least)
         return pd.DataFrame({"chrom": rows["chrom"][keep], "copies": v[keep], "probability": np.round(prob[keep], 6)})
 
-    return copies.select("chrom", "copies").groupBy(F.lit(1)).applyInPandas(run, "chrom long, copies double, probability double")
+    return copies.select("chrom", "copies", F.lit(1).alias("one")).groupBy("one").applyInPandas(run, "chrom long, copies double, probability double")
