@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -109,15 +108,12 @@ def unpack(blob: bytes) -> np.ndarray:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """Unsigned counts in any order, as the narrowest of 1, 2, 4 or 8 bytes."""
-    top = int(counts.max()) if len(counts) else 0
-    width = 1 if top < 256 else 2 if top < 65536 else 4 if top < 2**32 else 8
-    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+    """Unsigned counts in any order: a byte each, and those of 255 or more in full after them."""
+    return len(counts).to_bytes(8, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u8").tobytes()
 
 
 def unpack_counts(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, dtype=f"<u{blob[0]}", offset=1).astype(np.int64)
-
-
-def batches_of(table: pa.Table, schema: pa.Schema, rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    yield from table.cast(schema).to_batches(max_chunksize=rows)
+    n = int.from_bytes(blob[:8], "little")
+    out = np.frombuffer(blob, dtype=np.uint8, offset=8, count=n).astype(np.int64)
+    out[out == 255] = np.frombuffer(blob, dtype="<u8", offset=8 + n).astype(np.int64)
+    return out

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import U64, mix, pack, pack_counts, raw, unpack, unpack_counts, word_hashes
-from .substring import MESSAGE, bucket_bits, chunked, messages, split64
+from .substring import MESSAGE, bucket_bits, chunked, messages, split
 
 #: What a score is multiplied by for each step back to a shorter context.
 BACKOFF = 0.4
@@ -22,6 +22,11 @@ CHUNK_CHARS = 8 << 20
 TOTAL = U64(0x5851F42D4C957F2D)
 
 
+def hash_bits(entries: int) -> int:
+    """Bits that tell n-grams apart: so many that of all n-grams about one in a million shares its hash with another, 64 at most."""
+    return min(64, max(40, entries.bit_length() + 20))
+
+
 def grams(h: np.ndarray, order: int) -> list[np.ndarray]:
     """Hashes of the n-grams of one document, for n from 1 to order, by starting place."""
     out = [mix(h ^ U64(1))]
@@ -51,16 +56,20 @@ def backoff(counts: list[np.ndarray], contexts: list[np.ndarray], total: int) ->
 class Chunk:
     """The n-grams of a chunk's documents: all distinct hashes, in order, and each document's places among them."""
 
-    def __init__(self, texts: list[bytes], order: int):
-        self.order = order
-        self.docs = [grams(word_hashes(t.lower().split()), order) for t in texts]
+    def __init__(self, texts: list[bytes], order: int, width: int):
+        cut = U64(64 - width)
+        self.docs = [[g >> cut for g in grams(word_hashes(t.lower().split()), order)] for t in texts]
         flat = np.concatenate([*(g for d in self.docs for g in d), np.zeros(0, dtype=U64)])
         self.words = sum(len(d[0]) for d in self.docs)
         self.values, self.which, self.counts = np.unique(flat, return_inverse=True, return_counts=True)
-        total = np.searchsorted(self.values, TOTAL)
-        self.values, self.counts = np.insert(self.values, total, TOTAL), np.insert(self.counts, total, self.words)
-        self.which = self.which + (self.which >= total)
-        self.total = int(total)
+        # the number of words goes along as one more n-gram, which may coincide with another as any two may
+        total = TOTAL >> cut
+        self.total = int(np.searchsorted(self.values, total))
+        if self.total < len(self.values) and self.values[self.total] == total:
+            self.counts[self.total] += self.words
+        else:
+            self.values, self.counts = np.insert(self.values, self.total, total), np.insert(self.counts, self.total, self.words)
+            self.which = self.which + (self.which >= self.total)
 
 
 def add_up(table: pa.Table) -> pa.Table:
@@ -73,7 +82,7 @@ def add_up(table: pa.Table) -> pa.Table:
     return messages([(r["bucket"], r["chunk"], 0, pack_counts(sums[p]), None) for r, p in zip(rows, np.split(at, np.cumsum(n)[:-1]), strict=True)])
 
 
-def scores(docs: DataFrame, order: int = 2, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def scores(docs: DataFrame, order: int = 3, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """doc_id, n_words, log_prob (sum of log10 of the words' scores), mean_log_prob (null without words) and perplexity of each document.
 
     The model is the corpus without the document itself: counts less its own. A word scores count(n-gram) / count(context) for the longest n-gram
@@ -81,22 +90,27 @@ def scores(docs: DataFrame, order: int = 2, chunk_chars: int = CHUNK_CHARS) -> D
     runs without ASCII blanks, A-Z lower-cased; every word of every document is counted and scored.
 
     Null or empty text: 0 words, log_prob 0, mean and perplexity null. A null doc_id stays null; repeated rows are documents of their own; a corpus of one document
-    backs off everywhere; an empty table gives no rows; other columns are ignored. N-grams are told apart by 64-bit hashes.
+    backs off everywhere; an empty table gives no rows; other columns are ignored. N-grams are told apart by hashes of hash_bits() bits.
     """
     keyed, chars = chunked(docs, chunk_chars)
-    bits = min(24, bucket_bits(order * max(1, chars // 6)))
+    entries = order * max(1, chars // 6)
+    bits, width = min(24, bucket_bits(entries)), hash_bits(entries)
+
+    def by_range(values: np.ndarray) -> list[tuple[int, int, int]]:
+        return split(values, bits, width)
+
 
     def send(table: pa.Table) -> pa.Table:
-        own = Chunk(raw(table["text"]), order)
+        own = Chunk(raw(table["text"]), order, width)
         number = table["chunk"][0].as_py()
-        return messages([(k, number, 0, pack(own.values[a:b] - U64(k << (64 - bits) if bits else 0)), pack_counts(own.counts[a:b])) for k, a, b in split64(own.values, bits)])
+        return messages([(k, number, 0, pack(own.values[a:b] - U64(k << (width - bits))), pack_counts(own.counts[a:b])) for k, a, b in by_range(own.values)])
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
         out = []
         if table.num_rows:
-            own = Chunk(raw(table["text"]), order)
+            own = Chunk(raw(table["text"]), order, width)
             got = {r["bucket"]: r["first"] for r in replies.to_pylist()}
-            corpus = np.concatenate([unpack_counts(got[k]) for k, _, _ in split64(own.values, bits)])
+            corpus = np.concatenate([unpack_counts(got[k]) for k, _, _ in by_range(own.values)])
             words, at = int(corpus[own.total]), 0
             for doc, parts in zip(table["doc_id"].to_pylist(), own.docs, strict=True):
                 size = sum(map(len, parts))
