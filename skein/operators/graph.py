@@ -27,20 +27,75 @@ def scale(edges: DataFrame, factors: DataFrame) -> DataFrame:
     return edges.join(one, "src").join(two, "dst").select("src", "dst", (F.col("w") * F.col("x") * F.col("y")).alias("w"))
 
 
-def normalize(edges: DataFrame, contigs: DataFrame, method: str = "svc") -> DataFrame:
-    """Weights divided by a function of both contigs: degrees (vc), their roots (svc), roots of lengths (geom), logs of lengths (log), lengths in 10 kb (density), degree by length (len_deg)."""
+def vertex_weights(vertices: DataFrame, method: str = "svc", alpha: float = 1.0, beta: float = 1.0) -> DataFrame:
+    """(contig, nw): the factor by which a contig scales its edges. vertices: contig, length, degree (its counts in the incidence); both count as 1 where they aren't positive.
+
+    none, geom 1/sqrt(length), density 1/length, log 1/sqrt(ln(1 + length / median)), len_deg length**(-alpha/2) * degree**(-beta/2), vc 1/sqrt(degree),
+    svc 1/sqrt(degree + half of what its length would get at the overall density), hybrid with both relative to their medians; any other name: geom.
+    """
+    tiny = 1e-9
+    v = vertices.select("contig", F.when(F.col("length") > 0, F.col("length")).otherwise(1).cast("double").alias("a"), F.when(F.col("degree") > 0, F.col("degree")).otherwise(1).cast("double").alias("d"))
+    if method in ("log", "svc", "hybrid"):
+        v = v.join(F.broadcast(v.agg(F.percentile("a", F.lit(0.5)).alias("ma"), F.percentile("d", F.lit(0.5)).alias("md"), (F.sum("d") / F.sum("a")).alias("overall"))), F.lit(True))
+    a, d = F.col("a"), F.col("d")
     if method == "none":
-        return edges.select("src", "dst", "w")
-    d = degrees(edges).join(contigs, "contig") if method in ("vc", "svc", "len_deg") else contigs
-    by = {"vc": 1 / F.col("degree") if "degree" in d.columns else None, "svc": 1 / F.sqrt("degree") if "degree" in d.columns else None, "len_deg": F.col("length") / F.col("degree") if "degree" in d.columns else None, "geom": 1 / F.sqrt(F.col("length").cast("double")), "log": 1 / F.log(1 + F.col("length")), "density": 1e4 / F.col("length")}
-    return scale(edges, d.select("contig", by[method].alias("nw")))
+        nw = F.lit(1.0)
+    elif method == "density":
+        nw = 1 / a
+    elif method == "log":
+        nw = 1 / F.sqrt(F.greatest(F.log1p(a / F.greatest("ma", F.lit(1.0))), F.lit(tiny)))
+    elif method == "len_deg":
+        nw = 1 / (F.pow(a, F.lit(alpha / 2)) * F.pow(d, F.lit(beta / 2)))
+    elif method == "vc":
+        nw = 1 / F.sqrt(d)
+    elif method == "svc":
+        nw = 1 / F.sqrt(d + 0.5 * a * F.col("overall"))
+    elif method == "hybrid":
+        nw = 1 / F.sqrt(F.pow(F.greatest(a / F.greatest("ma", F.lit(1.0)), F.lit(tiny)), F.lit(alpha)) * F.pow(F.greatest(d / F.greatest("md", F.lit(1.0)), F.lit(tiny)), F.lit(beta)))
+    else:
+        nw = 1 / F.sqrt(a)
+    return v.select("contig", nw.alias("nw"))
+
+
+def vertices(incidence: DataFrame, contigs: DataFrame) -> DataFrame:
+    """contig, length and degree: the sum of its counts in the incidence."""
+    return incidence.groupBy("contig").agg(F.sum("cnt").alias("degree")).join(contigs, "contig")
 
 
-def reweight(edges: DataFrame, prune: DataFrame, allelic: float = 0.0, weak: float = 0.0) -> DataFrame:
-    """Weights times the allelic factor for pruned pairs of type 0, times the weak factor for type 1. prune: c1 < c2, type."""
+def normalize(edges: DataFrame, vertices_: DataFrame, method: str = "svc") -> DataFrame:
+    return edges.select("src", "dst", "w") if method == "none" else scale(edges, vertex_weights(vertices_, method))
+
+
+def reweight(edges: DataFrame, prune: DataFrame, allelic: float | str = 0.0, weak: float = 0.0) -> DataFrame:
+    """Edges with pruned pairs changed. prune: c1 < c2 and type, 0 allelic or 1 weak; pairs without an edge count as weight 0 and may get one.
+
+    Weak pairs: times `weak`. Allelic pairs: 0 sets 0; a negative factor multiplies; a positive one gives (w + half the 90th percentile) * factor; 'power'
+    2 w + mean / 2; 'maximum' the larger of 10 w and 2 mean; 'dynamic' 2 w ** 1.2; 'auto' a twentieth of the root of both row sums' product. Mean and
+    percentile are those of the symmetric matrix's entries. Pairs whose weight becomes 0 are left out.
+    """
     p = prune.select(F.col("c1").alias("src"), F.col("c2").alias("dst"), "type")
-    factor = F.when(F.col("type") == 0, allelic).when(F.col("type") == 1, weak).otherwise(1.0)
-    return edges.join(p, ["src", "dst"], "left").select("src", "dst", (F.col("w") * factor).alias("w"))
+    e = edges.select("src", "dst", "w").join(p, ["src", "dst"], "full").withColumn("w", F.coalesce("w", F.lit(0.0)))
+    w = F.col("w")
+    if isinstance(allelic, str) or allelic > 0:
+        data = both_ways(edges, diagonal=True)
+        e = e.join(F.broadcast(data.agg(F.coalesce(F.avg("w"), F.lit(1.0)).alias("mean"), F.coalesce(F.percentile("w", F.lit(0.9)), F.lit(1.0)).alias("p90"))), F.lit(True))
+    if allelic == "auto":
+        sums = data.groupBy("src").agg(F.sum("w").alias("r"))
+        e = e.join(sums.select("src", F.col("r").alias("r1")), "src", "left").join(sums.select(F.col("src").alias("dst"), F.col("r").alias("r2")), "dst", "left")
+        new = F.sqrt(F.coalesce("r1", F.lit(1.0)) * F.coalesce("r2", F.lit(1.0))) * 0.05
+    elif allelic == "power":
+        new = w * 2 + F.col("mean") * 0.5
+    elif allelic == "maximum":
+        new = F.greatest(w * 10, F.col("mean") * 2)
+    elif allelic == "dynamic":
+        new = F.pow(w, F.lit(1.2)) * 2
+    elif isinstance(allelic, str):
+        raise ValueError(f"no such mode: {allelic}")
+    elif allelic > 0:
+        new = (w + F.col("p90") * 0.5) * allelic
+    else:
+        new = w * allelic
+    return e.select("src", "dst", F.when(F.col("type") == 0, new).when(F.col("type") == 1, w * weak).otherwise(w).alias("w")).where("w <> 0")
 
 
 def vc_balance(edges: DataFrame) -> DataFrame:

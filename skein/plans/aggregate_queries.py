@@ -148,44 +148,67 @@ def a13_star_projection(t):
     return c.clique(incidence(t), most=15, cis=False, by_sum=True).select("src", "dst", r6("w").alias("w"))
 
 
-FACTORS = (
-    "dg AS (SELECT contig, sum(w) AS d FROM (SELECT src AS contig, w FROM cq WHERE src <> dst UNION ALL SELECT dst, w FROM cq WHERE src <> dst) GROUP BY contig)"
-)
+VERTICES = "vx AS (SELECT contig, CAST(length AS DOUBLE) AS a, CAST(sum(cnt) AS DOUBLE) AS d FROM p2 JOIN contigs USING (contig) GROUP BY contig, length), vm AS (SELECT median(a) AS ma, median(d) AS md, sum(d) / sum(a) AS overall FROM vx)"
+#: The factor of a contig by method, as SQL.
+NW = {
+    "geom": "1 / sqrt(a)",
+    "density": "1 / a",
+    "log": "1 / sqrt(ln(1 + a / ma))",
+    "len_deg": "1 / (sqrt(a) * sqrt(d))",
+    "vc": "1 / sqrt(d)",
+    "svc": "1 / sqrt(d + 0.5 * a * overall)",
+    "hybrid": "1 / sqrt((a / ma) * (d / md))",
+}
 
 
-@query(f"WITH {PRUNED_CLIQUE}, {FACTORS} SELECT src, dst, round(w / sqrt(a.d * b.d), 6) AS w FROM cq JOIN dg a ON src = a.contig JOIN dg b ON dst = b.contig WHERE src <> dst")
-def a14_normalize_svc(t):
-    from ..operators.graph import normalize
+def normalize_sql(method: str) -> str:
+    return f"WITH {PRUNED_CLIQUE}, {VERTICES}, nw AS (SELECT contig, {NW[method]} AS x FROM vx, vm) SELECT src, dst, round(w * p.x * q.x * 1e6, 6) AS w FROM cq JOIN nw p ON src = p.contig JOIN nw q ON dst = q.contig WHERE src <> dst"
 
-    return normalize(pruned_clique(t).where("src <> dst"), t.contigs, "svc").select("src", "dst", r6("w").alias("w"))
 
+def normalized(t, method):
+    from ..operators import graph as g
+
+    v = g.vertices(f.min_contacts(incidence(t), 25), t.contigs)
+    return g.normalize(pruned_clique(t).where("src <> dst"), v, method)
 
-@query(f"WITH {PRUNED_CLIQUE}, {FACTORS} SELECT src, dst, round(w / (a.d * b.d), 12) AS w FROM cq JOIN dg a ON src = a.contig JOIN dg b ON dst = b.contig WHERE src <> dst")
-def a14_normalize_vc(t):
-    from ..operators.graph import normalize
 
-    return normalize(pruned_clique(t).where("src <> dst"), t.contigs, "vc").select("src", "dst", F.round("w", 12).alias("w"))
+def normalized_e6(t, method):
+    return normalized(t, method).select("src", "dst", r6(F.col("w") * 1e6).alias("w"))
 
 
-@query(f"WITH {PRUNED_CLIQUE} SELECT src, dst, round(w / sqrt(CAST(a.length AS DOUBLE) * b.length), 12) AS w FROM cq JOIN contigs a ON src = a.contig JOIN contigs b ON dst = b.contig WHERE src <> dst")
+@query(normalize_sql("geom"))
 def a14_normalize_geom(t):
-    from ..operators.graph import normalize
+    return normalized_e6(t, "geom")
 
-    return normalize(pruned_clique(t).where("src <> dst"), t.contigs, "geom").select("src", "dst", F.round("w", 12).alias("w"))
+
+@query(normalize_sql("density"))
+def a14_normalize_density(t):
+    return normalized_e6(t, "density")
 
 
-@query(f"WITH {PRUNED_CLIQUE} SELECT src, dst, round(w / (ln(1 + a.length) * ln(1 + b.length)), 9) AS w FROM cq JOIN contigs a ON src = a.contig JOIN contigs b ON dst = b.contig WHERE src <> dst")
+@query(normalize_sql("log"))
 def a14_normalize_log(t):
-    from ..operators.graph import normalize
+    return normalized_e6(t, "log")
 
-    return normalize(pruned_clique(t).where("src <> dst"), t.contigs, "log").select("src", "dst", F.round("w", 9).alias("w"))
 
+@query(normalize_sql("len_deg"))
+def a14_normalize_len_deg(t):
+    return normalized_e6(t, "len_deg")
 
-@query(f"WITH {PRUNED_CLIQUE} SELECT src, dst, round(w / (CAST(a.length AS DOUBLE) * b.length) * 1e8, 9) AS w FROM cq JOIN contigs a ON src = a.contig JOIN contigs b ON dst = b.contig WHERE src <> dst")
-def a14_normalize_density(t):
-    from ..operators.graph import normalize
 
-    return normalize(pruned_clique(t).where("src <> dst"), t.contigs, "density").select("src", "dst", F.round("w", 9).alias("w"))
+@query(normalize_sql("vc"))
+def a14_normalize_vc(t):
+    return normalized_e6(t, "vc")
+
+
+@query(normalize_sql("svc"))
+def a14_normalize_svc(t):
+    return normalized_e6(t, "svc")
+
+
+@query(normalize_sql("hybrid"))
+def a14_normalize_hybrid(t):
+    return normalized_e6(t, "hybrid")
 
 
 @query(f"WITH {PRUNED_CLIQUE} SELECT src, dst, round(w * (CASE WHEN src % 7 = 0 THEN 0.5 ELSE 1 END) * (CASE WHEN dst % 7 = 0 THEN 0.5 ELSE 1 END), 6) AS w FROM cq")
@@ -196,12 +219,54 @@ def a15_normalize_adjacency(t):
     return scale(pruned_clique(t), weights).select("src", "dst", r6("w").alias("w"))
 
 
-@query(f"WITH {PRUNED_CLIQUE} SELECT src, dst, round(CASE WHEN c1 IS NULL THEN w WHEN similarity >= 0.8 THEN 0 ELSE w * 0.25 END, 6) AS w FROM cq LEFT JOIN alleles ON src = c1 AND dst = c2")
-def a16_reweight(t):
-    from ..operators.graph import reweight
+def reweight_sql(new: str) -> str:
+    return (
+        f"WITH {PRUNED_CLIQUE}, bw AS (SELECT src, dst, w FROM cq UNION ALL SELECT dst, src, w FROM cq WHERE src <> dst), st AS (SELECT avg(w) AS mean, quantile_cont(w, 0.9) AS p90 FROM bw), rs AS (SELECT src, sum(w) AS r FROM bw GROUP BY src), "
+        "pt AS (SELECT c1, c2, CASE WHEN similarity >= 0.8 THEN 0 ELSE 1 END AS type FROM alleles), e AS (SELECT coalesce(src, c1) AS src, coalesce(dst, c2) AS dst, coalesce(w, 0) AS w, type FROM cq FULL JOIN pt ON src = c1 AND dst = c2), "
+        f"x AS (SELECT e.src, e.dst, CASE WHEN type = 0 THEN {new} WHEN type = 1 THEN w * 0.25 ELSE w END AS v FROM e LEFT JOIN (SELECT src, r AS r1 FROM rs) p ON p.src = e.src LEFT JOIN (SELECT src, r AS r2 FROM rs) q ON q.src = e.dst, st) SELECT src, dst, round(v, 6) AS w FROM x WHERE v <> 0"
+    )
+
+
+def reweighted(t, allelic):
+    from ..operators import graph as g
 
     prune = t.alleles.select("c1", "c2", F.when(F.col("similarity") >= 0.8, 0).otherwise(1).alias("type"))
-    return reweight(pruned_clique(t), prune, allelic=0.0, weak=0.25).select("src", "dst", r6("w").alias("w"))
+    return g.reweight(pruned_clique(t), prune, allelic=allelic, weak=0.25).select("src", "dst", r6("w").alias("w"))
+
+
+@query(reweight_sql("0"))
+def a16_reweight_zero(t):
+    return reweighted(t, 0.0)
+
+
+@query(reweight_sql("w * -0.5"))
+def a16_reweight_negative(t):
+    return reweighted(t, -0.5)
+
+
+@query(reweight_sql("(w + p90 * 0.5) * 3"))
+def a16_reweight_factor(t):
+    return reweighted(t, 3.0)
+
+
+@query(reweight_sql("w * 2 + mean * 0.5"))
+def a16_reweight_power(t):
+    return reweighted(t, "power")
+
+
+@query(reweight_sql("greatest(w * 10, mean * 2)"))
+def a16_reweight_maximum(t):
+    return reweighted(t, "maximum")
+
+
+@query(reweight_sql("pow(w, 1.2) * 2"))
+def a16_reweight_dynamic(t):
+    return reweighted(t, "dynamic")
+
+
+@query(reweight_sql("sqrt(coalesce(r1, 1) * coalesce(r2, 1)) * 0.05"))
+def a16_reweight_auto(t):
+    return reweighted(t, "auto")
 
 
 @query(f"WITH {PRUNED_CLIQUE}, s AS (SELECT src, dst, w FROM cq UNION ALL SELECT dst, src, w FROM cq WHERE src <> dst), r AS (SELECT src, sum(w) AS r FROM s GROUP BY src) SELECT s.src, s.dst, round(s.w / (a.r * b.r), 12) AS w FROM s JOIN r a ON s.src = a.src JOIN r b ON s.dst = b.src")

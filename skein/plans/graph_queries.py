@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import contacts as c
+from ..operators import filters as f
 from ..operators import graph as g
 from ..operators import scoring as s
 from ..operators import tables as tb
 from ..operators.common import r6
 from ..operators.intervals import merge
-from .aggregate_queries import BEST, DEPTH, PIXELS, PRUNED_CLIQUE, SCORES, best_two, depth, pixels, pruned_clique
+from .aggregate_queries import BEST, DEPTH, PIXELS, PRUNED_CLIQUE, SCORES, best_two, depth, normalized, pixels, pruned_clique
 from .filter_queries import HE, incidence, island_sql
 from .registry import query
 
@@ -34,7 +35,7 @@ def g1_edge_reweight(t):
 
 @query(None)
 def g1_communities(t):
-    return g.communities(g.normalize(pruned_clique(t).where("src <> dst"), t.contigs, "svc"))
+    return g.communities(normalized(t, "svc"))
 
 
 @query(None)
@@ -46,14 +47,14 @@ def g2_star_communities(t):
 def g3_resolution_search(t):
     from ..plans.partition import to_group_count
 
-    return to_group_count(g.normalize(pruned_clique(t).where("src <> dst"), t.contigs, "svc"), 8)
+    return to_group_count(normalized(t, "svc"), 8)
 
 
 @query(None)
 def g5_two_rounds(t):
     from ..plans.partition import two_rounds
 
-    return two_rounds(pruned_clique(t), t.contigs, t.alleles)
+    return two_rounds(pruned_clique(t), g.vertices(f.min_contacts(incidence(t), 25), t.contigs), t.alleles)
 
 
 @query(None)
