@@ -206,3 +206,39 @@ def test_stream_equals_batch(spark, tmp_path):
     q = s.drain(s.pixel_stream(s.pairs_stream(spark, str(tmp_path / "in"), 2), contigs, 10), "pixels_out")
     assert sorted(map(tuple, spark.table("pixels_out").collect())) == sorted(map(tuple, c.pixels(pairs, contigs, 10).collect()))
     q.stop()
+
+
+def test_orders_and_clusters():
+    from skein.operators import chains as ch
+
+    d = np.array([[0, 0.1, 0.9, 0.9], [0.1, 0, 0.9, 0.8], [0.9, 0.9, 0, 0.2], [0.9, 0.8, 0.2, 0]])
+    assert ch.average_linkage([5, 6, 7, 8], d, 0.5) == {5: 5, 6: 5, 7: 7, 8: 7}
+    assert ch.ordered_by_similarity([5, 6, 7, 8], 1 - d) in ([5, 6, 8, 7], [7, 8, 6, 5])
+    w = np.zeros((6, 6))
+    for a, b in zip((2, 0, 4, 1, 5), (0, 4, 1, 5, 3), strict=True):
+        w[a, b] = w[b, a] = 5
+    assert ch.nearest_path(np.arange(6), w) in ([2, 0, 4, 1, 5, 3], [3, 5, 1, 4, 0, 2])
+
+
+def test_balanced_rows_are_even(spark):
+    from skein.operators import chains as ch
+
+    rng = np.random.default_rng(2)
+    px = frame(spark, "bin1_id long, bin2_id long, n long", *[(i, j, int(rng.integers(1, 30))) for i in range(20) for j in range(i, 20)])
+    bins = frame(spark, "bin_id long, chrom string", *[(i, "a") for i in range(20)], (20, "a"), (21, "b"))
+    w = {r.bin_id: r.weight for r in ch.balanced(px, bins, percentile=1.0).collect()}
+    assert len(w) == 22 and sum(x is None or np.isnan(x) for x in w.values()) == 2
+    m = np.zeros((20, 20))
+    for r in px.collect():
+        m[r.bin1_id, r.bin2_id] = m[r.bin2_id, r.bin1_id] = r.n
+    v = np.array([w[i] for i in range(20)])
+    sums = v * (m @ v)
+    assert np.ptp(sums) < 1e-2 * sums.mean()
+
+
+def test_chains_by_hand(spark):
+    from skein.operators import chains as ch
+
+    rows = [("r", 0, "c", "+", 100, 200, 1), ("r", 100, "c", "+", 200, 300, 2), ("r", 200, "c", "+", 900, 990, 3), ("r", 300, "d", "-", 500, 600, 4), ("r", 400, "d", "-", 400, 500, 5)]
+    got = ch.read_chains(frame(spark, "read_name string, read_start long, chrom string, strand string, start_pos long, end_pos long, line_id long", *rows), 100)
+    assert sorted((r.chrom, r.start_pos, r.end_pos, r.windows) for r in got.collect()) == [("c", 100, 300, 2), ("d", 400, 600, 2)]
