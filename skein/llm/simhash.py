@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, raw
+from .common import distinct, materialize, mix, raw
 
 LANES = np.uint64(0x0101010101010101)
 #: Buckets of at most this many fingerprints are compared pair by pair; larger ones go the exact way without pairs.
@@ -181,14 +181,45 @@ def share_apart(similarity: float) -> float:
     return acos(2 * similarity / (1 + similarity)) / pi
 
 
+#: Links whose share of differing bits is this close to the limit are settled by their shingles; the share's deviation is about 0.01.
+DOUBT = 0.025
+#: Nodes whose texts are looked for by a broadcast of their md5 and node, some 100 bytes each; more are joined.
+LOOKED_FOR = 200_000
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingle hashes have the similarity. texts: md, text; nodes: md, node. Only the pairs' own texts are fetched."""
+    wanted = materialize(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"))
+    wanted = F.broadcast(wanted) if wanted.count() <= LOOKED_FOR else wanted
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [distinct(hashes(t, shingle)).tobytes() for t in raw(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.binary())], names=["node", "held"])
+
+    held = texts.join(wanted, "md").select("node", "text").mapInArrow(sets, "node long, held binary").groupBy("node").agg(F.min("held").alias("held"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                both = len(a) + len(b) - len(distinct(np.concatenate([a, b])))
+                keep.append(both >= similarity * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+
+    one, two = held.select(F.col("node").alias("a"), F.col("held").alias("x")), held.select(F.col("node").alias("b"), F.col("held").alias("y"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without all but one of each group of near copies: the one with the smallest doc_id (null last) stays.
 
     Word shingles, A-Z lower-cased; a text of fewer words is one shingle, empty and null texts are copies of each other. Exact copies are one class
     from the start. Classes meet where they agree in one of 64 blocks of a long SimHash; a block has two bits more than the number of rows has, so that
     chance company stays rare at every size. In each bucket members are compared with one leader, another one in each block, never all with all, so the work
-    is linear in the rows; links are verified by the Hamming distance over all bits, which stands for the similarity to within about 0.02. Groups are
-    connected components. Repeated rows (equal doc_id and text) are copies. An empty table gives no rows; all columns stay.
+    is linear in the rows; links are verified by the Hamming distance over all bits, those near the limit by their shingles. Groups are connected
+    components. Repeated rows (equal doc_id and text) are copies. An empty table gives no rows; all columns stay.
     """
     rows = docs.count()
     words = max(12, min(31, rows.bit_length() + 2))
@@ -196,7 +227,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
 
     def fingerprint_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [long_fingerprint(hashes(t, shingle), words).tobytes() for t in raw(batch.column("text"))]
+            own = [long_fingerprint(distinct(hashes(t, shingle)), words).tobytes() for t in raw(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("md"), pa.array(own, pa.binary())], names=["doc_id", "md", "fp"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text.cast("binary")).alias("md"), text.alias("text")).mapInArrow(fingerprint_all, "doc_id long, md string, fp binary")
@@ -223,11 +254,13 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, words) for c in ("fp", "fp2"))
-            near = np.bitwise_count(a ^ b).sum(axis=1) <= (limit + 0.004) * 64 * words
-            yield pa.RecordBatch.from_arrays([batch.column("node").filter(pa.array(near)), batch.column("leader").filter(pa.array(near))], names=["a", "b"])
+            far = np.bitwise_count(a ^ b).sum(axis=1) / (64 * words)
+            near = pa.array(far <= limit + DOUBT)
+            yield pa.RecordBatch.from_arrays([batch.column("node").filter(near), batch.column("leader").filter(near), pa.array(far <= limit - DOUBT).filter(near)], names=["a", "b", "sure"])
 
-    linked = pairs.join(prints, "node").join(other, "leader").select("node", "leader", "fp", "fp2").mapInArrow(verify, "a long, b long")
-    found = components(linked)
+    linked = materialize(pairs.join(prints, "node").join(other, "leader").select("node", "leader", "fp", "fp2").mapInArrow(verify, "a long, b long, sure boolean"))
+    exact = confirmed(linked.where("NOT sure").select("a", "b"), docs.select(F.md5(text.cast("binary")).alias("md"), text.alias("text")), classes.select("md", "node"), shingle, similarity)
+    found = components(linked.where("sure").select("a", "b").unionByName(exact))
     rooted = classes.select("md", "first", F.col("node").alias("own")).join(found, F.col("own") == F.col("node"), "left").select("md", "first", F.coalesce("root", "own").alias("root"))
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "md")).alias("best")).select(F.col("best.md").alias("__md"), F.col("best.first").alias("__first"))
     once = Window.partitionBy("__md", "__first").orderBy(F.lit(0))
