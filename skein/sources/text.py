@@ -240,6 +240,6 @@ def is_pairs_store(spark: SparkSession, path: str) -> bool:
     try:
         return {"chrom1", "pos1", "chrom2", "pos2", "tier"} <= set(spark.read.parquet(path).columns)
     except Exception as error:
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
+        if any(x in str(error) for x in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "CANNOT_READ_FILE_FOOTER", "FAILED_READ_FILE", "is not a Parquet file")):
             return False
         raise
