@@ -156,8 +156,8 @@ def merge_bins(pixels_: DataFrame, mapping: DataFrame, least: int = 1, cis: bool
 
 
 def hyperedges(porec: DataFrame) -> DataFrame:
-    """Per read and contig the number of fragments and the best mapq."""
-    return porec.groupBy("read_idx", "contig").agg(F.count("*").alias("cnt"), F.max("mapq").alias("mapq"))
+    """Per read and contig the number of fragments and the best mapq. Dealt out by read, so that what follows read by read needs no further exchange."""
+    return porec.repartition("read_idx").groupBy("read_idx", "contig").agg(F.count("*").alias("cnt"), F.max("mapq").alias("mapq"))
 
 
 def pair_hyperedges(pairs: DataFrame) -> DataFrame:
@@ -166,14 +166,16 @@ def pair_hyperedges(pairs: DataFrame) -> DataFrame:
     return e.select("edge", F.explode(F.array("chrom1", "chrom2")).alias("contig")).withColumn("cnt", F.lit(1))
 
 
-def clique(incidence: DataFrame, least: float = 0.0, most: int | None = None, cis: bool = True, by_sum: bool = False) -> DataFrame:
+def clique(incidence: DataFrame, least: float = 0.0, most: int | None = None, cis: bool = True, by_sum: bool = False, fewest: int = 1) -> DataFrame:
     """Weights between contigs: over the hyperedges that hold both, the product of counts over max(contigs - 1, 1).
 
-    One exchange by read: the order of each read is a window over the same partitioning as the self-join. `most` bounds the order, and so the fan-out,
-    before rows are expanded. by_sum divides by the sum of counts less one instead. src <= dst; with cis=False without the diagonal.
+    One exchange by read, shared by both sides of the self-join: the order of each read is a window over the same partitioning. `fewest` and `most` bound
+    the order, and so the fan-out, before rows are expanded. by_sum divides by the sum of counts less one instead. src <= dst; with cis=False without the diagonal.
     """
     w = Window.partitionBy("read_idx")
     e = incidence.select("read_idx", "contig", "cnt").withColumn("k", F.sum("cnt").over(w) if by_sum else F.count("*").over(w))
+    if fewest > 1:
+        e = e.where(F.col("k") >= fewest)
     if most is not None:
         e = e.where(F.col("k") <= most)
     e = e.withColumn("f", F.greatest(F.col("k") - 1, F.lit(1)).cast("double"))

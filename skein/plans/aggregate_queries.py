@@ -108,8 +108,7 @@ CLIQUE_FROM = "FROM he a JOIN he b ON a.read_idx = b.read_idx JOIN n ON n.read_i
 
 @query(f"WITH {ORDERED} SELECT a.contig AS src, b.contig AS dst, round({CLIQUE_SUM}, 6) AS w {CLIQUE_FROM} HAVING {CLIQUE_SUM} >= 2.0")
 def a11_clique_expansion(t):
-    he = f.order_between(incidence(t), 2, 50)
-    return c.clique(he, 2.0).select("src", "dst", r6("w").alias("w"))
+    return c.clique(incidence(t), 2.0, fewest=2, most=50).select("src", "dst", r6("w").alias("w"))
 
 
 PRUNED = (

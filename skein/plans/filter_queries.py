@@ -114,7 +114,7 @@ HE = "he AS (SELECT read_idx, contig, count(*) AS cnt FROM porec WHERE mapq >= 1
 
 
 def incidence(t):
-    return t.porec.where("mapq >= 1").groupBy("read_idx", "contig").agg(F.count("*").alias("cnt"))
+    return t.porec.where("mapq >= 1").repartition("read_idx").groupBy("read_idx", "contig").agg(F.count("*").alias("cnt"))
 
 
 @query(f"WITH {HE}, a AS (SELECT * FROM he WHERE contig IN (SELECT contig FROM he GROUP BY contig HAVING sum(cnt) >= 25)) SELECT * FROM a WHERE read_idx IN (SELECT read_idx FROM a GROUP BY read_idx HAVING sum(cnt) >= 2)")
