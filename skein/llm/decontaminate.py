@@ -19,8 +19,8 @@ FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <=
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Symbols of one index; more of a shard's words go to a further index.
 INDEX_SYMBOLS = 400_000
-#: Benchmark bytes that one pass over the documents looks for; a larger benchmark takes several passes.
-PASS_BYTES = 16 << 20
+#: Benchmark bytes that one pass over the documents looks for; a larger benchmark takes several passes. A pass holds some 50 bytes of windows a byte.
+PASS_BYTES = 2 << 20
 SPANS = "array<struct<start:long,end:long>>"
 BREAK = 1
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Query vectors of one pass take at most this many bytes; more queries are more passes.
 QUERY_BYTES = 32 << 20
 #: Numbers of segments, coarse to fine.
@@ -133,6 +135,9 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, que
         blocks = {n: Block(np.array(sorted(d), dtype=np.int64), np.array([d[i] for i in sorted(d)], dtype=np.float64).reshape(len(d), n)) for n, d in by_length.items()}
         shared = spark.sparkContext.broadcast(blocks)
         part = rows.mapInArrow(_searcher(shared, k, scale), "query_id long, vec_id long, score long")
+        if passes > 1:  # the queries of one pass at a time are held on the driver and the executors
+            part = materialize(part)
+            shared.destroy()
         out = part if out is None else out.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
