@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import agp
+from .tables import agp, motif_starts
 
 
 def assembly_to_tour(heads: DataFrame, paths: DataFrame) -> DataFrame:
@@ -52,11 +52,8 @@ def sequence_windows(seqs: DataFrame, size: int, step: int) -> DataFrame:
 
 
 def site_bins(seqs: DataFrame, motif: str, size: int) -> DataFrame:
-    """Motif starts by bin of each sequence, found once per sequence, overlapping none."""
-    parts = F.split("seq", motif)
-    lengths = F.transform(parts, lambda p: F.length(p).cast("long"))
-    at = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.aggregate(F.slice(lengths, 1, i), F.lit(0).cast("long"), lambda a, x: a + x) + (i - 1) * len(motif))
-    return seqs.where(F.size(parts) > 1).select("contig", F.explode(at).alias("p")).groupBy("contig", (F.floor(F.col("p") / size) * size).alias("start_pos")).agg(F.count("*").alias("sites"))
+    """Motif starts by bin of each sequence."""
+    return motif_starts(seqs, motif).groupBy("contig", (F.floor(F.col("pos") / size) * size).alias("start_pos")).agg(F.count("*").alias("sites"))
 
 
 def methylation_lift(segments: DataFrame, sites: DataFrame) -> DataFrame:
@@ -68,3 +65,16 @@ def methylation_lift(segments: DataFrame, sites: DataFrame) -> DataFrame:
     hit = overlap_join(s, g, a_key="query")
     to = F.when(F.col("strand") == "+", F.col("t_start") + F.col("a_start") - F.col("b_start")).otherwise(F.col("t_end") - 1 - (F.col("a_start") - F.col("b_start")))
     return hit.select("query", F.col("a_start").alias("pos"), "target", to.alias("target_pos"))
+
+
+def methylation_scores(calls: DataFrame, sites: DataFrame, seqs: DataFrame, penalty: float) -> DataFrame:
+    """Alignment scores less `penalty` for each CpG call that the reference sites contradict: align_id, inconsistent, score.
+
+    calls: align_id, score, contig, pos (of the reference base), forward, methylated; sites: contig, pos of methylated C. A call counts only on a CpG of the reference;
+    on the reverse strand it stands on the G, so its site is one to the left. CpGs are found once for each sequence.
+    """
+    cpg = motif_starts(seqs.select("contig", F.lower("seq").alias("seq")), "cg").select("contig", F.col("pos").alias("site"))
+    c = calls.withColumn("site", F.when(F.col("forward"), F.col("pos")).otherwise(F.col("pos") - 1))
+    known = sites.select("contig", F.col("pos").alias("site")).distinct().withColumn("hit", F.lit(True))
+    bad = c.join(cpg, ["contig", "site"], "left_semi").join(known, ["contig", "site"], "left").where(F.coalesce("hit", F.lit(False)) != F.col("methylated")).groupBy("align_id").agg(F.count("*").alias("inconsistent"))
+    return calls.select("align_id", "score").distinct().join(bad, "align_id", "left").select("align_id", F.coalesce("inconsistent", F.lit(0)).alias("inconsistent"), (F.col("score") - penalty * F.coalesce("inconsistent", F.lit(0))).alias("score"))

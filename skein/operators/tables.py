@@ -157,14 +157,21 @@ def motif_counts(seqs: DataFrame, motif: str) -> DataFrame:
     return seqs.select("contig", F.regexp_count("seq", F.lit(motif)).cast("long").alias("sites"), F.length("seq").cast("long").alias("length"))
 
 
+def motif_starts(seqs: DataFrame, motif: str) -> DataFrame:
+    """(contig, i, pos): starts (0-based) of a motif's occurrences, which don't overlap, by a running sum over the pieces between them; sequences themselves stay where they are."""
+    pieces = seqs.select("contig", F.posexplode(F.transform(F.split("seq", motif), lambda p: F.length(p).cast("long"))).alias("i", "n"))
+    w = Window.partitionBy("contig").orderBy("i")
+    run = pieces.withColumn("pos", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("i") * len(motif)).withColumn("last", F.lead("i").over(w).isNull())
+    return run.where("NOT last").select("contig", "i", "pos")
+
+
 def digest(seqs: DataFrame, motif: str, shift: int = 2) -> DataFrame:
     """Fragments between the cut sites of a motif, in order. A fragment ends `shift` bases past a motif's start (0-based), as the reader's cut position does; the last with the sequence."""
-    parts = F.split("seq", motif)
-    lengths = F.transform(parts, lambda p: F.length(p).cast("long"))
-    # part i ends at the sum of parts 0..i and i motifs, where motif i starts
-    ends = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.aggregate(F.slice(lengths, 1, i + 1), F.lit(0).cast("long"), lambda a, x: a + x) + i * len(motif))
-    cuts = F.concat(F.transform(F.slice(ends, 1, F.size(ends) - 1), lambda e: e + shift), F.array(F.length("seq").cast("long")))
-    return seqs.select("contig", F.posexplode(F.arrays_zip(F.concat(F.array(F.lit(0).cast("long")), F.slice(cuts, 1, F.size(cuts) - 1)).alias("a"), cuts.alias("b"))).alias("i", "f")).select("contig", "i", F.col("f.a").alias("start_pos"), F.col("f.b").alias("end_pos"))
+    cuts = motif_starts(seqs, motif).select("contig", "i", (F.col("pos") + shift).alias("end_pos"))
+    tails = seqs.select("contig", F.length("seq").cast("long").alias("end_pos")).withColumn("i", F.lit(None).cast("int"))
+    w = Window.partitionBy("contig").orderBy(F.col("i").isNull(), "i")
+    both = cuts.unionByName(tails).withColumn("start_pos", F.coalesce(F.lag("end_pos").over(w), F.lit(0).cast("long"))).withColumn("i", F.row_number().over(w) - 1)
+    return both.select("contig", "i", "start_pos", "end_pos")
 
 
 def telomeres(seqs: DataFrame, motif: str, hits: int, reach: int = 2000) -> DataFrame:

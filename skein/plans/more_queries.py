@@ -300,3 +300,33 @@ def e13_anchor_correlation(t):
 @query(f"WITH {PRUNED_CLIQUE} SELECT count(*) AS edges, round(sum(w), 6) AS total, round(sum(CASE WHEN src = dst THEN w ELSE 0 END) / sum(w), 6) AS cis FROM cq")
 def x_contact_summary(t):
     return pruned_clique(t).agg(F.count("*").alias("edges"), r6(F.sum("w")).alias("total"), r6(F.sum(F.when(F.col("src") == F.col("dst"), F.col("w")).otherwise(0.0)) / F.sum("w")).alias("cis"))
+
+
+@query("SELECT true AS is_store, true AS unchanged, true AS changed")
+def s5_sniff_and_change(t):
+    path = scratch(t, "sniff")
+    sinks.write_pairs_store(t.pairs, path)
+    before = text.fingerprint(t.spark, path)
+    same = text.fingerprint(t.spark, path) == before
+    sinks.write_pairs_store(t.pairs.where("mapq > 3"), path)
+    return t.spark.createDataFrame([(text.is_pairs_store(t.spark, path), same, text.fingerprint(t.spark, path) != before)], "is_store boolean, unchanged boolean, changed boolean")
+
+
+CG = "cg AS (SELECT contig, p AS pos FROM (SELECT contig, seq, unnest(generate_series(0, length(seq) - 2)) AS p FROM seqs) WHERE seq[p + 1:p + 2] = 'cg')"
+CALLS = "cl AS (SELECT contig * 1000 + pos % 50 AS align_id, contig, pos + CASE WHEN (contig * 1000 + pos % 50) % 2 = 0 THEN 0 ELSE 1 END AS p, (contig * 1000 + pos % 50) % 2 = 0 AS forward, pos % 3 = 0 AS methylated FROM cg)"
+
+
+@query(
+    f"WITH {CG}, {CALLS}, b AS (SELECT align_id, count(*) AS k FROM cl WHERE ((CASE WHEN forward THEN p ELSE p - 1 END) % 5 = 0) <> methylated GROUP BY align_id) "
+    "SELECT a.align_id, coalesce(k, 0) AS inconsistent, round(100 - 2 * coalesce(k, 0), 6)::DOUBLE AS score FROM (SELECT DISTINCT align_id FROM cl) a LEFT JOIN b USING (align_id)"
+)
+def a48_methylation_scores(t):
+    cg = tb.motif_starts(t.seqs, "cg").select("contig", F.col("pos").alias("p"))
+    align = F.col("contig") * 1000 + F.col("p") % 50
+    calls = cg.select(align.alias("align_id"), F.lit(100.0).alias("score"), "contig", (F.col("p") + F.when(align % 2 == 0, 0).otherwise(1)).alias("pos"), (align % 2 == 0).alias("forward"), (F.col("p") % 3 == 0).alias("methylated"))
+    return ly.methylation_scores(calls, cg.where("p % 5 = 0").select("contig", F.col("p").alias("pos")), t.seqs, 2.0)
+
+
+@query(None)
+def g19_searched_orders(t):
+    return ch.searched_orders(g.normalize(pruned_clique(t), t.contigs.withColumn("degree", F.lit(1)), "geom"), t.membership.select("contig", "grp"))

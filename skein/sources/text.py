@@ -243,3 +243,9 @@ def is_pairs_store(spark: SparkSession, path: str) -> bool:
         if any(x in str(error) for x in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "CANNOT_READ_FILE_FOOTER", "FAILED_READ_FILE", "is not a Parquet file")):
             return False
         raise
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of a folder's files; it changes when they do, and no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+    return files.agg(F.md5(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "path", F.col("length").cast("string"), F.col("modificationTime").cast("string")))), "\n")).alias("d")).first()["d"]
