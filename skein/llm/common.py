@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -36,6 +37,15 @@ def raw(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, without copies, so that Python objects are made for few rows at a time; memory that a batch used goes back to the system."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words."""
     return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(7)), dtype=U64, count=len(words))

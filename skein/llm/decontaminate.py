@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import raw
+from .common import raw, sliced
 from .fmindex import FMIndex
 
 #: Bytes that part words become blanks, capitals become small; all from 0x80 on belongs to words.
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+#: Documents of a shard.
+SHARD_ROWS = 2000
 #: Symbols of one index; more of a shard's words go to a further index.
 INDEX_SYMBOLS = 400_000
 #: Benchmark bytes that one pass over the documents looks for; a larger benchmark takes several passes. A pass holds some 50 bytes of windows a byte.
@@ -108,7 +110,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, pass_bytes: in
     """All columns of docs, with __n_words, __spans (merged spans of hit words, end exclusive) and __items (ids of the items that hit, as strings, sorted).
 
     A window is `window` consecutive words of an item, or all words of a shorter one; words are runs of letters and digits, A-Z lower-cased. Each
-    batch of texts is a shard: its words are indexed, the windows searched backwards through wavelet ranks, and occurrences located by sampled positions.
+    batch of SHARD_ROWS texts is a shard: its words are indexed, the windows searched backwards through wavelet ranks, and occurrences located by sampled positions.
     The benchmark goes out in passes of bounded bytes, each adding to the columns; texts are not shuffled.
 
     Null or empty text: no words, no hits. Items without words, or with null text, match nothing; an item with a null id hits but isn't named. Repeated
@@ -133,7 +135,7 @@ def _finder(shared, columns: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = shared.value
-        for batch in batches:
+        for batch in sliced(batches, SHARD_ROWS):
             shard, found, counts = Shard(phrases), {}, []
             for i, text in enumerate(raw(batch.column(columns.index("text")))):
                 words = words_of(text)
@@ -182,7 +184,7 @@ def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     at, chars = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, SHARD_ROWS):
             arrays = list(batch.columns[:-1])
             spans = batch.column(len(columns)).to_pylist()
             if any(spans):

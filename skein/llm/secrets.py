@@ -11,6 +11,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import sliced
+
 ASSIGN = re.compile(r"""(?P<kind>(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
@@ -94,7 +96,7 @@ def scan(docs: DataFrame, least: float = 0.65, symbols: int = 8, around: int = 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty(around)
-        for batch in batches:
+        for batch in sliced(batches):
             found = [spans_of(t or "", novelty, least, symbols)[1] for t in batch.column("text").to_pylist()]
             spans = pa.array([[{"kind": k, "start": a, "end": b} for a, b, k in s] for s in found], pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), spans], names=["doc_id", "spans"])
@@ -139,7 +141,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty(around)
-        for batch in batches:
+        for batch in sliced(batches):
             old = batch.column(at).to_pylist()
             new = [clean(t, novelty) for t in old]
             if new == old:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import distinct, materialize, mix, raw
+from .common import distinct, materialize, mix, raw, sliced
 
 LANES = np.uint64(0x0101010101010101)
 #: Buckets of at most this many fingerprints are compared pair by pair; larger ones go the exact way without pairs.
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     keep = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             own = np.array([fingerprint(t, shingle) for t in raw(batch.column("text"))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(own, pa.int64())], names=[*keep, "fp"])
 
@@ -193,14 +193,14 @@ def confirmed(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int
     wanted = F.broadcast(wanted) if wanted.count() <= LOOKED_FOR else wanted
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             own = [distinct(hashes(t, shingle)).tobytes() for t in raw(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.binary())], names=["node", "held"])
 
     held = texts.join(wanted, "md").select("node", "text").mapInArrow(sets, "node long, held binary").groupBy("node").agg(F.min("held").alias("held"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
@@ -226,7 +226,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     text = F.coalesce("text", F.lit(""))
 
     def fingerprint_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             own = [long_fingerprint(distinct(hashes(t, shingle)), words).tobytes() for t in raw(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("md"), pa.array(own, pa.binary())], names=["doc_id", "md", "fp"])
 
@@ -234,13 +234,11 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     classes = materialize(own.groupBy("md").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")).withColumn("node", F.xxhash64("md")))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 2000):
-                part = batch.slice(a, 2000)
-                fp = np.frombuffer(b"".join(part.column("fp").to_pylist()), dtype=np.uint64).reshape(part.num_rows, words)
-                slot = block_keys(fp) | np.arange(BLOCKS, dtype=np.int64) << np.int64(words)
-                node = np.repeat(np.array(part.column("node")), BLOCKS)
-                yield pa.RecordBatch.from_arrays([pa.array(slot.ravel()), pa.array(node), pa.array(np.repeat(fp[:, 0].view(np.int64), BLOCKS))], names=["slot", "node", "word"])
+        for batch in sliced(batches):
+            fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), dtype=np.uint64).reshape(batch.num_rows, words)
+            slot = block_keys(fp) | np.arange(BLOCKS, dtype=np.int64) << np.int64(words)
+            node = np.repeat(np.array(batch.column("node")), BLOCKS)
+            yield pa.RecordBatch.from_arrays([pa.array(slot.ravel()), pa.array(node), pa.array(np.repeat(fp[:, 0].view(np.int64), BLOCKS))], names=["slot", "node", "word"])
 
     members = classes.select("node", "fp").mapInArrow(meet, "slot long, node long, word long")
     led = members.groupBy("slot").agg(F.min(F.struct(F.xxhash64("node", "slot").alias("h"), "node", "word")).alias("lead"), F.count("*").alias("n")).where("n > 1")
@@ -252,7 +250,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     other = prints.select(F.col("node").alias("leader"), F.col("fp").alias("fp2"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, words) for c in ("fp", "fp2"))
             far = np.bitwise_count(a ^ b).sum(axis=1) / (64 * words)
             near = pa.array(far <= limit + DOUBT)

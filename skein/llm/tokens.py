@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import sliced
+
 #: Between an ASCII letter and one space that another letter follows, byte-level pre-tokenizing always ends a piece.
 SAFE = re.compile(r"[A-Za-z](?= [A-Za-z])")
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
@@ -81,7 +83,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, batch_chars
             path = public_tokenizers.path(path)
         encode = encoder(path)
         size = piece_chars if path.rsplit("/", 1)[-1].startswith("byte_") else 1 << 62
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             n = count_all(encode, texts, batch_chars, size)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], schema=SCHEMA)

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 TERM = re.compile(r"[^\W\d_]+")
 #: Hash space of the terms, and lengths of the word prefixes that count as terms beside whole words.
 SPACE = 1 << 20
@@ -125,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 16_000, **options) -
         y = y.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_003)) < int(1_000_003 * sample / n))
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for text in batch.column("text").to_pylist():
                 words = words_of(text or "")
@@ -138,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 16_000, **options) -
     return fit([np.frombuffer(r, dtype=np.int32) for r, _ in rows], np.array([l > 0 for _, l in rows], dtype=bool), **options)
 
 
-def score(docs: DataFrame, machine: Machine, threshold: float = 0.3, columns: bool = False, cache: int = 300_000) -> DataFrame:
+def score(docs: DataFrame, machine: Machine, threshold: float = 0.3, columns: bool = False, cache: int = 100_000) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (1 from threshold on) of each whole text.
 
     Null and empty text: the score of a text without words. Null doc_id: held_out is false. Repeated rows get the same score each; an empty
@@ -148,7 +150,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.3, columns: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {int(x): i for i, x in enumerate(machine.ids)}
         known: dict[str, tuple[int, ...]] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             flat, starts = [], []
             for text in batch.column("text").to_pylist():
                 words = words_of(text or "")
