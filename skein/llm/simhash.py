@@ -240,9 +240,10 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
             node = np.repeat(np.array(batch.column("node")), BLOCKS)
             yield pa.RecordBatch.from_arrays([pa.array(slot.ravel()), pa.array(node), pa.array(np.repeat(fp[:, 0].view(np.int64), BLOCKS))], names=["slot", "node", "word"])
 
-    members = classes.select("node", "fp").mapInArrow(meet, "slot long, node long, word long")
-    led = members.groupBy("slot").agg(F.min(F.struct(F.xxhash64("node", "slot").alias("h"), "node", "word")).alias("lead"), F.count("*").alias("n")).where("n > 1")
-    led = led.select("slot", F.col("lead.node").alias("leader"), F.col("lead.word").alias("leading"))
+    # a class becomes 64 rows: dealt out before that, as the table of classes itself has few partitions
+    members = classes.select("node", "fp").repartition("node").mapInArrow(meet, "slot long, node long, word long")
+    h = F.xxhash64("node", "slot")
+    led = members.groupBy("slot").agg(F.min_by("node", h).alias("leader"), F.min_by("word", h).alias("leading"), F.count("*").alias("n")).where("n > 1").drop("n")
     limit = share_apart(similarity)
     close = members.join(led, "slot").where((F.col("node") != F.col("leader")) & (apart(F.col("word"), F.col("leading")) <= int(64 * limit) + 12))
     pairs = close.select("node", "leader").distinct()
