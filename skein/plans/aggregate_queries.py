@@ -160,8 +160,8 @@ NW = {
 }
 
 
-def normalize_sql(method: str) -> str:
-    return f"WITH {PRUNED_CLIQUE}, {VERTICES}, nw AS (SELECT contig, {NW[method]} AS x FROM vx, vm) SELECT src, dst, round(w * p.x * q.x * 1e6, 6) AS w FROM cq JOIN nw p ON src = p.contig JOIN nw q ON dst = q.contig WHERE src <> dst"
+def normalize_sql(method: str, factor: str = "1e6") -> str:
+    return f"WITH {PRUNED_CLIQUE}, {VERTICES}, nw AS (SELECT contig, {NW[method]} AS x FROM vx, vm) SELECT src, dst, round(w * p.x * q.x * {factor}, 6) AS w FROM cq JOIN nw p ON src = p.contig JOIN nw q ON dst = q.contig WHERE src <> dst"
 
 
 def normalized(t, method):
@@ -205,9 +205,9 @@ def a14_normalize_svc(t):
     return normalized_e6(t, "svc")
 
 
-@query(normalize_sql("hybrid"))
+@query(normalize_sql("hybrid", "1"))
 def a14_normalize_hybrid(t):
-    return normalized_e6(t, "hybrid")
+    return normalized(t, "hybrid").select("src", "dst", r6("w").alias("w"))
 
 
 @query(f"WITH {PRUNED_CLIQUE} SELECT src, dst, round(w * (CASE WHEN src % 7 = 0 THEN 0.5 ELSE 1 END) * (CASE WHEN dst % 7 = 0 THEN 0.5 ELSE 1 END), 6) AS w FROM cq")
