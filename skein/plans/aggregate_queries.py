@@ -185,9 +185,9 @@ def a14_normalize_density(t):
     return normalized_e6(t, "density")
 
 
-@query(normalize_sql("log"))
+@query(normalize_sql("log", "1"))
 def a14_normalize_log(t):
-    return normalized_e6(t, "log")
+    return normalized(t, "log").select("src", "dst", r6("w").alias("w"))
 
 
 @query(normalize_sql("len_deg"))
@@ -195,14 +195,14 @@ def a14_normalize_len_deg(t):
     return normalized_e6(t, "len_deg")
 
 
-@query(normalize_sql("vc"))
+@query(normalize_sql("vc", "1"))
 def a14_normalize_vc(t):
-    return normalized_e6(t, "vc")
+    return normalized(t, "vc").select("src", "dst", r6("w").alias("w"))
 
 
-@query(normalize_sql("svc"))
+@query(normalize_sql("svc", "1"))
 def a14_normalize_svc(t):
-    return normalized_e6(t, "svc")
+    return normalized(t, "svc").select("src", "dst", r6("w").alias("w"))
 
 
 @query(normalize_sql("hybrid", "1"))
