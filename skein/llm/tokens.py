@@ -67,7 +67,7 @@ def encoder(path: str):
     return lambda texts: [len(x) for x in pieces_of.encode(texts, num_threads=1)]
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, batch_chars: int = 1 << 20, piece_chars: int = 1 << 16) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, batch_chars: int = 1 << 16, piece_chars: int = 1 << 10) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) of each document.
 
     tokenizer: the file's path, or the bare name of one of the public tokenizers, found on each executor. Null text counts as empty: 0 bytes, 0 tokens.
