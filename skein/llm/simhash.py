@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import acos, pi
 
 import numpy as np
 import pyarrow as pa
@@ -155,41 +154,49 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
     return own.join(placed, F.col("fp") == F.col("of")).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-#: Blocks of the long fingerprints by which similar texts meet.
-BLOCKS = 64
-
+#: A sketch has BANDS * ROWS smallest hashes; texts meet where all ROWS of a band agree. At a similarity of 0.8, 5 pairs in a million don't meet, at every size of table.
+BANDS, ROWS = 40, 6
+FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+#: How many deviations of a sketch's agreement lie between the similarity and the agreement under which a pair's shingles aren't looked at.
+DEVIATIONS = 5
+#: Members of one side of a tile: no two groups larger than this meet in one task.
+SIDE = 128
+#: Nodes whose texts are looked for by a broadcast of their md5 and node, some 100 bytes each; more are joined.
+LOOKED_FOR = 200_000
 
-def long_fingerprint(h: np.ndarray, words: int) -> np.ndarray:
-    """A SimHash of 64 * words bits: each shingle hash gives one 64-bit hash for each word."""
-    out = np.zeros(words, dtype=np.uint64)
-    for k in range(words if len(h) else 0):
-        out[k] = np.packbits(bit_counts(mix(h + np.uint64(k * 0x9E3779B97F4A7C15 & (2**64 - 1)))) * 2 > len(h), bitorder="little").view(np.uint64)[0]
-    return out
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """The least of the shingle hashes under each of the FACTORS, mixed and cut to 32 bits: the share in which two sketches agree is about the sets' Jaccard similarity."""
+    out = np.full(len(FACTORS), 2**64 - 1, dtype=np.uint64)
+    for a in range(0, len(h), 512):
+        np.minimum(out, (h[a : a + 512] * FACTORS[:, None]).min(axis=1), out=out)
+    return (mix(out) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
-def block_keys(fp: np.ndarray) -> np.ndarray:
-    """Of fingerprints (rows of uint64 words), BLOCKS keys each: bit j of every word makes block j."""
-    out = np.zeros((len(fp), BLOCKS), dtype=np.int64)
-    shifts = np.arange(BLOCKS, dtype=np.uint64)
-    for k in range(fp.shape[1]):
-        out |= ((fp[:, k : k + 1] >> shifts & np.uint64(1)) << np.uint64(k)).astype(np.int64)
-    return out
 
+def band_keys(sketches: np.ndarray) -> np.ndarray:
+    """Of sketches (rows), BANDS keys each: a hash of the band's values over the band's number in the lowest six bits."""
+    parts = sketches.reshape(len(sketches), BANDS, ROWS).astype(np.uint64)
+    number = np.arange(BANDS, dtype=np.uint64)
+    out = np.zeros(parts.shape[:2], dtype=np.uint64) + number
+    for k in range(ROWS):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k])
+    return (out & np.uint64(2**64 - 64) | number).view(np.int64)
 
-def share_apart(similarity: float) -> float:
-    """The share of SimHash bits in which two sets of equal size with this Jaccard similarity differ, on average: the angle between them over pi."""
-    return acos(2 * similarity / (1 + similarity)) / pi
 
+def pieces(n: Column) -> Column:
+    """Into how many groups of about SIDE n members go."""
+    return F.greatest(F.ceil(n / SIDE), F.lit(1))
 
-#: Links whose share of differing bits is this close to the limit are settled by their shingles; the share's deviation is about 0.01.
-DOUBT = 0.025
-#: Nodes whose texts are looked for by a broadcast of their md5 and node, some 100 bytes each; more are joined.
-LOOKED_FOR = 200_000
 
+def settled(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b, tile) of nodes whose sets of shingle hashes have the similarity. texts: md, text; nodes: md, node.
 
-def confirmed(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets of shingle hashes have the similarity. texts: md, text; nodes: md, node. Only the pairs' own texts are fetched."""
-    wanted = materialize(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"))
+    Only the pairs' own texts are fetched, and each set goes once to every tile that one of its pairs is in; small tiles share a group.
+    """
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node"), "tile").distinct()
+    groups = F.lit(max(1, asked.count() // (2 * SIDE)))
+    grouped = F.pmod(F.xxhash64("tile"), groups).alias("group")
+    wanted = materialize(nodes.join(asked.select("node").distinct(), "node"))
     wanted = F.broadcast(wanted) if wanted.count() <= LOOKED_FOR else wanted
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,67 +206,132 @@ def confirmed(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int
 
     held = texts.join(wanted, "md").select("node", "text").mapInArrow(sets, "node long, held binary").groupBy("node").agg(F.min("held").alias("held"))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = len(a) + len(b) - len(distinct(np.concatenate([a, b])))
-                keep.append(both >= similarity * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
-
-    one, two = held.select(F.col("node").alias("a"), F.col("held").alias("x")), held.select(F.col("node").alias("b"), F.col("held").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    def compare(table: pa.Table) -> pa.Table:
+        asks = np.array(table.column("held").is_null())
+        node, other = np.array(table.column("node")), np.array(table.column("other"))
+        own = {k: np.frombuffer(x, dtype=np.uint64) for k, x in zip(node.tolist(), table.column("held").to_pylist(), strict=True) if x is not None}
+        numbers = distinct(np.concatenate(list(own.values())))
+        own = {k: np.searchsorted(numbers, x) for k, x in own.items()}
+        a, b = node[asks], other[asks]
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        keep = np.zeros(len(a), dtype=bool)
+        marks = np.zeros(len(numbers), dtype=np.int64)
+        cuts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]).tolist() if len(a) else []
+        for lo, hi in zip(cuts, [*cuts[1:], len(a)], strict=True):
+            x = own[int(a[lo])]
+            marks[x] = 1
+            # the partners of one node at once, a tile's side at a time
+            for at in range(lo, hi, SIDE):
+                ys = [own[int(y)] for y in b[at : min(hi, at + SIDE)]]
+                sizes = np.array([len(y) for y in ys])
+                ends = np.cumsum(sizes)
+                sums = np.r_[0, np.cumsum(marks[np.concatenate(ys)])]
+                both = sums[ends] - sums[ends - sizes]
+                keep[at : at + len(ys)] = both >= similarity * (len(x) + sizes - both)
+            marks[x] = 0
+        return pa.table([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], names=["a", "b"])
+
+    sent = asked.select(grouped, "node").distinct().join(held, "node").select("group", "node", F.lit(0).cast("long").alias("other"), "held")
+    asks = pairs.select(grouped, F.col("a").alias("node"), F.col("b").alias("other"), F.lit(None).cast("binary").alias("held"))
+    return sent.unionByName(asks).groupBy("group").applyInArrow(compare, "a long, b long").distinct()
+
+
+def unmet(met: DataFrame, roots: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes that share a bucket, have different roots, and whose sketches don't rule the similarity out.
+
+    met: slot, node; roots: node, root; sketches: node, sketch. All members of a bucket with different roots are compared, in tiles of two groups of about
+    SIDE, so that a crowded bucket is many tasks; members with a common root make no tiles with each other. A pair comes from its first common band only.
+    """
+    spread = met.select("slot", "node").join(roots, "node")
+    per = spread.groupBy("slot", "root").agg(F.count("*").alias("n"))
+    mixed = per.groupBy("slot").agg(F.count("*").alias("k"), F.sum(F.when(F.col("n") < SIDE, F.col("n")).otherwise(0)).alias("small")).where("k > 1").drop("k")
+    at = F.xxhash64("node", F.lit(1))
+    cell = F.when(F.col("n") < SIDE, F.pmod(at, pieces(F.col("small")))).otherwise(F.xxhash64("root", F.pmod(at, pieces(F.col("n")))))
+    placed = materialize(spread.join(per.join(mixed, "slot"), ["slot", "root"]).select("slot", "node", "root", cell.alias("cell"), F.when(F.col("n") >= SIDE, F.col("root")).alias("whole")))
+    cells = placed.select("slot", "cell", "whole").distinct()
+    other = cells.select("slot", F.col("cell").alias("cell2"), F.col("whole").alias("whole2"))
+    tiles = cells.join(other, "slot").where("cell <= cell2 AND (whole IS NULL OR whole2 IS NULL OR whole <> whole2)")
+    tiles = tiles.select("slot", "cell", "cell2", F.xxhash64("slot", "cell", "cell2").alias("tile"))
+    sides = tiles.select("slot", "cell", "tile").unionByName(tiles.where("cell < cell2").select("slot", F.col("cell2").alias("cell"), "tile"))
+    copies = materialize(placed.join(sides, ["slot", "cell"]).select("slot", "node", "root", "cell", "tile"))
+    groups = max(1, copies.count() // (2 * SIDE))
+    least = similarity - DEVIATIONS * (similarity * (1 - similarity) / len(FACTORS)) ** 0.5
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("tile")
+        node, root, cell, tile, band = (np.array(table.column(c)) for c in ("node", "root", "cell", "tile", "slot"))
+        band = band & 63
+        own = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint32).reshape(len(node), -1)
+        cuts = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]]).tolist()
+        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for lo, hi in zip(cuts, [*cuts[1:], len(node)], strict=True):
+            two = (cell[lo:hi] != cell[lo]).any()
+            for i in range(lo, hi - 1):
+                rest = slice(i + 1, hi)
+                here = root[rest] != root[i]
+                if two:
+                    here &= cell[rest] != cell[i]
+                found = np.flatnonzero(here) + i + 1
+                if not len(found):
+                    continue
+                same = own[found] == own[i]
+                bands = same.reshape(len(found), BANDS, ROWS).all(axis=2)
+                found = found[bands[:, band[i]] & (bands.argmax(axis=1) == band[i]) & (same.sum(axis=1) >= least * len(FACTORS))]
+                a.append(np.minimum(node[i], node[found]))
+                b.append(np.maximum(node[i], node[found]))
+        return pa.table([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
+
+    return copies.join(sketches, "node").withColumn("group", F.pmod(F.xxhash64("tile"), F.lit(groups))).groupBy("group").applyInArrow(compare, "a long, b long").distinct()
+
+
+def tiled(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) with a tile each: pairs of one connected component share tiles, of about SIDE nodes on each side."""
+    of = components(pairs)
+    at = F.pmod(F.xxhash64("node"), pieces(F.col("n")))
+    placed = materialize(of.join(of.groupBy("root").agg(F.count("*").alias("n")), "root").select("node", "root", at.alias("at")))
+    one, two = placed.select(F.col("node").alias("a"), "root", F.col("at").alias("x")), placed.select(F.col("node").alias("b"), F.col("at").alias("y"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", F.xxhash64("root", F.least("x", "y"), F.greatest("x", "y")).alias("tile"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without all but one of each group of near copies: the one with the smallest doc_id (null last) stays.
 
     Word shingles, A-Z lower-cased; a text of fewer words is one shingle, empty and null texts are copies of each other. Exact copies are one class
-    from the start. Classes meet where they agree in one of 64 blocks of a long SimHash; a block has two bits more than the number of rows has, so that
-    chance company stays rare at every size. In each bucket members are compared with one leader, another one in each block, never all with all, so the work
-    is linear in the rows; links are verified by the Hamming distance over all bits, those near the limit by their shingles. Groups are connected
-    components. Repeated rows (equal doc_id and text) are copies. An empty table gives no rows; all columns stay.
+    from the start. Classes meet where they agree in one of the bands of a MinHash sketch, whose form doesn't depend on the table. First, each bucket's
+    members are compared with one leader, which makes one component of most groups without pairs; then all members of a bucket whose components
+    still differ are compared with each other. Links are settled by the shingles. Groups are connected components. Repeated rows (equal doc_id and
+    text) are copies. An empty table gives no rows; all columns stay.
     """
-    rows = docs.count()
-    words = max(12, min(31, rows.bit_length() + 2))
     text = F.coalesce("text", F.lit(""))
 
-    def fingerprint_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketch_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            own = [long_fingerprint(distinct(hashes(t, shingle)), words).tobytes() for t in raw(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("md"), pa.array(own, pa.binary())], names=["doc_id", "md", "fp"])
+            own = [sketch(hashes(t, shingle)).tobytes() for t in raw(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("md"), pa.array(own, pa.binary())], names=["doc_id", "md", "sketch"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text.cast("binary")).alias("md"), text.alias("text")).mapInArrow(fingerprint_all, "doc_id long, md string, fp binary")
-    classes = materialize(own.groupBy("md").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")).withColumn("node", F.xxhash64("md")))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text.cast("binary")).alias("md"), text.alias("text")).mapInArrow(sketch_all, "doc_id long, md string, sketch binary")
+    classes = materialize(own.groupBy("md").agg(F.min("doc_id").alias("first"), F.min("sketch").alias("sketch")).withColumn("node", F.xxhash64("md")))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), dtype=np.uint64).reshape(batch.num_rows, words)
-            slot = block_keys(fp) | np.arange(BLOCKS, dtype=np.int64) << np.int64(words)
-            node = np.repeat(np.array(batch.column("node")), BLOCKS)
-            yield pa.RecordBatch.from_arrays([pa.array(slot.ravel()), pa.array(node), pa.array(np.repeat(fp[:, 0].view(np.int64), BLOCKS))], names=["slot", "node", "word"])
-
-    # a class becomes 64 rows: dealt out before that, as the table of classes itself has few partitions
-    members = classes.select("node", "fp").repartition("node").mapInArrow(meet, "slot long, node long, word long")
-    h = F.xxhash64("node", "slot")
-    led = members.groupBy("slot").agg(F.min_by("node", h).alias("leader"), F.min_by("word", h).alias("leading"), F.count("*").alias("n")).where("n > 1").drop("n")
-    limit = share_apart(similarity)
-    close = members.join(led, "slot").where((F.col("node") != F.col("leader")) & (apart(F.col("word"), F.col("leading")) <= int(64 * limit) + 12))
-    pairs = close.select("node", "leader").distinct()
-    prints = classes.select("node", "fp")
-    other = prints.select(F.col("node").alias("leader"), F.col("fp").alias("fp2"))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, words) for c in ("fp", "fp2"))
-            far = np.bitwise_count(a ^ b).sum(axis=1) / (64 * words)
-            near = pa.array(far <= limit + DOUBT)
-            yield pa.RecordBatch.from_arrays([batch.column("node").filter(near), batch.column("leader").filter(near), pa.array(far <= limit - DOUBT).filter(near)], names=["a", "b", "sure"])
-
-    linked = materialize(pairs.join(prints, "node").join(other, "leader").select("node", "leader", "fp", "fp2").mapInArrow(verify, "a long, b long, sure boolean"))
-    exact = confirmed(linked.where("NOT sure").select("a", "b"), docs.select(F.md5(text.cast("binary")).alias("md"), text.alias("text")), classes.select("md", "node"), shingle, similarity)
-    found = components(linked.where("sure").select("a", "b").unionByName(exact))
+            slot = band_keys(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint32).reshape(batch.num_rows, -1))
+            yield pa.RecordBatch.from_arrays([pa.array(slot.ravel()), pa.array(np.repeat(np.array(batch.column("node")), BANDS))], names=["slot", "node"])
+
+    # a class becomes 40 rows: dealt out before that, as the table of classes itself has few partitions
+    members = classes.select("node", "sketch").repartition("node").mapInArrow(meet, "slot long, node long")
+    led = members.groupBy("slot").agg(F.min_by("node", F.xxhash64("node")).alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = materialize(members.join(led, "slot"))
+    texts, nodes = docs.select(F.md5(text.cast("binary")).alias("md"), text.alias("text")), classes.select("md", "node")
+    pairs = materialize(met.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
+    led_by = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    stars = pairs.join(led_by, "b").select("a", "b", F.xxhash64("b", F.pmod(F.xxhash64("a"), pieces(F.col("n")))).alias("tile"))
+    linked = materialize(settled(stars, texts, nodes, shingle, similarity))
+    found = components(linked)
+    roots = classes.select("node").join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", F.coalesce("root", "node").alias("root"))
+    rest = materialize(unmet(met, roots, classes.select("node", "sketch"), similarity))
+    if not rest.isEmpty():
+        found = components(linked.unionByName(materialize(settled(materialize(tiled(rest)), texts, nodes, shingle, similarity))))
     rooted = classes.select("md", "first", F.col("node").alias("own")).join(found, F.col("own") == F.col("node"), "left").select("md", "first", F.coalesce("root", "own").alias("root"))
     best = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "md")).alias("best")).select(F.col("best.md").alias("__md"), F.col("best.first").alias("__first"))
     once = Window.partitionBy("__md", "__first").orderBy(F.lit(0))

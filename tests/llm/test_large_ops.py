@@ -247,6 +247,45 @@ def test_one_of_each_group_stays(spark):
     assert simhash.keep_one(d.limit(0)).count() == 0
 
 
+def kept(spark, texts):
+    return {r.doc_id for r in simhash.keep_one(docs(spark, *texts)).collect()}
+
+
+def kept_by_brute_force(texts):
+    """The least of each component over all pairs with a Jaccard similarity of 0.8 or more on five-word shingles."""
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both >= 0.8 * (len(a) + len(sets[j]) - both):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return {find(i) for i in range(len(texts))}
+
+
+def test_near_copies_within_a_template(spark):
+    rng = np.random.default_rng(4)
+    words = [f"u{i}" for i in range(5000)]
+    template = list(rng.choice(words, 300))
+    texts = []
+    for i in range(600):
+        w = template[:240] + list(rng.choice(words, 48)) + template[288:]
+        texts.append(" ".join(w))
+        if i % 10 == 0:
+            at = int(rng.integers(200))
+            w[at : at + 20] = rng.choice(words, 20)
+            texts.append(" ".join(w))
+    want = kept_by_brute_force(texts)
+    assert len(want) == 600 and kept(spark, texts) == want
+
+
 # --- language model ----------------------------------------------------------------------------------------------------------------------------
 
 
