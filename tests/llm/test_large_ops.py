@@ -286,6 +286,21 @@ def test_near_copies_within_a_template(spark):
     assert len(want) == 600 and kept(spark, texts) == want
 
 
+def test_near_copies_are_found_at_every_size(spark):
+    rng = np.random.default_rng(5)
+    words = [f"v{i}" for i in range(9000)]
+    rows = []
+    for i in range(300):
+        w = list(rng.choice(words, 104))
+        rows.append((2 * i, " ".join(w), "en", "s", 0))
+        # 89 of 100 shingles are common: a similarity of 0.802
+        rows.append((2 * i + 1, " ".join([*w[:93], *(f"z{k}" for k in range(11))]), "en", "s", 0))
+    pairs = spark.createDataFrame(rows, DOCS)
+    many = spark.range(1000, 201_000).selectExpr("id AS doc_id", "concat('single', id) AS text", "'en' AS lang", "'s' AS source", "0L AS n_chars")
+    for d in (pairs, pairs.unionByName(many)):
+        assert simhash.keep_one(d).where("doc_id < 1000 AND doc_id % 2 = 1").count() == 0
+
+
 # --- language model ----------------------------------------------------------------------------------------------------------------------------
 
 
