@@ -301,6 +301,14 @@ def test_near_copies_are_found_at_every_size(spark):
         assert simhash.keep_one(d).where("doc_id < 1000 AND doc_id % 2 = 1").count() == 0
 
 
+def test_short_near_copies(spark):
+    texts = []
+    for i in range(200):
+        w = [f"s{i}x{k}" for k in range(9)]
+        texts += [" ".join(w[:8]), " ".join(w)]
+    assert kept(spark, texts) == set(range(0, 400, 2)) == kept_by_brute_force(texts)
+
+
 # --- language model ----------------------------------------------------------------------------------------------------------------------------
 
 
