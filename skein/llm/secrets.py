@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import sha256
+from math import log2
 
 import pyarrow as pa
 import zstandard
@@ -54,15 +55,20 @@ class Novelty:
         return (len(primed.compress(before + own)) - len(primed.compress(before))) / len(own)
 
 
+def incompressible(own: str) -> float:
+    """Bytes by character that a random string of as many different symbols adds at least: their entropy, and 4 bytes in all for the coder's table."""
+    return log2(len(set(own))) / 8 + 4 / len(own)
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty, least: float, symbols: int) -> list[tuple[int, int, str]]:
-    """Strings of 16 or more in a sensitive context that base spans don't overlap, hold a digit and a letter, and add at least `least` bytes by character."""
+    """Strings of 16 or more in a sensitive context that base spans don't overlap and that add at least `least` bytes by character, or what random ones of their length and symbols add."""
     out = []
     for m in SENSITIVE.finditer(text):
         start, end = m.span(1)
         own = m.group(1)
-        if any(a < end and start < b for a, b, _ in taken) or len(set(own)) < symbols or not (any(c.isdigit() for c in own) and any(c.isalpha() for c in own)):
+        if any(a < end and start < b for a, b, _ in taken) or len(set(own)) < symbols:
             continue
-        if novelty(text, start, end) >= least:
+        if novelty(text, start, end) >= min(least, incompressible(own)):
             out.append((start, end, "novel"))
     return out
 

@@ -147,6 +147,20 @@ def test_novelty_tells_random_from_known():
     assert secrets.spans_of(known, n)[1] == []
 
 
+@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"])
+def test_random_strings_of_any_length_and_alphabet_are_novel(alphabet):
+    n, rng = secrets.Novelty(), np.random.default_rng(8)
+    for size in (32, 64, 128, 256, 1024):
+        for _ in range(20):
+            own = "".join(rng.choice(list(alphabet), size))
+            text = f"a request with Authorization: Bearer {own} in it"
+            a = text.index(own)
+            # a long run of digits within it is a base span, which stands for itself
+            assert (a, a + size, "novel") in secrets.spans_of(text, n)[1] or secrets.base_spans(text), (size, own)
+    for known in ("ABCDEF0123456789" * 16, "password1234" * 12, "abcdefghijklmnopqrstuvwxyz"):
+        assert secrets.spans_of(f"a request with Authorization: Bearer {known} in it", n)[1] == []
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     d = clashing(docs(spark, *SECRETS))
     out = {r.doc_id: r for r in secrets.redact(d).collect()}
