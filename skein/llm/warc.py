@@ -8,6 +8,7 @@ import html
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from hashlib import sha1
 from urllib.parse import urljoin
@@ -131,12 +132,24 @@ def serialize(record: dict) -> bytes:
     return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", mtime=0)
 
 
+def inflated(data: bytes) -> bytes:
+    """The members of gzip data, one after the other, up to the first damage; what a cut or broken member gives before it is kept."""
+    out, at, step = [], 0, 1 << 16
+    while data[at : at + 2] == b"\x1f\x8b":
+        member = zlib.decompressobj(wbits=31)
+        try:
+            while at < len(data) and not member.eof:
+                out.append(member.decompress(data[at : at + step]))
+                at = min(at + step, len(data))
+        except zlib.error:
+            break
+        at -= len(member.unused_data)
+    return b"".join(out)
+
+
 def parse(data: bytes) -> list[dict]:
     """The records of a WARC file, compressed by member or not: headers under lower-case names, and block. Damaged tails end the list."""
-    try:
-        data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-    except (OSError, EOFError):
-        return []
+    data = inflated(data) if data[:2] == b"\x1f\x8b" else data
     out, at = [], 0
     while (start := data.find(b"WARC/", at)) >= 0:
         end = data.find(b"\r\n\r\n", start)
@@ -151,23 +164,28 @@ def parse(data: bytes) -> list[dict]:
     return out
 
 
+def page_number(path: str, ordinal: int) -> int:
+    """A page_id from the file's path and the response's place in it: responses of different files have different ones, and reruns the same."""
+    return int.from_bytes(sha1(f"{ordinal}\0{path}".encode(), usedforsecurity=False).digest()[:8]) >> 1
+
+
 def read_responses(files: DataFrame) -> DataFrame:
-    """Responses of WARC files, as Spark's binaryFile source gives them (path, content): record id, url, date, HTTP headers and payload, ready for derivatives()."""
+    """Responses of WARC files, as Spark's binaryFile source gives them (path, content): record id, url, date, HTTP headers and payload, ready for derivatives(). page_id is of path and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "url", "html", "date", "headers", "source_id"]
         kinds = [pa.int64(), *[pa.string()] * 5]
         for batch in batches:
-            for content in batch.column("content").to_pylist():
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 rows = []
                 for i, r in enumerate(x for x in parse(content or b"") if x.get("warc-type") == "response"):
                     head, split, body = r["block"].partition(b"\r\n\r\n")
                     head, body = (head, body) if split and head.startswith(b"HTTP/") else (b"", r["block"])
-                    rows.append((i, r.get("warc-target-uri"), body.decode("utf-8", "replace"), r.get("warc-date"), head.decode("utf-8", "replace"), r.get("warc-record-id")))
+                    rows.append((page_number(path, i), r.get("warc-target-uri"), body.decode("utf-8", "replace"), r.get("warc-date"), head.decode("utf-8", "replace"), r.get("warc-record-id")))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return files.select("content").mapInArrow(run, "page_id long, url string, html string, date string, headers string, source_id string")
+    return files.select("path", "content").mapInArrow(run, "page_id long, url string, html string, date string, headers string, source_id string")
 
 
 def write(records: DataFrame, path: str) -> None:

@@ -216,6 +216,24 @@ def test_round_trip_through_files(spark, tmp_path):
     assert warc.parse(data[:-40]) == [] or len(warc.parse(data[:-40])) < 6 and warc.parse(b"junk") == []
 
 
+def test_records_before_a_damage_survive(spark, tmp_path):
+    p = pages(spark, *((i, f"http://h/{i}", PAGE * 50) for i in range(3)))
+    made = [r.asDict() for r in warc.derivatives(p, responses=True).collect()]
+    members = [warc.serialize(r) for r in made]
+    data, ids = b"".join(members), [r["record_id"] for r in made]
+    assert [x["warc-record-id"] for x in warc.parse(data)] == ids
+    assert [x["warc-record-id"] for x in warc.parse(data[:-40])] == ids[:-1]
+    broken = bytearray(data)
+    at = len(data) - len(members[-1]) // 2
+    broken[at : at + 20] = bytes(20)
+    assert [x["warc-record-id"] for x in warc.parse(bytes(broken))][: len(ids) - 1] == ids[:-1]
+    assert [x["warc-record-id"] for x in warc.parse(data + b"\0" * 100)] == ids
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.warc.gz").write_bytes(data[:-40])
+    found = warc.read_responses(spark.read.format("binaryFile").load(str(tmp_path))).collect()
+    assert len(found) == 6 and len({r.page_id for r in found}) == 6
+
+
 @pytest.mark.parametrize("page", ["<script>never closed " + "x" * 100_000, "<" * 50_000, "<a href=" * 20_000, "&#x110000; &bogus; <p", "\x00�<p>" * 9])
 def test_odd_pages(spark, page):
     r = warc.derivatives(pages(spark, (1, "http://h/", page))).collect()
