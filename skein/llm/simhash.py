@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import distinct, materialize, mix, raw, sliced
+from .common import distinct, fresh, materialize, mix, raw, sliced
 
 LANES = np.uint64(0x0101010101010101)
 #: Buckets of at most this many fingerprints are compared pair by pair; larger ones go the exact way without pairs.
@@ -118,7 +118,8 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the edges (a, b): the least node that it reaches. Alternates large and small stars until nothing changes.
 
-    Every round is joins and minima keyed by node, and its result goes to the checkpoint folder, so no component is gathered in one place.
+    Every round is joins and minima keyed by node, and its result goes to the checkpoint folder, so no component is gathered in one place. Rounds grow with the
+    logarithm of the longest path; should `rounds` not do, this is an error, never an unfinished result.
     """
     current = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
@@ -134,6 +135,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components are not settled after {rounds} rounds")
     return current.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -188,15 +191,9 @@ def pieces(n: Column) -> Column:
     return F.greatest(F.ceil(n / SIDE), F.lit(1))
 
 
-def settled(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b, tile) of nodes whose sets of shingle hashes have the similarity. texts: md, text; nodes: md, node.
-
-    Only the pairs' own texts are fetched, and each set goes once to every tile that one of its pairs is in; small tiles share a group.
-    """
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node"), "tile").distinct()
-    groups = F.lit(max(1, asked.count() // (2 * SIDE)))
-    grouped = F.pmod(F.xxhash64("tile"), groups).alias("group")
-    wanted = materialize(nodes.join(asked.select("node").distinct(), "node"))
+def shingle_sets(wanted: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(node, held): the distinct shingle hashes, sorted, of the wanted nodes' texts. texts: md, text; nodes: md, node."""
+    wanted = materialize(nodes.join(wanted.select("node").distinct(), "node"))
     wanted = F.broadcast(wanted) if wanted.count() <= LOOKED_FOR else wanted
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,32 +201,54 @@ def settled(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int,
             own = [distinct(hashes(t, shingle)).tobytes() for t in raw(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.binary())], names=["node", "held"])
 
-    held = texts.join(wanted, "md").select("node", "text").mapInArrow(sets, "node long, held binary").groupBy("node").agg(F.min("held").alias("held"))
+    return texts.join(wanted, "md").select("node", "text").mapInArrow(sets, "node long, held binary").groupBy("node").agg(F.min("held").alias("held"))
+
+
+class Sets:
+    """Shingle sets by row, over small numbers, and which of some rows reach a similarity with one."""
+
+    def __init__(self, held: list[bytes]):
+        own = [np.frombuffer(x, dtype=np.uint64) for x in held]
+        numbers = distinct(np.concatenate([*own, np.zeros(0, dtype=np.uint64)]))
+        self.own = [np.searchsorted(numbers, x) for x in own]
+        self.marks = np.zeros(len(numbers), dtype=np.int64)
+
+    def near(self, one: int, others: np.ndarray, similarity: float) -> np.ndarray:
+        x, out = self.own[one], np.zeros(len(others), dtype=bool)
+        self.marks[x] = 1
+        for at in range(0, len(others), SIDE):
+            ys = [self.own[int(y)] for y in others[at : at + SIDE]]
+            sizes = np.array([len(y) for y in ys])
+            ends = np.cumsum(sizes)
+            sums = np.r_[0, np.cumsum(self.marks[np.concatenate(ys)])]
+            both = sums[ends] - sums[ends - sizes]
+            out[at : at + len(ys)] = both >= similarity * (len(x) + sizes - both)
+        self.marks[x] = 0
+        return out
+
+
+def settled(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b, tile) of nodes whose sets of shingle hashes have the similarity.
+
+    Only the pairs' own texts are fetched, and each set goes once to every tile that one of its pairs is in; small tiles share a group.
+    """
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node"), "tile").distinct()
+    groups = F.lit(max(1, asked.count() // (2 * SIDE)))
+    grouped = F.pmod(F.xxhash64("tile"), groups).alias("group")
+    held = shingle_sets(asked, texts, nodes, shingle)
 
     def compare(table: pa.Table) -> pa.Table:
         asks = np.array(table.column("held").is_null())
         node, other = np.array(table.column("node")), np.array(table.column("other"))
-        own = {k: np.frombuffer(x, dtype=np.uint64) for k, x in zip(node.tolist(), table.column("held").to_pylist(), strict=True) if x is not None}
-        numbers = distinct(np.concatenate(list(own.values())))
-        own = {k: np.searchsorted(numbers, x) for k, x in own.items()}
+        sets = Sets([x for x in table.column("held").to_pylist() if x is not None])
+        at = {k: i for i, k in enumerate(node[~asks].tolist())}
         a, b = node[asks], other[asks]
         order = np.argsort(a, kind="stable")
         a, b = a[order], b[order]
         keep = np.zeros(len(a), dtype=bool)
-        marks = np.zeros(len(numbers), dtype=np.int64)
         cuts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]).tolist() if len(a) else []
         for lo, hi in zip(cuts, [*cuts[1:], len(a)], strict=True):
-            x = own[int(a[lo])]
-            marks[x] = 1
-            # the partners of one node at once, a tile's side at a time
-            for at in range(lo, hi, SIDE):
-                ys = [own[int(y)] for y in b[at : min(hi, at + SIDE)]]
-                sizes = np.array([len(y) for y in ys])
-                ends = np.cumsum(sizes)
-                sums = np.r_[0, np.cumsum(marks[np.concatenate(ys)])]
-                both = sums[ends] - sums[ends - sizes]
-                keep[at : at + len(ys)] = both >= similarity * (len(x) + sizes - both)
-            marks[x] = 0
+            keep[lo:hi] = sets.near(at[int(a[lo])], np.array([at[int(y)] for y in b[lo:hi]]), similarity)
         return pa.table([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], names=["a", "b"])
 
     sent = asked.select(grouped, "node").distinct().join(held, "node").select("group", "node", F.lit(0).cast("long").alias("other"), "held")
@@ -237,11 +256,47 @@ def settled(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int,
     return sent.unionByName(asks).groupBy("group").applyInArrow(compare, "a long, b long").distinct()
 
 
-def unmet(met: DataFrame, roots: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes that share a bucket, have different roots, and whose sketches don't rule the similarity out.
+class Tiles:
+    """Members of some tiles, sorted by tile, and whom each may be similar to."""
+
+    def __init__(self, table: pa.Table, least: float):
+        self.table = table.sort_by([("tile", "ascending"), ("node", "ascending")])
+        self.node, self.root, self.cell, self.tile, self.band = (np.array(self.table.column(c)) for c in ("node", "root", "cell", "tile", "slot"))
+        self.band = self.band & 63
+        self.sketch = np.frombuffer(b"".join(self.table.column("sketch").to_pylist()), dtype=np.uint32).reshape(len(self.node), -1)
+        self.least = least * len(FACTORS)
+        self.cuts = np.flatnonzero(np.r_[True, self.tile[1:] != self.tile[:-1]]).tolist() if len(self.node) else []
+
+    def each(self) -> Iterator[tuple[int, int]]:
+        yield from zip(self.cuts, [*self.cuts[1:], len(self.node)], strict=True)
+
+    def partners(self, i: int, lo: int, hi: int, root: np.ndarray) -> np.ndarray:
+        """Rows after i in its tile, of another root, whose sketch doesn't rule the similarity out and first shares this tile's band with it.
+
+        A tile of two cells compares only across them, so a pair meets once, in the first band that it shares.
+        """
+        rest = slice(i + 1, hi)
+        here = root[rest] != root[i]
+        if (self.cell[lo:hi] != self.cell[lo]).any():
+            here &= self.cell[rest] != self.cell[i]
+        found = np.flatnonzero(here) + i + 1
+        if not len(found):
+            return found
+        same = self.sketch[found] == self.sketch[i]
+        bands = same.reshape(len(found), BANDS, ROWS).all(axis=2)
+        return found[bands[:, self.band[i]] & (bands.argmax(axis=1) == self.band[i]) & (same.sum(axis=1) >= self.least)]
+
+
+MEMBER = "slot long, node long, root long, cell long, tile long"
+
+
+def unmet(met: DataFrame, roots: DataFrame, sketches: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) that connect all nodes with the similarity that share a bucket and have different roots.
 
     met: slot, node; roots: node, root; sketches: node, sketch. All members of a bucket with different roots are compared, in tiles of two groups of about
-    SIDE, so that a crowded bucket is many tasks; members with a common root make no tiles with each other. A pair comes from its first common band only.
+    SIDE, so that a crowded bucket is many tasks; members with a common root make no tiles with each other. First by sketch: a tile tells which of its members have a
+    partner that the sketches don't rule out. Only these get their shingles, and the tile's pairs are settled by them on the spot, but for
+    pairs that links found in the tile have connected already. So no pairs are written, only members and links.
     """
     spread = met.select("slot", "node").join(roots, "node")
     per = spread.groupBy("slot", "root").agg(F.count("*").alias("n"))
@@ -255,43 +310,39 @@ def unmet(met: DataFrame, roots: DataFrame, sketches: DataFrame, similarity: flo
     tiles = tiles.select("slot", "cell", "cell2", F.xxhash64("slot", "cell", "cell2").alias("tile"))
     sides = tiles.select("slot", "cell", "tile").unionByName(tiles.where("cell < cell2").select("slot", F.col("cell2").alias("cell"), "tile"))
     copies = materialize(placed.join(sides, ["slot", "cell"]).select("slot", "node", "root", "cell", "tile"))
-    groups = max(1, copies.count() // (2 * SIDE))
     least = similarity - DEVIATIONS * (similarity * (1 - similarity) / len(FACTORS)) ** 0.5
 
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by("tile")
-        node, root, cell, tile, band = (np.array(table.column(c)) for c in ("node", "root", "cell", "tile", "slot"))
-        band = band & 63
-        own = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint32).reshape(len(node), -1)
-        cuts = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]]).tolist()
-        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        for lo, hi in zip(cuts, [*cuts[1:], len(node)], strict=True):
-            two = (cell[lo:hi] != cell[lo]).any()
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.join(sketches, "node").withColumn("group", F.pmod(F.xxhash64("tile"), F.lit(max(1, rows.count() // (2 * SIDE)))))
+
+    def look(table: pa.Table) -> pa.Table:
+        own = Tiles(table, least)
+        flagged = np.zeros(len(own.node), dtype=bool)
+        for lo, hi in own.each():
+            for i in range(lo, hi - 1):
+                found = own.partners(i, lo, hi, own.root)
+                flagged[found] = True
+                flagged[i] |= len(found) > 0
+        return own.table.select(["slot", "node", "root", "cell", "tile"]).filter(pa.array(flagged))
+
+    def settle(table: pa.Table) -> pa.Table:
+        own = Tiles(table, least)
+        held = own.table.column("held").to_pylist()
+        a, b = [], []
+        for lo, hi in own.each():
+            sets, root = Sets(held[lo:hi]), own.root.copy()
             for i in range(lo, hi - 1):
-                rest = slice(i + 1, hi)
-                here = root[rest] != root[i]
-                if two:
-                    here &= cell[rest] != cell[i]
-                found = np.flatnonzero(here) + i + 1
-                if not len(found):
-                    continue
-                same = own[found] == own[i]
-                bands = same.reshape(len(found), BANDS, ROWS).all(axis=2)
-                found = found[bands[:, band[i]] & (bands.argmax(axis=1) == band[i]) & (same.sum(axis=1) >= least * len(FACTORS))]
-                a.append(np.minimum(node[i], node[found]))
-                b.append(np.maximum(node[i], node[found]))
-        return pa.table([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
-
-    return copies.join(sketches, "node").withColumn("group", F.pmod(F.xxhash64("tile"), F.lit(groups))).groupBy("group").applyInArrow(compare, "a long, b long").distinct()
-
-
-def tiled(pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) with a tile each: pairs of one connected component share tiles, of about SIDE nodes on each side."""
-    of = components(pairs)
-    at = F.pmod(F.xxhash64("node"), pieces(F.col("n")))
-    placed = materialize(of.join(of.groupBy("root").agg(F.count("*").alias("n")), "root").select("node", "root", at.alias("at")))
-    one, two = placed.select(F.col("node").alias("a"), "root", F.col("at").alias("x")), placed.select(F.col("node").alias("b"), F.col("at").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", F.xxhash64("root", F.least("x", "y"), F.greatest("x", "y")).alias("tile"))
+                found = own.partners(i, lo, hi, root)
+                for j in found[sets.near(i - lo, found - lo, similarity)].tolist() if len(found) else []:
+                    if root[i] != root[j]:
+                        a.append(own.node[i])
+                        b.append(own.node[j])
+                        root[lo:hi][root[lo:hi] == root[j]] = root[i]
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    flagged = materialize(grouped(copies).groupBy("group").applyInArrow(look, MEMBER))
+    held = shingle_sets(flagged, texts, nodes, shingle)
+    return grouped(flagged).join(held, "node").groupBy("group").applyInArrow(settle, "a long, b long").distinct()
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -300,8 +351,9 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     Word shingles, A-Z lower-cased; a text of fewer words is one shingle, empty and null texts are copies of each other. Exact copies are one class
     from the start. Classes meet where they agree in one of the bands of a MinHash sketch, whose form doesn't depend on the table. First, each bucket's
     members are compared with one leader, which makes one component of most groups without pairs; then all members of a bucket whose components
-    still differ are compared with each other. Links are settled by the shingles. Groups are connected components. Repeated rows (equal doc_id and
-    text) are copies. An empty table gives no rows; all columns stay.
+    still differ are compared with each other. Links are settled by the shingles. Groups are connected components, so which one stays depends neither on
+    the order of rows nor on the leaders. Repeated rows (equal doc_id and text) are copies, of which one comes back (rows that differ in other columns
+    only: any). Very long texts are hashed whole. An empty table gives no rows; all columns stay, whatever their names.
     """
     text = F.coalesce("text", F.lit(""))
 
@@ -329,11 +381,12 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     linked = materialize(settled(stars, texts, nodes, shingle, similarity))
     found = components(linked)
     roots = classes.select("node").join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", F.coalesce("root", "node").alias("root"))
-    rest = materialize(unmet(met, roots, classes.select("node", "sketch"), similarity))
+    rest = materialize(unmet(met, roots, classes.select("node", "sketch"), texts, nodes, shingle, similarity))
     if not rest.isEmpty():
-        found = components(linked.unionByName(materialize(settled(materialize(tiled(rest)), texts, nodes, shingle, similarity))))
+        found = components(linked.unionByName(rest))
     rooted = classes.select("md", "first", F.col("node").alias("own")).join(found, F.col("own") == F.col("node"), "left").select("md", "first", F.coalesce("root", "own").alias("root"))
-    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "md")).alias("best")).select(F.col("best.md").alias("__md"), F.col("best.first").alias("__first"))
-    once = Window.partitionBy("__md", "__first").orderBy(F.lit(0))
-    kept = docs.withColumn("__own", F.md5(text.cast("binary"))).join(best, (F.col("__own") == F.col("__md")) & F.col("doc_id").eqNullSafe(F.col("__first")))
-    return kept.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*docs.columns)
+    md, first, own_md, n = fresh(docs.columns, "__md", "__first", "__own", "__n")
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "md")).alias("best")).select(F.col("best.md").alias(md), F.col("best.first").alias(first))
+    once = Window.partitionBy(md, first).orderBy(F.lit(0))
+    kept = docs.withColumn(own_md, F.md5(text.cast("binary"))).join(best, (F.col(own_md) == F.col(md)) & F.col("doc_id").eqNullSafe(F.col(first)))
+    return kept.withColumn(n, F.row_number().over(once)).where(F.col(n) == 1).select(*docs.columns)

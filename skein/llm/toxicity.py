@@ -119,7 +119,8 @@ def held_out(doc_id: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, sample: int = 16_000, **options) -> Machine:
     """Fits on the labelled rows outside the held-out quarter: all of them up to about `sample`, beyond that a hash-chosen part of that size.
 
-    A doc_id with several labels counts as toxic if any says so; rows with a null label or doc_id are left out. Only labels learned here and the texts enter.
+    A doc_id with several labels counts as toxic if any says so; rows with a null label or doc_id are left out. Only labels learned here and the texts enter. `sample`
+    bounds the rows that come to the driver (each row's distinct hashed terms, at most SPACE of them); `terms` of fit() bounds the terms that get weights.
     """
     y = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("y")).where(~held_out())
     n = y.count()
@@ -140,12 +141,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 16_000, **options) -
     return fit([np.frombuffer(r, dtype=np.int32) for r, _ in rows], np.array([l > 0 for _, l in rows], dtype=bool), **options)
 
 
-def score(docs: DataFrame, machine: Machine, threshold: float = 0.3, columns: bool = False, cache: int = 100_000) -> DataFrame:
+def score(docs: DataFrame, machine: Machine, threshold: float = 0.3, column: str | None = None, cache: int = 100_000) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (1 from threshold on) of each whole text.
 
-    Null and empty text: the score of a text without words. Null doc_id: held_out is false. Repeated rows get the same score each; an empty
-    table gives no rows; other columns are ignored, or with columns=True all columns stay and only __score is added.
+    Null and empty text: the score of a text without words. Null doc_id: held_out is false. Repeated rows get the same score each; very long texts are scored
+    whole; a score equal to the threshold counts as toxic; an empty table gives no rows. Other columns are ignored; with a column name, all columns stay
+    and only the score is added under that name, which must be new.
     """
+    if column and column.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the documents have a column {column}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {int(x): i for i, x in enumerate(machine.ids)}
@@ -168,13 +172,13 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.3, columns: bo
                 flat.append(len(index) + length_slot(len(words)))
             z = machine.raw(np.array(flat, dtype=np.int64), np.array(starts, dtype=np.int64)) if starts else np.zeros(0)
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            if columns:
-                yield batch.append_column("__score", pa.array(p, pa.float64()))
+            if column:
+                yield batch.append_column(column, pa.array(p, pa.float64()))
             else:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], schema=SCHEMA)
 
-    if columns:
+    if column:
         from pyspark.sql import types as T
 
-        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())]))
+        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
     return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
