@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import raw, sliced
+from .common import fresh, materialize, raw, sliced
 from .fmindex import FMIndex
 
 #: Bytes that part words become blanks, capitals become small; all from 0x80 on belongs to words.
@@ -23,7 +23,7 @@ SHARD_ROWS = 2000
 INDEX_SYMBOLS = 400_000
 #: Benchmark bytes that one pass over the documents looks for; a larger benchmark takes several passes. A pass holds some 50 bytes of windows a byte.
 PASS_BYTES = 2 << 20
-SPANS = "array<struct<start:long,end:long>>"
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 BREAK = 1
 
 
@@ -48,17 +48,6 @@ class Phrases:
         self.least = min(by_length, default=0)
 
 
-def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
-    """Spans united where they overlap or touch."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(zip(starts.tolist(), ends.tolist(), strict=True)):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
-
-
 class Shard:
     """Texts whose runs of benchmark words are indexed together. Words outside the benchmark break runs, and runs too short for any window are left out."""
 
@@ -88,21 +77,28 @@ class Shard:
         docs, places = np.concatenate(self.docs), np.concatenate(self.places)
         index = FMIndex(np.concatenate(self.parts), len(self.phrases.symbols) + 2)
         self.clear()
-        hits: dict[int, tuple[list, list]] = {}
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for length, patterns, items in self.phrases.groups:
             low, high = index.ranges(patterns)
             which = np.flatnonzero(high > low)
             counts = (high - low)[which]
             rows = np.repeat(low[which] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
             at = index.locate(rows)
-            owner = docs[at]
-            for doc, start, w in zip(owner.tolist(), places[at].tolist(), np.repeat(which, counts).tolist(), strict=True):
-                starts, ends = hits.setdefault(doc, ([], []))
-                starts.append(start)
-                ends.append(start + length)
+            owner, start = docs[at], places[at]
+            found.append((owner, start, start + length))
+            pairs = np.unique(owner * len(items) + np.repeat(which, counts))
+            for doc, w in zip((pairs // len(items)).tolist(), (pairs % len(items)).tolist(), strict=True):
                 out.setdefault(doc, ([], set()))[1].update(items[w])
-        for doc, (starts, ends) in hits.items():
-            out[doc] = (merged(np.array(starts), np.array(ends)), out[doc][1])
+        owner, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((start, owner))
+        owner, start, end = owner[order], start[order], end[order]
+        # places of all documents on one line, apart, so that a running maximum of the ends stays within a document
+        line = owner * (int(end.max(initial=0)) + 2)
+        reach = np.maximum.accumulate(line + end)
+        fresh = np.flatnonzero(np.append(True, (line + start)[1:] > reach[:-1])) if len(owner) else owner
+        last = np.append(fresh[1:], len(owner)) - 1 if len(owner) else owner
+        for doc, a, b in zip(owner[fresh].tolist(), start[fresh].tolist(), (reach - line)[last].tolist(), strict=True):
+            out[doc][0].append((a, b))
         return out
 
 
@@ -111,26 +107,55 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 13, pass_bytes: in
 
     A window is `window` consecutive words of an item, or all words of a shorter one; words are runs of letters and digits, A-Z lower-cased. Each
     batch of SHARD_ROWS texts is a shard: its words are indexed, the windows searched backwards through wavelet ranks, and occurrences located by sampled positions.
-    The benchmark goes out in passes of bounded bytes, each adding to the columns; texts are not shuffled.
+    Texts are not shuffled while the benchmark fits one pass. A larger one goes out in passes of bounded bytes, one at a time: each is searched for in all
+    texts, and what it hits (by the text's md5, one row for each different text) is written before the next is sent; last, all hits of a text are united and joined to its rows.
 
     Null or empty text: no words, no hits. Items without words, or with null text, match nothing; an item with a null id hits but isn't named. Repeated
-    rows are treated each alike; with an empty benchmark nothing hits; an empty table gives no rows. Columns of docs that have these three names are not allowed.
+    rows are treated each alike; very long texts go to an index of their own, whole; with an empty benchmark nothing hits; an empty table gives no rows. Columns
+    of docs that have these three names are an error.
     """
+    if clash := {c.lower() for c in docs.columns} & {"__n_words", "__spans", "__items"}:
+        raise ValueError(f"columns of the documents are named as the result's: {sorted(clash)}")
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("b")).first()["b"]
     passes = max(1, -(-int(total) // pass_bytes))
-    kinds = {"__n_words": T.LongType(), "__spans": T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])), "__items": T.ArrayType(T.StringType())}
-    out = docs
+
+    def sent(p: int):
+        got = (items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p)).toArrow()
+        return spark.sparkContext.broadcast(Phrases(sorted(zip(got["item_id"].to_pylist(), raw(got["text"]), strict=True), key=lambda x: (x[0] is None, x[0] or "", x[1])), window))
+
+    if passes == 1:
+        made = [T.StructField("__n_words", T.LongType()), T.StructField("__spans", SPANS), T.StructField("__items", T.ArrayType(T.StringType()))]
+        return docs.mapInArrow(_finder(sent(0), docs.columns, docs.columns), T.StructType([*docs.schema.fields, *made]))
+    md, own = fresh(docs.columns, "__md", "__own")
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(F.md5(text.cast("binary")).alias("md"), text.alias("text"))
+    hits = None
     for p in range(passes):
-        chosen = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p)
-        got = chosen.toArrow()
-        shared = spark.sparkContext.broadcast(Phrases(sorted(zip(got["item_id"].to_pylist(), raw(got["text"]), strict=True), key=lambda x: (x[0] is None, x[0] or "", x[1])), window))
-        out = out.mapInArrow(_finder(shared, docs.columns), T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in kinds.items())]))
-    return out
+        shared = sent(p)
+        found = keyed.mapInArrow(_finder(shared, ["md", "text"], ["md"]), "md string, __n_words long, __spans array<struct<start:long,end:long>>, __items array<string>")
+        found = materialize(found.where(F.size("__spans") > 0).groupBy("md").agg(F.first("__spans").alias("spans"), F.first("__items").alias("items")))
+        shared.destroy()
+        hits = found if hits is None else hits.unionByName(found)
+    sorted_spans = F.array_sort(F.flatten(F.collect_list("spans")))
+    empty = F.array().cast(SPANS)
+    # spans in the order of their starts, each united with the last one so far where they overlap or touch
+    united = F.aggregate(
+        sorted_spans,
+        empty,
+        lambda done, s: F.when(
+            (F.size(done) > 0) & (s["start"] <= F.element_at(done, -1)["end"]),
+            F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end")))),
+        ).otherwise(F.concat(done, F.array(s))),
+    )
+    each = hits.groupBy("md").agg(united.alias("__spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("__items")).withColumnRenamed("md", own)
+    joined = docs.withColumn(md, F.md5(text.cast("binary"))).join(each, F.col(md) == F.col(own), "left")
+    words = F.regexp_count(text, F.lit(WORD.pattern)).cast("long")
+    return joined.select(*docs.columns, words.alias("__n_words"), F.coalesce("__spans", empty).alias("__spans"), F.coalesce("__items", F.array().cast("array<string>")).alias("__items"))
 
 
-def _finder(shared, columns: list[str]):
+def _finder(shared, columns: list[str], keep: list[str]):
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,14 +170,8 @@ def _finder(shared, columns: list[str]):
                     found |= shard.search()
             found |= shard.search()
             spans, names = [found.get(i, ([], set()))[0] for i in range(len(counts))], [found.get(i, ([], set()))[1] for i in range(len(counts))]
-            if len(batch.columns) > len(columns):
-                for i, (old, known) in enumerate(zip(batch.column(len(columns) + 1).to_pylist(), batch.column(len(columns) + 2).to_pylist(), strict=True)):
-                    if old:
-                        both = [(s["start"], s["end"]) for s in old] + spans[i]
-                        spans[i] = merged(np.array([a for a, _ in both]), np.array([b for _, b in both]))
-                    names[i] = {*names[i], *known}
             made = [pa.array(counts, pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], span), pa.array([sorted(n) for n in names], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *made], names=[*columns, "__n_words", "__spans", "__items"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(columns.index(c)) for c in keep), *made], names=[*keep, "__n_words", "__spans", "__items"])
 
     return run
 
@@ -178,7 +197,10 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without contaminated documents; the others lose their hit words, each span with what stands between its words, and keep all else."""
+    """docs without contaminated documents; the others lose their hit words, each span with what stands between its words, and keep all else.
+
+    Null and empty texts stay as they are; n_chars, if there is one, is brought up to date where a text was cut; else as find() says.
+    """
     columns = docs.columns
     marked = find(docs, benchmark).where(~contaminated()).select(*columns, "__spans")
     at, chars = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
