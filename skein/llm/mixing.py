@@ -10,6 +10,8 @@ from .common import materialize
 WORDS = r"[^\x20\x09-\x0D]+"
 #: A source is dealt out over hash ranges of about this many rows, so that no task holds a hot source.
 ROWS_PER_RANGE = 1024
+#: Ranges whose sums run up in one group; the sums of whole blocks run up over a source.
+RANGES_PER_BLOCK = 1024
 
 
 def targets(sizes: DataFrame, cycle: int = 3, most: int = 3) -> DataFrame:
@@ -40,17 +42,19 @@ def targets(sizes: DataFrame, cycle: int = 3, most: int = 3) -> DataFrame:
 def mix(docs: DataFrame, seed: int = 0, rows_per_range: int = ROWS_PER_RANGE, keep: tuple[str, ...] = ()) -> DataFrame:
     """Deals each source's budget of words to its documents in random order; returns doc_id, source, size, source_size, target, taken.
 
-    Each document gets a hash-random key. A source's key space is cut into ranges of about rows_per_range documents; sums by range,
-    run up over the ranges, and a running sum inside each range give every document's place. The budget is floor(target) words:
-    whole epochs over the source first, then documents in key order, the last one in part, so the words taken of a source are its
-    budget exactly and no document is taken more than three times.
+    Each document gets a hash-random key. A source's key space is cut into ranges of about rows_per_range documents. Prefix sums are taken in three levels: over
+    the blocks of RANGES_PER_BLOCK ranges of a source, over the ranges of a block, and inside each range; together they are every document's place. The
+    budget is floor(target) words: whole epochs over the source first, then documents in key order, the last one in part, so the words taken of a
+    source are its budget exactly and no document is taken more than three times.
 
     Null or empty text: size 0, taken 0. Null source: a source of its own, ranked last. Null or repeated doc_id: each row counts; rows with
-    the same doc_id share a key and are ordered by size. An empty table gives no rows. Columns other than doc_id, source and text are ignored, but those named in
+    the same doc_id share a key (rows without one: those with the same text) and are ordered by size, then by a hash of the text, so that reruns agree on which
+    text is cut. Very long texts are only counted. An empty table gives no rows. Columns other than doc_id, source and text are ignored, but those named in
     keep are carried along under their own names (texts then move once, with their rows; sizes and sums never carry them).
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key")
+    named = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), named)).alias("key")
     extra = [F.col(c).alias(f"__keep_{i}") for i, c in enumerate(keep)]
     sized = materialize(docs.select("doc_id", "source", size, key))
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")))
@@ -62,10 +66,16 @@ def mix(docs: DataFrame, seed: int = 0, rows_per_range: int = ROWS_PER_RANGE, ke
         return found.withColumn("range", F.expr("shiftright(cast(conv(substring(key, 1, 8), 16, 10) as bigint), 32 - bits)")).drop("bits")
 
     narrow = placed_in_range(sized)
-    rows = placed_in_range(docs.select("doc_id", "source", size, key, *extra)) if keep else narrow
-    before = Window.partitionBy("rank").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = narrow.groupBy("rank", "range").agg(F.sum("size").alias("in_range")).select(F.col("rank").alias("r_rank"), F.col("range").alias("r_range"), F.coalesce(F.sum("in_range").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("rank", "range").orderBy("key", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = placed_in_range(docs.select("doc_id", "source", size, key, F.xxhash64("text").alias("tie"), *extra)) if keep else narrow.withColumn("tie", F.lit(0))
+    block = F.floor(F.col("range") / RANGES_PER_BLOCK).cast("long")
+    summed = narrow.groupBy("rank", "range").agg(F.sum("size").alias("in_range")).withColumn("block", block)
+    earlier = Window.partitionBy("rank").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = summed.groupBy("rank", "block").agg(F.sum("in_range").alias("in_block"))
+    blocks = blocks.select(F.col("rank").alias("b_rank"), F.col("block").alias("b_block"), F.coalesce(F.sum("in_block").over(earlier), F.lit(0)).alias("base"))
+    before = Window.partitionBy("rank", "block").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = summed.withColumn("before", F.coalesce(F.sum("in_range").over(before), F.lit(0))).join(blocks, (F.col("rank") == F.col("b_rank")) & (F.col("block") == F.col("b_block")))
+    ranges = ranges.select(F.col("rank").alias("r_rank"), F.col("range").alias("r_range"), (F.col("base") + F.col("before")).alias("offset"))
+    inside = Window.partitionBy("rank", "range").orderBy("key", "size", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.join(ranges, (F.col("rank") == F.col("r_rank")) & (F.col("range") == F.col("r_range"))).withColumn("start", F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
@@ -77,7 +87,7 @@ def mix(docs: DataFrame, seed: int = 0, rows_per_range: int = ROWS_PER_RANGE, ke
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5('0:' || coalesce(CAST(doc_id AS VARCHAR), 'text:' || md5(coalesce(text, '')))) AS key
   FROM documents),
 ranked AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS rnk FROM sized GROUP BY source),
