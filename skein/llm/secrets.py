@@ -63,10 +63,15 @@ def incompressible(own: str) -> float:
 def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty, least: float, symbols: int) -> list[tuple[int, int, str]]:
     """Strings of 16 or more in a sensitive context that base spans don't overlap and that add at least `least` bytes by character, or what random ones of their length and symbols add."""
     out = []
+    # both in the order of their starts: base spans that begin before a candidate's end, and how far those reach, are swept along
+    at, reach = 0, -1
     for m in SENSITIVE.finditer(text):
         start, end = m.span(1)
         own = m.group(1)
-        if any(a < end and start < b for a, b, _ in taken) or len(set(own)) < symbols:
+        while at < len(taken) and taken[at][0] < end:
+            reach = max(reach, taken[at][1])
+            at += 1
+        if reach > start or len(set(own)) < symbols:
             continue
         if novelty(text, start, end) >= min(least, incompressible(own)):
             out.append((start, end, "novel"))
@@ -161,14 +166,3 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))
-
-
-def brute(text: str) -> tuple[int, int, int, str]:
-    """The base part as the patterns state it, for tests."""
-    spans = []
-    for kind, pattern, least in (("assign", r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6), ("access", r"AKIA[A-Z0-9]+", 20), ("hex", r"[0-9a-f]+", 24)):
-        for m in re.finditer(pattern, text):
-            if len(m.group(2) if kind == "assign" else m.group()) >= least:
-                spans.append((m.start(), m.end(), kind))
-    spans.sort(key=lambda s: (s[0], KINDS.index(s[2])))
-    return sum(s[2] == "assign" for s in spans), sum(s[2] == "access" for s in spans), sum(s[2] == "hex" for s in spans), sha256(joined(spans).encode()).hexdigest()
