@@ -35,12 +35,12 @@ def bucket_bits(entries: int) -> int:
 
 
 def split(values: np.ndarray, bits: int, width: int) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) of sorted values below 2**width, by their highest bits."""
+    """(bucket, from, to) of sorted values below 2**width, by their highest bits; buckets without values are left out, however many there are."""
     if not len(values):
         return []
-    edges = np.searchsorted(values, np.arange(1 << bits, dtype=U64) << U64(width - bits)) if bits else np.zeros(1, dtype=np.int64)
-    ends = np.append(edges[1:], len(values))
-    return [(b, int(a), int(e)) for b, (a, e) in enumerate(zip(edges, ends, strict=True)) if e > a]
+    bucket = values >> U64(width - bits) if bits else np.zeros(len(values), dtype=U64)
+    cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    return [(int(bucket[a]), int(a), int(e)) for a, e in zip(cuts, np.append(cuts[1:], len(values)), strict=True)]
 
 
 class Words:
@@ -80,7 +80,7 @@ class Anchors:
         self.probes = distinct(rolled[inside & ~grid]) if probes and len(inside) else np.zeros(0, dtype=U64)
 
     def candidates(self, live: np.ndarray, rolling: Rolling, second: Rolling) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Places of the candidate windows, their distinct (64-bit, 32-bit) hashes in order, and which of these each place has."""
+        """Places of the candidate windows, their distinct (64-bit, 64-bit) hashes in order, and which of these each place has."""
         ok = self.words.inside(self.window)
         dead = np.zeros(len(self.words.h) + 1, dtype=np.int64)
         dead[1 + self.at[~live[self.block_of]]] = 1  # prefix counts of dead blocks by starting place
@@ -90,16 +90,16 @@ class Anchors:
             ok &= dead[np.arange(n) + self.window - self.block + 1] == dead[np.arange(n)]
         places = np.flatnonzero(ok)
         a = rolling(self.words.h, self.window)[places] if n else np.zeros(0, dtype=U64)
-        b = (second(self.words.h, self.window)[places] >> U64(32)) if n else np.zeros(0, dtype=U64)
+        b = second(self.words.h, self.window)[places] if n else np.zeros(0, dtype=U64)
         order = np.argsort(a)
-        if np.any((a[order][1:] == a[order][:-1]) & (b[order][1:] != b[order][:-1])):  # equal in 64 bits, told apart by the other 32
+        if np.any((a[order][1:] == a[order][:-1]) & (b[order][1:] != b[order][:-1])):  # equal in 64 bits, told apart by the other 64
             order = np.lexsort((b, a))
         a, b = a[order], b[order]
         fresh = np.ones(len(a), dtype=bool)
         fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         which = np.empty(len(a), dtype=np.int64)
         which[order] = np.cumsum(fresh) - 1
-        return places, a[fresh], b[fresh].astype(np.uint32), which
+        return places, a[fresh], b[fresh], which
 
 
 def messages(rows: list[tuple]) -> pa.Table:
@@ -138,12 +138,12 @@ def reduce_blocks(table: pa.Table) -> pa.Table:
 
 
 def reduce_windows(table: pa.Table) -> pa.Table:
-    """One hash range of all candidates (first: 64-bit hashes; second: 32-bit hashes, then which start twice in their chunk); answers which start twice anywhere."""
+    """One hash range of all candidates (first: 64-bit hashes; second: as many of another function, then which start twice in their chunk); answers which start twice anywhere."""
     rows = table.to_pylist()
     a = [unpack(r["first"]) for r in rows]
     n = [len(x) for x in a]
-    b = [np.frombuffer(r["second"], dtype="<u4", count=k) for r, k in zip(rows, n, strict=True)]
-    twice = [flags_of(r["second"][4 * k :], k) for r, k in zip(rows, n, strict=True)]
+    b = [np.frombuffer(r["second"], dtype="<u8", count=k) for r, k in zip(rows, n, strict=True)]
+    twice = [flags_of(r["second"][8 * k :], k) for r, k in zip(rows, n, strict=True)]
     first, second, many = np.concatenate(a), np.concatenate(b), np.concatenate(twice)
     order = np.lexsort((second, first))
     first, second = first[order], second[order]
@@ -170,14 +170,15 @@ def repeats(docs: DataFrame, window: int = 35, chunk_chars: int = CHUNK_CHARS) -
 
     A word goes if a window of `window` words covers it whose word sequence starts anywhere else, in this or another document. Windows are judged on
     the input. Words are runs without ASCII blanks, unchanged. Null and empty texts have no words; shorter texts than a window lose none; a null doc_id stays null; repeated
-    rows are documents of their own and so lose what is as long as a window; an empty table gives no rows; other columns are ignored.
-    Candidates meet by 96 bits of hash; an accidental agreement of two of n candidates has a chance of n**2 / 2**97.
+    rows are documents of their own and so lose what is as long as a window; a very long text makes a chunk of its own size; an empty table gives no rows; other columns are
+    ignored. spans are the maximal runs of words that such windows cover. Candidates meet by two hashes of 64 bits each; an accidental agreement
+    of two of n candidates has a chance of n**2 / 2**129, about 1.5e-13 for 10**13 of them.
     """
     keyed, chars = chunked(docs, chunk_chars)
     entries = max(1, chars // 6)
     width = min(60, max(24, (entries // 18).bit_length() + 13))
     block_bits, window_bits = bucket_bits(entries), bucket_bits(entries // 2)
-    block_bits, window_bits = min(block_bits, width - 8), min(window_bits, 24)
+    block_bits = min(block_bits, width - 8)
 
     def send_blocks(table: pa.Table) -> pa.Table:
         own = Anchors(raw(table["text"]), window, width, Rolling())
