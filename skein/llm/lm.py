@@ -1,85 +1,247 @@
 """Language-model scores: stupid backoff with n-gram count tables partitioned by hash.
 
-Each document's n-grams are exploded, as packed sorted hashes of a chunk of documents with their counts, and sent to their hash range. There
-the ranges' counts add up to the count table of the whole corpus; the join gives every chunk the counts of its own n-grams back; scores are
-summed per document.
+The model is a set of relations: words with their numbers, and for each n the counts of the n-grams, as tuples of word numbers, partitioned by a hash of the tuple.
+Each document's n-grams are exploded, joined to these tables, and the words' scores are summed per document. Rows of the relations travel packed, one
+message for each chunk of documents and hash range; the tuples themselves are compared, never hashes, so no two n-grams are taken for one:
+
+1. a chunk's distinct words meet by hash; those that two documents hold get a number, the frequent ones small numbers;
+2. level by level, n-grams whose first and last n-1 words are shared so far meet as tuples of numbers; their counts add up to the corpus's table, and each chunk
+   gets the counts of its own n-grams back. An n-gram with a part that only one document holds is found nowhere else, so it isn't asked for;
+3. a document's scores follow from these counts less its own.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
+from itertools import chain, repeat
+from zlib import crc32
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import U64, mix, pack, pack_counts, raw, unpack, unpack_counts, word_hashes
-from .substring import MESSAGE, bucket_bits, chunked, messages, split
+from .common import U64, mix, pack_counts, raw, unpack_counts
+from .substring import bucket_bits, chunked
 
 #: What a score is multiplied by for each step back to a shorter context.
 BACKOFF = 0.4
-#: N-grams are hashed in larger chunks than texts elsewhere: more of them coincide.
+#: Texts that are counted together, in characters: many of their n-grams coincide.
 CHUNK_CHARS = 8 << 20
-#: Stands for the number of all words of the corpus.
-TOTAL = U64(0x5851F42D4C957F2D)
+MESSAGE = "bucket long, chunk long, level int, first binary, second binary, third binary"
+WORDS = r"[^\x20\x09-\x0D]+"
 
 
-def hash_bits(entries: int) -> int:
-    """Bits that tell n-grams apart: so many that of all n-grams about one in a million shares its hash with another, 64 at most."""
-    return min(64, max(40, entries.bit_length() + 20))
+def messages(rows: list[tuple]) -> pa.Table:
+    kinds = (("bucket", pa.int64()), ("chunk", pa.int64()), ("level", pa.int32()), ("first", pa.binary()), ("second", pa.binary()), ("third", pa.binary()))
+    columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+    return pa.table({n: pa.array(c, k) for (n, k), c in zip(kinds, columns, strict=True)})
 
 
-def grams(h: np.ndarray, order: int) -> list[np.ndarray]:
-    """Hashes of the n-grams of one document, for n from 1 to order, by starting place."""
-    out = [mix(h ^ U64(1))]
-    current = h
-    for n in range(2, order + 1):
-        if len(h) < n:
-            out.append(np.zeros(0, dtype=U64))
-            continue
-        current = mix(current[:-1]) * U64(0xFF51AFD7ED558CCD) + h[n - 1 :]
-        out.append(mix(current ^ U64(n)))
-    return out
-
-
-def backoff(counts: list[np.ndarray], contexts: list[np.ndarray], total: int) -> float:
-    """Sum of log10 of each word's score. counts[n-1]: of the n-gram that starts at each place; contexts[n-1]: of its first n-1 words."""
-    words = len(counts[0])
-    s = np.where(counts[0] > 0, counts[0], BACKOFF) / max(total, 1)
-    for n in range(2, len(counts) + 1):
-        if words < n:
-            break
-        own, given = counts[n - 1], contexts[n - 1]
-        tail = s[n - 1 :]
-        s = np.concatenate([s[: n - 1], np.where((own > 0) & (given > 0), own / np.maximum(given, 1), BACKOFF * tail)])
-    return float(np.log10(s).sum())
+def planes(values: np.ndarray) -> bytes:
+    """Unsigned values in any order, cut to as many bytes as the largest needs, lowest bytes of all first."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(values.astype(U64).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def from_planes(blob: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    """n values that begin at a place of the blob, and the place after them."""
+    width = blob[at]
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(blob, dtype=np.uint8, offset=at + 1, count=width * n).reshape(width, n).T
+    return out.view(U64).reshape(-1), at + 1 + width * n
+
+
+def pack_tuples(parts: np.ndarray) -> bytes:
+    """Tuples (rows) in lexicographic order: their first parts as steps, the others as they are."""
+    first = np.diff(parts[:, 0], prepend=U64(0))
+    return len(parts).to_bytes(8, "little") + b"".join(planes(c) for c in (first, *parts.T[1:]))
+
+
+def unpack_tuples(blob: bytes, order: int) -> np.ndarray:
+    n, at, columns = int.from_bytes(blob[:8], "little"), 8, []
+    for _ in range(order):
+        values, at = from_planes(blob, at, n)
+        columns.append(values)
+    columns[0] = np.cumsum(columns[0], dtype=U64)
+    return np.stack(columns, axis=1)
+
+
+def joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Pairs of numbers below 2**32 as one number each."""
+    return first.astype(U64) << U64(32) | second.astype(U64)
+
+
+def ranges(parts: np.ndarray, bits: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of the tuples by hash range, the same within each range as before, and (range, from, to) of those that have any."""
+    h = np.zeros(len(parts), dtype=U64)
+    for column in parts.T:
+        h = mix(h * U64(0x9E3779B97F4A7C15) + column)
+    bucket = (h >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(parts), dtype=np.int64)
+    order = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
+    sorted_ = bucket[order]
+    if not len(order):
+        return order, []
+    cuts = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+    return order, [(int(sorted_[a]), int(a), int(b)) for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True)]
 
 
 class Chunk:
-    """The n-grams of a chunk's documents: all distinct hashes, in order, and each document's places among them."""
-
-    def __init__(self, texts: list[bytes], order: int, width: int):
-        cut = U64(64 - width)
-        self.docs = [[g >> cut for g in grams(word_hashes(t.lower().split()), order)] for t in texts]
-        flat = np.concatenate([*(g for d in self.docs for g in d), np.zeros(0, dtype=U64)])
-        self.words = sum(len(d[0]) for d in self.docs)
-        self.values, self.which, self.counts = np.unique(flat, return_inverse=True, return_counts=True)
-        # the number of words goes along as one more n-gram, which may coincide with another as any two may
-        total = TOTAL >> cut
-        self.total = int(np.searchsorted(self.values, total))
-        if self.total < len(self.values) and self.values[self.total] == total:
-            self.counts[self.total] += self.words
-        else:
-            self.values, self.counts = np.insert(self.values, self.total, total), np.insert(self.counts, self.total, self.words)
-            self.which = self.which + (self.which >= self.total)
-
-
-def add_up(table: pa.Table) -> pa.Table:
-    """One hash range: the count table over all chunks, then each chunk's n-grams with their counts in the corpus."""
-    rows = table.to_pylist()
-    own = [unpack(r["first"]) for r in rows]
-    n = [len(x) for x in own]
-    index, at = np.unique(np.concatenate(own), return_inverse=True)
-    sums = np.bincount(at, weights=np.concatenate([unpack_counts(r["second"]) for r in rows]), minlength=len(index)).astype(np.int64)
-    return messages([(r["bucket"], r["chunk"], 0, pack_counts(sums[p]), None) for r, p in zip(rows, np.split(at, np.cumsum(n)[:-1]), strict=True)])
+    """The words of a chunk's documents in a row, and by level the places whose n-grams other documents may hold.
+
+    at[n]: 1 + the number of the n-gram that starts at each place among the chunk's live ones, 0 for none; parts[n], elsewhere[n], here[n]: the word numbers of each
+    live n-gram, and its counts in the other chunks and in this one.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        self.docs = [t.lower().split() for t in texts]
+        self.lengths = np.array([len(d) for d in self.docs], dtype=np.int64)
+        self.doc = np.repeat(np.arange(len(self.docs)), self.lengths)
+        self.at, self.parts, self.elsewhere, self.here = {}, {}, {}, {}
+
+    def word_rows(self, number: int, bits: int) -> list[tuple]:
+        """Messages with the distinct words, their counts and whether two documents here hold them; the empty word stands for the number of all words."""
+        seen: set[bytes] = set()
+        many: set[bytes] = {b""}
+        for d in self.docs:
+            own = set(d)
+            many |= own & seen
+            seen |= own
+        counts = Counter(chain.from_iterable(self.docs))
+        counts[b""] = len(self.doc)
+        by: dict[int, list[bytes]] = {}
+        shift = 32 - bits
+        for w in counts:
+            by.setdefault(crc32(w) >> shift, []).append(w)
+        return [(k, number, 1, b"\n".join(ws), np.packbits([w in many for w in ws]).tobytes(), pack_counts(np.array([counts[w] for w in ws], dtype=np.int64))) for k, ws in by.items()]
+
+    def take_words(self, replies: list[dict]) -> None:
+        words = [w for r in replies for w in r["first"].split(b"\n")]
+        sizes = [r["first"].count(b"\n") + 1 for r in replies]
+        numbers = np.concatenate([*(from_planes(r["second"], 0, n)[0] for r, n in zip(replies, sizes, strict=True)), np.zeros(0, dtype=U64)])
+        elsewhere = np.concatenate([*(unpack_counts(r["third"]) for r in replies), np.zeros(0, dtype=np.int64)])
+        order = np.argsort(numbers)
+        # places among the live words follow the words' numbers, so tuples in the order of places are in the order of numbers
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(1, len(order) + 1)
+        of = dict(zip(words, place.tolist(), strict=True))
+        total = of.pop(b"", 0)
+        self.total = int(elsewhere[order][total - 1]) + len(self.doc) if total else len(self.doc)
+        at = np.fromiter(map(of.get, chain.from_iterable(self.docs), repeat(0)), dtype=np.int64, count=len(self.doc))
+        self.at[1], self.parts[1], self.elsewhere[1] = at, numbers[order][:, None], elsewhere[order]
+        self.here[1] = np.bincount(at, minlength=len(order) + 1)[1:]
+        self.docs = []
+
+    def explode(self, n: int) -> None:
+        """The n-grams whose first and last n-1 words are live: distinct tuples, the place of each start among them, and which two documents here hold."""
+        before, size = self.at[n - 1], len(self.doc)
+        ok = np.zeros(size, dtype=bool)
+        if size >= n:
+            ok[: size - n + 1] = (before[: size - n + 1] > 0) & (before[1 : size - n + 2] > 0) & (self.doc[: size - n + 1] == self.doc[n - 1 :])
+        self.starts = np.flatnonzero(ok)
+        last = self.at[1][self.starts + n - 1]
+        self.keys, self.which, self.counts = np.unique(joined(before[self.starts], last), return_inverse=True, return_counts=True)
+        self.tuples = np.concatenate([self.parts[n - 1][(self.keys >> U64(32)).astype(np.int64) - 1], self.parts[1][(self.keys & U64(0xFFFFFFFF)).astype(np.int64) - 1]], axis=1)
+        first, final = np.empty(len(self.keys), dtype=np.int64), np.empty(len(self.keys), dtype=np.int64)
+        doc = self.doc[self.starts]
+        final[self.which], first[self.which[::-1]] = doc, doc[::-1]
+        self.shared = first != final
+
+    def gram_rows(self, n: int, number: int, bits: int) -> list[tuple]:
+        self.explode(n)
+        order, cuts = ranges(self.tuples, bits)
+        return [(k, number, n, pack_tuples(self.tuples[order[a:b]]), pack_counts(self.counts[order[a:b]]), None) for k, a, b in cuts]
+
+    def take_grams(self, n: int, replies: list[dict], bits: int) -> None:
+        """Counts in other chunks, as they came back; n-grams that this document alone holds are dropped."""
+        self.explode(n)
+        order, cuts = ranges(self.tuples, bits)
+        got, elsewhere = {r["bucket"]: r["first"] for r in replies}, np.zeros(len(self.keys), dtype=np.int64)
+        for k, a, b in cuts:
+            elsewhere[order[a:b]] = unpack_counts(got[k])
+        live = self.shared | (elsewhere > 0)
+        place = np.where(live, np.cumsum(live), 0)
+        self.at[n] = np.zeros(len(self.doc), dtype=np.int64)
+        self.at[n][self.starts] = place[self.which]
+        self.parts[n], self.elsewhere[n], self.here[n] = self.tuples[live], elsewhere[live], self.counts[live]
+
+    def rest(self, n: int) -> np.ndarray:
+        """How often the n-gram that starts at each place occurs in all other documents."""
+        at, out, a = self.at[n], np.zeros(len(self.doc), dtype=np.int64), 0
+        own = np.zeros(len(self.doc), dtype=np.int64)
+        for size in self.lengths.tolist():
+            if size:
+                _, back, counts = np.unique(at[a : a + size], return_inverse=True, return_counts=True)
+                own[a : a + size] = counts[back]
+                a += size
+        live = at > 0
+        everywhere = self.elsewhere[n] + self.here[n]
+        out[live] = everywhere[at[live] - 1] - own[live]
+        return out
+
+    def sums(self, order: int) -> np.ndarray:
+        """Sum of log10 of the words' scores for each document."""
+        rest = [self.rest(n) for n in range(1, order + 1)]
+        others = np.maximum(self.total - self.lengths, 1)
+        s = np.where(rest[0] > 0, rest[0], BACKOFF) / others[self.doc]
+        for n in range(2, order + 1):
+            if len(s) < n:
+                break
+            whole = self.doc[: len(s) - n + 1] == self.doc[n - 1 :]
+            own, given = rest[n - 1][: len(s) - n + 1], rest[n - 2][: len(s) - n + 1]
+            found = (own > 0) & (given > 0)
+            s[n - 1 :] = np.where(whole, np.where(found, own / np.maximum(given, 1), BACKOFF * s[n - 1 :]), s[n - 1 :])
+        return np.bincount(self.doc, weights=np.log10(s), minlength=len(self.lengths))
+
+
+def number_words(bits: int) -> Callable[[pa.Table], pa.Table]:
+    """One hash range of all words: those that two documents hold get numbers, 1 and up by falling count and then by the word, that differ over all ranges."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        total: dict[bytes, int] = {}
+        held: dict[bytes, int] = {}
+        own = []
+        for r in rows:
+            words = r["first"].split(b"\n")
+            counts = unpack_counts(r["third"]).tolist()
+            many = np.unpackbits(np.frombuffer(r["second"], dtype=np.uint8), count=len(words)).tolist()
+            own.append((words, counts))
+            for w, n, m in zip(words, counts, many, strict=True):
+                total[w] = total.get(w, 0) + n
+                held[w] = held.get(w, 0) + 1 + m
+        shared = sorted((w for w, n in held.items() if n > 1), key=lambda w: (-total[w], w))
+        number = {w: 1 + (i << bits | rows[0]["bucket"]) for i, w in enumerate(shared)}
+        if shared and number[shared[-1]] >= 1 << 32:
+            raise ValueError("more than 2**32 words that two documents share")
+        out = []
+        for r, (words, counts) in zip(rows, own, strict=True):
+            kept = [(w, number[w], total[w] - n) for w, n in zip(words, counts, strict=True) if w in number]
+            if kept:
+                names, numbers, elsewhere = zip(*kept, strict=True)
+                out.append((r["bucket"], r["chunk"], 1, b"\n".join(names), planes(np.array(numbers, dtype=U64)), pack_counts(np.array(elsewhere, dtype=np.int64))))
+        return messages(out)
+
+    return run
+
+
+def add_up(n: int) -> Callable[[pa.Table], pa.Table]:
+    """One hash range of the n-grams' count table over all chunks; answers each chunk's n-grams with their counts in the other chunks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        tuples = [unpack_tuples(r["first"], n) for r in rows]
+        counts = np.concatenate([unpack_counts(r["second"]) for r in rows])
+        flat = np.concatenate(tuples)
+        index = flat[:, 0]
+        for k in range(1, n):
+            index = np.unique(joined(index, flat[:, k]), return_inverse=True)[1]
+        sums = np.bincount(index, weights=counts).astype(np.int64)
+        elsewhere = np.split(sums[index] - counts, np.cumsum([len(t) for t in tuples])[:-1])
+        return messages([(r["bucket"], r["chunk"], n, pack_counts(e), None, None) for r, e in zip(rows, elsewhere, strict=True)])
+
+    return run
 
 
 def scores(docs: DataFrame, order: int = 3, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
@@ -90,69 +252,78 @@ def scores(docs: DataFrame, order: int = 3, chunk_chars: int = CHUNK_CHARS) -> D
     runs without ASCII blanks, A-Z lower-cased; every word of every document is counted and scored.
 
     Null or empty text: 0 words, log_prob 0, mean and perplexity null. A null doc_id stays null; repeated rows are documents of their own; a corpus of one document
-    backs off everywhere; an empty table gives no rows; other columns are ignored. N-grams are told apart by hashes of hash_bits() bits.
+    backs off everywhere; a very long text makes a chunk of its own size; an empty table gives no rows; other columns are ignored. Counts are exact; more than 2**32 words
+    that two documents share are an error.
     """
     keyed, chars = chunked(docs, chunk_chars)
-    entries = order * max(1, chars // 6)
-    bits, width = min(24, bucket_bits(entries)), hash_bits(entries)
+    tokens = max(1, chars // 6)
+    bits, word_bits = bucket_bits(tokens), min(31, bucket_bits(tokens // 2))
 
-    def by_range(values: np.ndarray) -> list[tuple[int, int, int]]:
-        return split(values, bits, width)
+    def replied(texts: pa.Table, replies: pa.Table, upto: int) -> Chunk:
+        own, by = Chunk(raw(texts["text"])), {}
+        for r in replies.to_pylist():
+            by.setdefault(r["level"], []).append(r)
+        own.take_words(by.get(1, []))
+        for n in range(2, upto + 1):
+            own.take_grams(n, by.get(n, []), bits)
+        return own
 
+    def send_words(table: pa.Table) -> pa.Table:
+        return messages(Chunk(raw(table["text"])).word_rows(table["chunk"][0].as_py(), word_bits))
 
-    def send(table: pa.Table) -> pa.Table:
-        own = Chunk(raw(table["text"]), order, width)
-        number = table["chunk"][0].as_py()
-        return messages([(k, number, 0, pack(own.values[a:b] - U64(k << (width - bits))), pack_counts(own.counts[a:b])) for k, a, b in by_range(own.values)])
+    def send_grams(n: int):
+        def run(table: pa.Table, replies: pa.Table) -> pa.Table:
+            return messages(replied(table, replies, n - 1).gram_rows(n, table["chunk"][0].as_py(), bits) if table.num_rows else [])
+
+        return run
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
-        out = []
+        words, total = np.zeros(0, dtype=np.int64), np.zeros(0)
         if table.num_rows:
-            own = Chunk(raw(table["text"]), order, width)
-            got = {r["bucket"]: r["first"] for r in replies.to_pylist()}
-            corpus = np.concatenate([unpack_counts(got[k]) for k, _, _ in by_range(own.values)])
-            words, at = int(corpus[own.total]), 0
-            for doc, parts in zip(table["doc_id"].to_pylist(), own.docs, strict=True):
-                size = sum(map(len, parts))
-                places = own.which[at : at + size]
-                at += size
-                _, back, mine = np.unique(places, return_inverse=True, return_counts=True)
-                rest = corpus[places] - mine[back]
-                counts = np.split(rest, np.cumsum([len(p) for p in parts])[:-1])
-                n = len(parts[0])
-                contexts = [counts[0], *(counts[k - 1][: max(0, n - k)] for k in range(1, order))]
-                total = backoff(counts, contexts, words - n) if n else 0.0
-                out.append((doc, n, total, total / n if n else None, 10 ** min(300.0, -total / n) if n else None))
-        kinds = (("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_prob", pa.float64()), ("mean_log_prob", pa.float64()), ("perplexity", pa.float64()))
-        columns = list(zip(*out, strict=True)) or [[]] * 5
-        return pa.table({n: pa.array(c, k) for (n, k), c in zip(kinds, columns, strict=True)})
+            own = replied(table, replies, order)
+            words, total = own.lengths, own.sums(order)
+        mean = np.divide(total, words, out=np.zeros(len(words)), where=words > 0)
+        none = words == 0
+        return pa.table({"doc_id": table["doc_id"].cast(pa.int64()), "n_words": pa.array(words, pa.int64()), "log_prob": pa.array(total, pa.float64()), "mean_log_prob": pa.array(mean, pa.float64(), mask=none), "perplexity": pa.array(10.0**-mean, pa.float64(), mask=none)})
 
     groups = keyed.groupBy("chunk")
-    table = groups.applyInArrow(send, MESSAGE).groupBy("bucket").applyInArrow(add_up, MESSAGE)
-    return groups.cogroup(table.groupBy("chunk")).applyInArrow(finish, "doc_id long, n_words long, log_prob double, mean_log_prob double, perplexity double")
-
-
-def brute(texts: list[str | None], order: int = 2) -> list[tuple[int, float]]:
-    """Words and log_prob of each text as the definition states it, for tests."""
-    from collections import Counter
-    from math import log10
-
-    docs = [(t or "").encode().lower().split() for t in texts]
-
-    def count(words):
-        return Counter(tuple(words[i : i + n]) for n in range(1, order + 1) for i in range(len(words) - n + 1))
+    replies = groups.applyInArrow(send_words, MESSAGE).groupBy("bucket").applyInArrow(number_words(word_bits), MESSAGE)
+    for n in range(2, order + 1):
+        asked = groups.cogroup(replies.groupBy("chunk")).applyInArrow(send_grams(n), MESSAGE)
+        replies = replies.unionByName(asked.groupBy("bucket").applyInArrow(add_up(n), MESSAGE))
+    return groups.cogroup(replies.groupBy("chunk")).applyInArrow(finish, "doc_id long, n_words long, log_prob double, mean_log_prob double, perplexity double")
 
-    everything = sum((count(d) for d in docs), Counter())
-    size = sum(map(len, docs))
-    out = []
-    for d in docs:
-        rest = everything - count(d)
-        total = max(1, size - len(d))
 
-        def score(gram):
-            if len(gram) == 1:
-                return (rest[gram] or BACKOFF) / total
-            return rest[gram] / rest[gram[:-1]] if rest[gram] and rest[gram[:-1]] else BACKOFF * score(gram[1:])
+def count_table(docs: DataFrame, order: int = 3) -> DataFrame:
+    """n, gram (its words, joined by one space) and count of all n-grams of the corpus up to `order`: the model as a plain table, partitioned by hash.
 
-        out.append((len(d), sum(log10(score(tuple(d[max(0, i - order + 1) : i + 1]))) for i in range(len(d)))))
-    return out
+    Words as scores() takes them. Null and empty texts have none; repeated rows count each; an empty table gives no rows; other columns are ignored.
+    """
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = docs.select(F.regexp_extract_all(lowered, F.lit(f"({WORDS})"), F.lit(1)).alias("w")).where(F.size("w") > 0)
+    each = words.select("w", F.posexplode("w").alias("i", "word")).select("w", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(order), F.size("w") - F.col("i")))).alias("n"))
+    return each.select("n", F.array_join(F.slice("w", F.col("i") + 1, F.col("n")), " ").alias("gram")).groupBy("n", "gram").agg(F.count("*").alias("count"))
+
+
+SCORES_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+t AS (SELECT sum(len(w)) AS total FROM d),
+p AS (SELECT r, w, unnest(generate_series(1, len(w))) AS i, CAST(len(w) AS BIGINT) AS n FROM d),
+g AS (SELECT r, i, n, w[i] AS g1, CASE WHEN i > 1 THEN w[i - 1] || ' ' || w[i] END AS g2, CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] END AS g3 FROM p),
+e AS (SELECT r, g1 AS g FROM g UNION ALL SELECT r, g2 FROM g WHERE g2 IS NOT NULL UNION ALL SELECT r, g3 FROM g WHERE g3 IS NOT NULL),
+own AS (SELECT r, g, count(*) AS c FROM e GROUP BY r, g),
+everywhere AS (SELECT g, sum(c) AS c FROM own GROUP BY g),
+rest AS (SELECT own.r, own.g, everywhere.c - own.c AS c FROM own JOIN everywhere USING (g)),
+j AS (
+  SELECT g.r, g.i, greatest(t.total - g.n, 1) AS others, a.c AS c1, b.c AS c2, c.c AS c3,
+         lag(a.c) OVER o AS before1, lag(b.c) OVER o AS before2, g.g2 IS NOT NULL AS two, g.g3 IS NOT NULL AS three
+  FROM g CROSS JOIN t JOIN rest a ON g.r = a.r AND g.g1 = a.g LEFT JOIN rest b ON g.r = b.r AND g.g2 = b.g LEFT JOIN rest c ON g.r = c.r AND g.g3 = c.g
+  WINDOW o AS (PARTITION BY g.r ORDER BY g.i)),
+s1 AS (SELECT *, (CASE WHEN c1 > 0 THEN c1 ELSE 0.4::DOUBLE END)::DOUBLE / others::DOUBLE AS s FROM j),
+s2 AS (SELECT * EXCLUDE (s), CASE WHEN NOT two THEN s WHEN c2 > 0 AND before1 > 0 THEN c2::DOUBLE / before1::DOUBLE ELSE 0.4::DOUBLE * s END AS s FROM s1),
+s3 AS (SELECT r, CASE WHEN NOT three THEN s WHEN c3 > 0 AND before2 > 0 THEN c3::DOUBLE / before2::DOUBLE ELSE 0.4::DOUBLE * s END AS s FROM s2),
+x AS (SELECT r, sum(log10(s)) AS log_prob FROM s3 GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(x.log_prob, 0), 4) AS log_prob, round(x.log_prob / len(w), 6) AS mean_log_prob
+FROM d LEFT JOIN x USING (r)
+"""

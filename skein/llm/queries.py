@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, lm, mixing, secrets, simhash, substring, tokens, topk, toxicity, warc
 from .common import load
@@ -32,7 +33,9 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.scores(load(spark, sf_dir, "documents"))
+    found = lm.scores(load(spark, sf_dir, "documents"))
+    # rounded, as sums of doubles depend on their order
+    return found.select("doc_id", "n_words", F.round("log_prob", 4).alias("log_prob"), F.round("mean_log_prob", 6).alias("mean_log_prob"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,4 +58,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_toxicity, op2_token_counts, op3_decontaminate, op4_substring_dedup, op5_simhash, op6_lm_scores, op7_warc, op8_mixing, op9_top_k, op10_secrets)
 }
-ORACLE_SQL = {"op3_decontaminate": decontaminate.REPORT_SQL, "op8_mixing": mixing.MIX_SQL, "op9_top_k": topk.TOP_K_SQL}
+ORACLE_SQL = {"op3_decontaminate": decontaminate.REPORT_SQL, "op6_lm_scores": lm.SCORES_SQL, "op8_mixing": mixing.MIX_SQL, "op9_top_k": topk.TOP_K_SQL}
