@@ -376,8 +376,9 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     met = materialize(members.join(led, "slot"))
     texts, nodes = docs.select(F.md5(text.cast("binary")).alias("md"), text.alias("text")), classes.select("md", "node")
     pairs = materialize(met.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
-    led_by = pairs.groupBy("b").agg(F.count("*").alias("n"))
-    stars = pairs.join(led_by, "b").select("a", "b", F.xxhash64("b", F.pmod(F.xxhash64("a"), pieces(F.col("n")))).alias("tile"))
+    # only leaders of more than one tile's side are looked up: few, so that no leader's pairs have to meet for it
+    many = pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > SIDE).withColumnRenamed("b", "of")
+    stars = pairs.join(many, F.col("b") == F.col("of"), "left").select("a", "b", F.xxhash64("b", F.pmod(F.xxhash64("a"), pieces(F.coalesce("n", F.lit(1))))).alias("tile"))
     linked = materialize(settled(stars, texts, nodes, shingle, similarity))
     found = components(linked)
     roots = classes.select("node").join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", F.coalesce("root", "node").alias("root"))
