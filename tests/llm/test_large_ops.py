@@ -1,5 +1,6 @@
 """Decontamination, substring deduplication, SimHash, language model, mixing, top-k: brute force on small fixtures, edge cases, hot groups."""
 
+import math
 from collections import Counter, defaultdict
 from hashlib import md5, sha256
 
@@ -312,12 +313,50 @@ def test_short_near_copies(spark):
 # --- language model ----------------------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(("order", "chunk"), [(1, 1 << 23), (2, 1 << 23), (2, 400), (3, 300)])
-def test_scores_against_the_definition(spark, order, chunk):
+def brute_scores(texts, order):
+    """Words and log_prob of each text as the definition states it."""
+    own = [(t or "").encode().lower().split() for t in texts]
+
+    def count(words):
+        return Counter(tuple(words[i : i + n]) for n in range(1, order + 1) for i in range(len(words) - n + 1))
+
+    everything = sum((count(d) for d in own), Counter())
+    size = sum(map(len, own))
+    out = []
+    for d in own:
+        rest = everything - count(d)
+        total = max(1, size - len(d))
+
+        def score(gram):
+            if len(gram) == 1:
+                return (rest[gram] or lm.BACKOFF) / total
+            return rest[gram] / rest[gram[:-1]] if rest[gram] and rest[gram[:-1]] else lm.BACKOFF * score(gram[1:])
+
+        out.append((len(d), sum(math.log10(score(tuple(d[max(0, i - order + 1) : i + 1]))) for i in range(len(d)))))
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 2**32 - 1), st.integers(0, 300), st.integers(1, 2**32 - 1)), min_size=1, max_size=30))
+def test_tuples_round_trip(rows):
+    parts = np.array(sorted(rows), dtype=np.uint64)
+    assert lm.unpack_tuples(lm.pack_tuples(parts), 3).tolist() == parts.tolist()
+
+
+def test_count_table(spark):
+    texts = ["a B a b", "", None, "a\tb"]
+    got = {(r.n, r.gram): r["count"] for r in lm.count_table(docs(spark, *texts), 2).collect()}
+    assert got == {(1, "a"): 3, (1, "b"): 3, (2, "a b"): 3, (2, "b a"): 1}
+
+
+@pytest.mark.parametrize(("order", "chunk"), [(1, 1 << 23), (2, 1 << 23), (2, 400), (3, 300), (4, 200)])
+def test_scores_against_the_definition(spark, order, chunk, monkeypatch):
+    if chunk < 1000:
+        monkeypatch.setattr("skein.llm.substring.BUCKET_ENTRIES", 40)
     rng = np.random.default_rng(order)
     texts = sentences(rng, ["a", "B", "c", "dé", "e."], 25, 0, 40) + ["", None, "once", "a a a a"] + ["a b c d e f g"] * 3
     got = {r.doc_id: r for r in lm.scores(clashing(docs(spark, *texts)), order, chunk).collect()}
-    for i, (n, total) in enumerate(lm.brute(texts, order)):
+    for i, (n, total) in enumerate(brute_scores(texts, order)):
         assert got[i].n_words == n and got[i].log_prob == pytest.approx(total, abs=1e-9)
         assert (got[i].mean_log_prob is None) == (n == 0) and (n == 0 or got[i].mean_log_prob == pytest.approx(total / n))
 
@@ -334,8 +373,9 @@ def test_score_edges(spark):
 def brute_mix(rows):
     size = [len((t or "").encode().split()) for _, t, _ in rows]
     by = defaultdict(list)
-    for (i, _, s), n in zip(rows, size, strict=True):
-        by[s].append((md5(f"0:{'' if i is None else i}".encode()).hexdigest(), n, i))
+    for (i, t, s), n in zip(rows, size, strict=True):
+        named = "text:" + md5((t or "").encode()).hexdigest() if i is None else str(i)
+        by[s].append((md5(f"0:{named}".encode()).hexdigest(), n, i))
     order = sorted(by, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: k % 3 + 1 for k, s in enumerate(order)}
     total = {s: sum(n for _, n, _ in by[s]) for s in order}
@@ -374,6 +414,12 @@ def test_mix_against_brute_force(spark):
         taken[x.source] += x.taken
         assert x.taken <= 3 * x.size
     assert all(taken[x.source] == int(x.target) for x in got)
+    many = mixing.RANGES_PER_BLOCK
+    try:
+        mixing.RANGES_PER_BLOCK = 4
+        assert sorted(map(str, mixing.mix(d, rows_per_range=8).collect())) == sorted(map(str, got))
+    finally:
+        mixing.RANGES_PER_BLOCK = many
     kept = mixing.mix(d, keep=("text", "lang"))
     assert kept.columns == ["doc_id", "source", "size", "source_size", "target", "taken", "text", "lang"] and kept.count() == len(rows)
 
@@ -390,8 +436,6 @@ def test_mix_edges(spark):
 
 
 def brute_top(rows, every, k):
-    import math
-
     ok = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for q, a in ok:
@@ -416,3 +460,50 @@ def test_top_k_edges(spark):
     got = sorted(map(tuple, topk.top_k(df).collect()))
     assert got == [(0, 1, 1, 256 * 256 * 3 * 10**9), (0, 2, 50, 256 * 256 * 10**9), (50, 1, 1, min(2**63 - 1, 256 * 256 * 2 * 10**18)), (50, 2, 0, 256 * 256 * 10**9)]
     assert topk.top_k(df.limit(0)).count() == 0
+
+
+def searched(x, every=50, k=5, sample=1000):
+    """Results of the search over rows x, and the share of pairs that each level leaves."""
+    rng = np.random.default_rng(0)
+    ids = np.arange(len(x))
+    asked, some = ids % every == 0, rng.permutation(len(x))[:sample]
+    block = topk.Block(ids[asked], x[asked], topk.fitted(x[some]), topk.floors(ids[asked], x[asked], ids[some], x[some], k))
+    best = (np.full((asked.sum(), k), topk.LEAST), np.full((asked.sum(), k), topk.NONE))
+    left = np.zeros(len(topk.LEVELS) + 1)
+    for a in range(0, len(x), 1024):
+        seen = []
+        topk.search(block, ids[a : a + 1024], x[a : a + 1024], best, k, seen)
+        left += seen
+    scores = (x[asked] @ x.T).astype(np.int64)
+    scores[np.arange(asked.sum()), ids[asked]] = topk.LEAST
+    order = np.lexsort((np.broadcast_to(ids, scores.shape), ~scores), axis=1)[:, :k]
+    assert (best[1] == order).all() and (best[0] == np.take_along_axis(scores, order, 1)).all()
+    return left / left[0]
+
+
+@pytest.mark.parametrize(("kind", "most"), [("clusters", 0.05), ("low rank", 0.01), ("isotropic", 1)])
+def test_bounds_prune_where_vectors_have_a_structure(kind, most):
+    rng = np.random.default_rng(1)
+    if kind == "clusters":
+        centres = rng.normal(0, 1, (40, 64))
+        x = centres[rng.integers(0, 40, 5000)] + rng.normal(0, 0.15, (5000, 64))
+    else:
+        x = rng.normal(0, 1, (5000, 64)) if kind == "isotropic" else rng.normal(0, 1, (5000, 6)) @ rng.normal(0, 1, (6, 64)) + rng.normal(0, 0.05, (5000, 64))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1)[:, None])
+    left = searched(x)
+    assert left[-1] <= most and (np.diff(left) <= 0).all()
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.integers(1, 20), st.integers(0, 10**6), st.sampled_from([1.0, 1e4, 1e9, 1e160]))
+def test_bounds_never_lie_below_the_product(n, seed, size):
+    rng = np.random.default_rng(seed)
+    x = np.floor(size * rng.normal(0, 1, (30, n)) * rng.integers(0, 2, (30, n)))
+    basis = topk.fitted(x[:10])
+    block = topk.Block(np.arange(30), x, basis, np.full(30, topk.LEAST))
+    want = x @ x.T
+    for i in range(30):
+        q, c = topk.survivors(block.part(i, i + 1), x, np.array([want[i].min() if size < 1e100 else 0]))
+        assert len(c) == 30 or size > 1e100
+        kept = topk.survivors(block.part(i, i + 1), x, np.array([np.median(want[i])]))[1]
+        assert size > 1e100 or set(np.flatnonzero(want[i] >= np.median(want[i]))) <= set(kept.tolist())
