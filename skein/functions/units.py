@@ -39,8 +39,15 @@ def sign(strand: str | Column) -> Column:
 
 
 def natural_key(name: str) -> Column:
-    """Orders names by their text with digits taken out, then by their last number."""
-    return F.struct(F.regexp_replace(name, r"\d+", ""), F.regexp_extract(name, r"(\d+)\D*$", 1).try_cast("bigint"))
+    """Orders names by their runs of text and of digits in turn, digits by value (of any length; equal values by fewer leading zeros) and before text."""
+    runs = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
+
+    def part(run: Column) -> Column:
+        digits = run.rlike(r"^\d")
+        value = F.when(digits, F.regexp_replace(run, r"^0+(?=\d)", "")).otherwise(run)
+        return F.struct(F.when(digits, 0).otherwise(1).alias("kind"), F.when(digits, F.length(value)).otherwise(0).alias("size"), value.alias("value"), F.length(run).alias("width"))
+
+    return F.transform(runs, part)
 
 
 def split_name(name: str) -> tuple[Column, Column, Column]:

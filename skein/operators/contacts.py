@@ -117,9 +117,30 @@ def distances(pairs: DataFrame, contigs: DataFrame) -> DataFrame:
     return pairs.where("chrom1 <> chrom2").join(one, "chrom1").join(two, "chrom2").select(F.col("chrom1").alias("contig1"), F.col("chrom2").alias("contig2"), F.explode(by).alias("x")).select("contig1", "contig2", "x.orientation", "x.d")
 
 
-def clm(pairs: DataFrame, contigs: DataFrame, least: int = 1) -> DataFrame:
-    """Per contig pair and orientation the number of links and their distances, sorted. Lists are as long as a contig pair has links."""
-    return distances(pairs, contigs).groupBy("contig1", "contig2", "orientation").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("d")).alias("distances")).where(F.col("n") >= least)
+#: Links of one contig pair whose distances go into one row at most.
+LINKS_PER_ROW = 100_000
+
+
+def clm(pairs: DataFrame, contigs: DataFrame, least: int = 1, most: int = LINKS_PER_ROW) -> DataFrame:
+    """Per contig pair and orientation the number of links and their distances, sorted: contig1, contig2, orientation, n, part, distances.
+
+    Each pair's two positions are shuffled once; the four orientations follow from them. Contig pairs with more than `most` links are dealt out over several rows
+    of about that size (part 0, 1, ..., each sorted, n is that of the whole pair), so that no row grows with a hot pair.
+    """
+    one, two = contigs.select(F.col("contig").alias("chrom1"), F.col("length").alias("l1")), contigs.select(F.col("contig").alias("chrom2"), F.col("length").alias("l2"))
+    trans = pairs.where("chrom1 <> chrom2")
+    counted = trans.groupBy("chrom1", "chrom2").agg(F.count("*").alias("n")).where(F.col("n") >= least).join(one, "chrom1").join(two, "chrom2")
+    parts = F.floor((F.col("n") - 1) / most).cast("int") + 1
+    dealt = trans.select("chrom1", "chrom2", "pos1", "pos2").join(counted, ["chrom1", "chrom2"]).withColumn("part", F.when(parts > 1, F.pmod(F.xxhash64("pos1", "pos2"), parts)).otherwise(0))
+    held = dealt.groupBy("chrom1", "chrom2", "part").agg(F.first("n").alias("n"), F.first("l1").alias("l1"), F.first("l2").alias("l2"), F.collect_list(F.struct("pos1", "pos2")).alias("at"))
+
+    def by(d) -> F.Column:
+        return F.array_sort(F.transform("at", lambda x: d(x["pos1"], x["pos2"])))
+
+    l1, l2 = F.col("l1"), F.col("l2")
+    forms = (lambda p, q: l1 - p + q, lambda p, q: l1 - p + l2 - q, lambda p, q: p + q, lambda p, q: p + l2 - q)
+    rows = F.explode(F.array(*[F.struct(F.lit(o).alias("orientation"), by(f).alias("distances")) for o, f in zip(ORIENTATIONS, forms, strict=True)])).alias("x")
+    return held.select(F.col("chrom1").alias("contig1"), F.col("chrom2").alias("contig2"), "n", "part", rows).select("contig1", "contig2", "x.orientation", "n", "part", "x.distances")
 
 
 def clm_scores(pairs: DataFrame, contigs: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, sized
 
 
 def both_ways(edges: DataFrame, diagonal: bool = False) -> DataFrame:
@@ -142,59 +144,117 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         labels = fresh.select("contig", "label")
         if fresh.where("moved").limit(1).count() == 0:
             break
+    else:
+        raise RuntimeError(f"components are not settled after {rounds} rounds")
     return labels.select("contig", F.col("label").alias("component"))
 
 
-def louvain(nodes: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, resolution: float = 1.0) -> np.ndarray:
-    """Community of each node by multilevel modularity; nodes are visited in order and ties go to the lower community, so reruns agree."""
-    label = np.arange(nodes)
-    loops = np.zeros(nodes)
-    while True:
-        n = len(loops)
-        order = np.argsort(np.concatenate([src, dst]), kind="stable")
-        ends, heads, weights = np.concatenate([src, dst])[order], np.concatenate([dst, src])[order], np.concatenate([w, w])[order]
-        at = np.searchsorted(ends, np.arange(n + 1))
-        degree = np.bincount(ends, weights=weights, minlength=n) + 2 * loops
-        total = degree.sum()
-        own, mass = np.arange(n), degree.copy()
-        if total <= 0:
-            break
-        moved_any = False
-        for _ in range(100):
-            moved = False
-            for v in range(n):
-                near: dict[int, float] = {}
-                for u, x in zip(heads[at[v] : at[v + 1]].tolist(), weights[at[v] : at[v + 1]].tolist(), strict=True):
-                    c = int(own[u])
-                    near[c] = near.get(c, 0.0) + x
-                mine = int(own[v])
-                mass[mine] -= degree[v]
-                best, gain = mine, near.get(mine, 0.0) - resolution * mass[mine] * degree[v] / total
-                for c in sorted(near):
-                    g = near[c] - resolution * mass[c] * degree[v] / total
-                    if g > gain + 1e-12:
-                        best, gain = c, g
-                mass[best] += degree[v]
-                if best != mine:
-                    own[v], moved, moved_any = best, True, True
-            if not moved:
+class Network:
+    """A weighted graph as adjacency lists; loops count twice in a node's degree."""
+
+    def __init__(self, n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, loops: np.ndarray):
+        self.n, self.src, self.dst, self.w, self.loops = n, src, dst, w, loops
+        ends = np.concatenate([src, dst])
+        order = np.argsort(ends, kind="stable")
+        self.heads, self.weights = np.concatenate([dst, src])[order], np.concatenate([w, w])[order]
+        self.at = np.searchsorted(ends[order], np.arange(n + 1))
+        self.degree = np.bincount(ends, weights=np.concatenate([w, w]), minlength=n) + 2 * loops
+        self.total = float(self.degree.sum())
+
+    def near(self, v: int, own: np.ndarray) -> dict[int, float]:
+        """Weight between a node and each community around it."""
+        out: dict[int, float] = {}
+        for u, x in zip(self.heads[self.at[v] : self.at[v + 1]].tolist(), self.weights[self.at[v] : self.at[v + 1]].tolist(), strict=True):
+            c = int(own[u])
+            out[c] = out.get(c, 0.0) + x
+        return out
+
+    def move(self, own: np.ndarray, resolution: float) -> np.ndarray:
+        """Nodes go to the neighbouring community with the largest gain; neighbours of those that moved are looked at again. Ties stay, then go to the lower community."""
+        own = own.copy()
+        mass = np.bincount(own, weights=self.degree, minlength=self.n)
+        queue, waiting = deque(range(self.n)), np.ones(self.n, dtype=bool)
+        for _ in range(200 * self.n + 1000):
+            if not queue:
                 break
-        names, own = np.unique(own, return_inverse=True)
-        label = own[label]
-        if not moved_any or len(names) == n:
-            break
-        a, b = own[src], own[dst]
+            v = queue.popleft()
+            waiting[v] = False
+            near, mine = self.near(v, own), int(own[v])
+            mass[mine] -= self.degree[v]
+            best, gain = mine, near.get(mine, 0.0) - resolution * mass[mine] * self.degree[v] / self.total
+            for c in sorted(near):
+                g = near[c] - resolution * mass[c] * self.degree[v] / self.total
+                if g > gain + 1e-12:
+                    best, gain = c, g
+            mass[best] += self.degree[v]
+            if best != mine:
+                own[v] = best
+                for u in self.heads[self.at[v] : self.at[v + 1]].tolist():
+                    if own[u] != best and not waiting[u]:
+                        waiting[u] = True
+                        queue.append(u)
+        return own
+
+    def refine(self, own: np.ndarray, resolution: float) -> np.ndarray:
+        """Splits every community into parts that hang together: each node alone, then single nodes that are well connected within their community join the best part of it."""
+        part = np.arange(self.n)
+        mass, size = self.degree.copy(), np.ones(self.n, dtype=int)
+        whole = np.bincount(own, weights=self.degree, minlength=self.n)
+        inside = np.zeros(self.n)  # weight between a part and the rest of its community
+        same = own[self.src] == own[self.dst]
+        np.add.at(inside, self.src[same], self.w[same])
+        np.add.at(inside, self.dst[same], self.w[same])
+        for v in range(self.n):
+            rest = whole[own[v]] - self.degree[v]
+            if size[part[v]] > 1 or inside[v] < resolution * self.degree[v] * rest / self.total:
+                continue
+            best, gain, tied = -1, 1e-12, 0.0
+            for p, x in sorted(self.near(v, part).items()):
+                if p == part[v] or own[p] != own[v] or inside[p] < resolution * mass[p] * (whole[own[v]] - mass[p]) / self.total:
+                    continue
+                g = x - resolution * mass[p] * self.degree[v] / self.total
+                if g > gain:
+                    best, gain, tied = p, g, x
+            if best >= 0:
+                inside[best] += inside[v] - 2 * tied
+                mass[best] += mass[v]
+                size[best] += 1
+                part[v] = best
+        return part
+
+    def folded(self, part: np.ndarray, k: int) -> Network:
+        """The graph whose nodes are the parts 0 .. k-1."""
+        a, b = part[self.src], part[self.dst]
         inner = a == b
-        loops = np.bincount(own, weights=loops, minlength=len(names)) + np.bincount(a[inner], weights=w[inner], minlength=len(names))
-        lo, hi = np.minimum(a, b)[~inner], np.maximum(a, b)[~inner]
-        keys, back = np.unique(lo * len(names) + hi, return_inverse=True)
-        w = np.bincount(back, weights=w[~inner], minlength=len(keys))
-        src, dst = keys // len(names), keys % len(names)
-    return label
+        loops = np.bincount(part, weights=self.loops, minlength=k) + np.bincount(a[inner], weights=self.w[inner], minlength=k)
+        keys, back = np.unique(np.minimum(a, b)[~inner] * k + np.maximum(a, b)[~inner], return_inverse=True)
+        return Network(k, keys // k, keys % k, np.bincount(back, weights=self.w[~inner], minlength=len(keys)), loops)
+
+
+def leiden(nodes: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, resolution: float = 1.0) -> np.ndarray:
+    """Community of each node by modularity: local moves, refinement into parts that hang together, the same on the graph of the parts, until nothing moves.
+
+    Nodes are visited in order and ties go to the lower community, so reruns agree.
+    """
+    graph, label = Network(nodes, src, dst, w, np.zeros(nodes)), np.arange(nodes)
+    own = np.arange(nodes)
+    while graph.total > 0:
+        own = graph.move(own, resolution)
+        part = graph.refine(own, resolution)
+        names, part = np.unique(part, return_inverse=True)
+        if len(names) == graph.n:  # no two nodes belong together more closely than their communities
+            names, part = np.unique(own, return_inverse=True)
+            if len(names) == graph.n:
+                break
+        member = np.empty(len(names), dtype=np.int64)
+        member[part] = own
+        label, graph = part[label], graph.folded(part, len(names))
+        own = np.unique(member, return_inverse=True)[1]
+    return own[label]
 
 
 def communities(edges: DataFrame, resolution: float = 1.0, group: str | None = None) -> DataFrame:
-    """(component, contig, community): Louvain inside every connected component, or every given group, each in one task; communities are named by their least contig.
+    """(component, contig, community): Leiden inside every connected component, or every given group, each in one task; communities are named by their least contig.
 
     A component is contig-level: its edges fit a worker, as contigs number 10^3 to 10^5 whatever the number of reads behind the weights.
     """
@@ -206,7 +266,7 @@ def communities(edges: DataFrame, resolution: float = 1.0, group: str | None = N
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         names, at = np.unique(np.concatenate([rows["src"], rows["dst"]]), return_inverse=True)
         order = np.lexsort((at[len(rows) :], at[: len(rows)]))
-        found = louvain(len(names), at[: len(rows)][order], at[len(rows) :][order], rows["w"].to_numpy()[order], resolution)
+        found = leiden(len(names), at[: len(rows)][order], at[len(rows) :][order], rows["w"].to_numpy()[order], resolution)
         least = pd.Series(names).groupby(found).transform("min")
         return pd.DataFrame({"component": rows["component"].iloc[0], "contig": names, "community": least.to_numpy()})
 
@@ -247,70 +307,140 @@ def merge_groups(blocks: pd.DataFrame, sizes: dict[int, float], k: int, conflict
 
 
 def half_densities(pairs: DataFrame, contigs: DataFrame) -> DataFrame:
-    """Links between contig halves (H: first, T: second), their density by both halves' lengths, and confidence: density over the larger second-best of both halves."""
-    one, two = contigs.select(F.col("contig").alias("chrom1"), F.col("length").alias("l1")), contigs.select(F.col("contig").alias("chrom2"), F.col("length").alias("l2"))
+    """Links between contig halves (H: first, T: second), their density by both contigs' lengths, and confidence.
 
-    def half(chrom, pos, length):
-        return F.concat(F.col(chrom).cast("string"), F.when(F.col(pos) * 2 <= F.col(length), "H").otherwise("T"))
+    Confidence is the density over the largest density that either half has with any other half, 2 if neither has another. Pairs count alike whichever contig
+    comes first. Links are counted over numbers; names are made for the counts only.
+    """
+    lengths = sized(contigs.select("contig", "length"))
+    one, two = lengths.select(F.col("contig").alias("chrom1"), F.col("length").alias("l1")), lengths.select(F.col("contig").alias("chrom2"), F.col("length").alias("l2"))
+    one, two = (sized(x) for x in (one, two))
+    tail1, tail2 = F.col("pos1") * 2 > F.col("l1"), F.col("pos2") * 2 > F.col("l2")
+    ends = F.sort_array(F.array(F.struct(F.col("chrom1").alias("contig"), tail1.alias("tail"), F.col("l1").alias("length")), F.struct(F.col("chrom2").alias("contig"), tail2.alias("tail"), F.col("l2").alias("length"))))
+    counted = pairs.where("chrom1 <> chrom2").join(one, "chrom1").join(two, "chrom2").select(ends[0].alias("a"), ends[1].alias("b")).groupBy("a", "b").agg(F.count("*").alias("links"))
 
-    e = pairs.where("chrom1 <> chrom2").join(one, "chrom1").join(two, "chrom2").groupBy(half("chrom1", "pos1", "l1").alias("x"), half("chrom2", "pos2", "l2").alias("y"), "l1", "l2").agg(F.count("*").alias("links"))
-    e = e.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "links", (F.col("links") * 4e8 / (F.col("l1").cast("double") * F.col("l2"))).alias("density"))
-    rn = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("density"), "y"))
+    def name(end: str) -> F.Column:
+        return F.concat(F.col(f"{end}.contig").cast("string"), F.when(F.col(f"{end}.tail"), "T").otherwise("H"))
+
+    e = counted.select(F.least(name("a"), name("b")).alias("x"), F.greatest(name("a"), name("b")).alias("y"), "links", (F.col("links") * 4e8 / (F.col("a.length").cast("double") * F.col("b.length"))).alias("density"))
     sides = e.select("x", "y", "density").unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"), "density"))
-    second = sides.withColumn("rn", rn).where("rn = 2").select("x", F.col("density").alias("second"))
-    return e.join(second, "x", "left").join(second.select(F.col("x").alias("y"), F.col("second").alias("second_y")), "y", "left").select("x", "y", "links", "density", (F.col("density") / F.greatest("second", "second_y")).alias("confidence"))
-
-
-def grow_paths(rows: pd.DataFrame, lengths: dict[int, int]) -> list[list[tuple[int, str]]]:
-    """Ordered, oriented paths from half-to-half densities: the strongest links first, each end used once, no cycles (a maximum spanning set of paths)."""
-    ends: dict[str, str] = {}
-    root = {c: c for c in lengths}
-
-    def find(c: int) -> int:
-        while root[c] != c:
-            root[c] = root[root[c]]
-            c = root[c]
-        return c
-
-    for x, y, _ in sorted(rows[["x", "y", "density"]].itertuples(index=False), key=lambda r: (-r[2], r[0], r[1])):
-        a, b = int(x[:-1]), int(y[:-1])
-        if x in ends or y in ends or find(a) == find(b):
-            continue
-        ends[x], ends[y] = y, x
-        root[find(a)] = find(b)
-    seen: set[int] = set()
-    out = []
-    for c in sorted(lengths):
-        if c in seen or (f"{c}H" in ends and f"{c}T" in ends):
-            continue
-        path, at, enter = [], c, "H" if f"{c}H" not in ends else "T"
-        while True:
-            seen.add(at)
-            path.append((at, "+" if enter == "H" else "-"))
-            leave = f"{at}{'T' if enter == 'H' else 'H'}"
-            if leave not in ends:
+    rn = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("density"), "y"))
+    ranked = sides.withColumn("rn", rn).where("rn <= 2")
+    tops = ranked.groupBy("x").agg(F.max(F.when(F.col("rn") == 1, F.col("y"))).alias("first"), F.max("density").alias("best"), F.coalesce(F.max(F.when(F.col("rn") == 2, F.col("density"))), F.lit(0.0)).alias("second"))
+    here, there = tops.select("x", F.col("first").alias("x_first"), F.col("best").alias("x_best"), F.col("second").alias("x_second")), tops.select(F.col("x").alias("y"), F.col("first").alias("y_first"), F.col("best").alias("y_best"), F.col("second").alias("y_second"))
+    other = F.greatest(F.when(F.col("x_first") == F.col("y"), F.col("x_second")).otherwise(F.col("x_best")), F.when(F.col("y_first") == F.col("x"), F.col("y_second")).otherwise(F.col("y_best")))
+    return e.join(here, "x").join(there, "y").select("x", "y", "links", "density", F.when(other > 0, F.col("density") / other).otherwise(2.0).alias("confidence"))
+
+
+class Growth:
+    """Paths of one group's contigs, grown round by round from the links between their ends.
+
+    A path's end is the contig halves from that end inwards that begin within the flank, half of the path's halves at most. In each round the links between all ends become
+    densities; a link surer than the cutoff (denser than any other of both ends by that factor) joins its two paths. When none is, the shortest path steps aside
+    and the others try again, until two are left. Links are kept as lists, so a round is linear in them.
+    """
+
+    def __init__(self, lengths: dict[int, int], flank: int, cutoff: float):
+        self.lengths, self.flank, self.cutoff = lengths, flank, cutoff
+        # a path is its halves in order: (contig, 0) and (contig, 1) are first and second half
+        self.paths: list[list[tuple[int, int]]] = [[(c, 0), (c, 1)] for c in sorted(lengths)]
+
+    def size(self, path: list[tuple[int, int]]) -> float:
+        return sum(self.lengths[c] / 2 for c, _ in path)
+
+    def end(self, path: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], float]:
+        taken, held = [], 0.0
+        for half in path[: len(path) // 2]:
+            if taken and held >= self.flank:
+                break
+            taken.append(half)
+            held += self.lengths[half[0]] / 2
+        return taken, held
+
+    def links(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, at: dict[tuple[int, int], int]) -> list[tuple[float, int, int]]:
+        """(confidence, end, end) of the ends 2 p and 2 p + 1 of path p, surest first, those at most at the cutoff left out."""
+        owner, width = np.full(len(at), -1), np.zeros(2 * len(self.paths))
+        for p, path in enumerate(self.paths):
+            for side, part in ((0, path), (1, path[::-1])):
+                halves, width[2 * p + side] = self.end(part)
+                owner[[at[h] for h in halves]] = 2 * p + side
+        x, y = owner[a], owner[b]
+        ok = (x >= 0) & (y >= 0) & (x // 2 != y // 2)
+        lo, hi = np.minimum(x, y)[ok], np.maximum(x, y)[ok]
+        keys, back = np.unique(lo * (2 * len(self.paths)) + hi, return_inverse=True)
+        x, y = keys // (2 * len(self.paths)), keys % (2 * len(self.paths))
+        density = np.bincount(back, weights=n[ok], minlength=len(keys)) / (width[x] * width[y])
+        ends, others, d = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([density, density])
+        order = np.lexsort((others, -d, ends))
+        first, second, partner = np.zeros(len(width)), np.zeros(len(width)), np.full(len(width), -1)
+        for e, o, v in zip(ends[order].tolist(), others[order].tolist(), d[order].tolist(), strict=True):
+            if partner[e] < 0:
+                partner[e], first[e] = o, v
+            elif not second[e]:
+                second[e] = v
+        rest = np.maximum(np.where(partner[x] == y, second[x], first[x]), np.where(partner[y] == x, second[y], first[y])) if len(x) else np.zeros(0)
+        sure = np.where(rest > 0, density / np.where(rest > 0, rest, 1), 2.0)
+        return sorted(((c, i, j) for c, i, j in zip(sure.tolist(), x.tolist(), y.tolist(), strict=True) if c > self.cutoff), key=lambda r: (-r[0], r[1], r[2]))
+
+    def join(self, found: list[tuple[float, int, int]]) -> None:
+        held = {p: [p] for p in range(len(self.paths))}
+        of = {p: p for p in held}
+        made = {p: list(path) for p, path in enumerate(self.paths)}
+        for _, i, j in found:
+            a, b = of[i // 2], of[j // 2]
+            if a == b:
+                continue
+            # the first path ends, and the second begins, with the two halves that meet
+            one = self.paths[i // 2][0 if i % 2 == 0 else -1]
+            two = self.paths[j // 2][0 if j % 2 == 0 else -1]
+            left, right = made[a], made[b]
+            left = left[::-1] if left[0] == one else left
+            right = right[::-1] if right[-1] == two else right
+            if left[-1] != one or right[0] != two:
+                continue
+            made[a] = left + right
+            held[a] += held.pop(b)
+            del made[b]
+            for p in held[a]:
+                of[p] = a
+        self.paths = sorted(made.values(), key=lambda p: (-self.size(p), min(c for c, _ in p)))
+
+    def run(self, rows: pd.DataFrame) -> list[list[tuple[int, str]]]:
+        """rows: x, y (names of halves) and links. Paths of (contig, strand), the longest first, then those that stepped aside, the last first."""
+        at = {(c, h): 2 * i + h for i, c in enumerate(sorted(self.lengths)) for h in (0, 1)}
+        place = lambda names: np.array([at[int(v[:-1]), int(v[-1] == "T")] for v in names], dtype=np.int64)
+        a, b, n = place(rows["x"]), place(rows["y"]), rows["links"].to_numpy(dtype=float)
+        aside = []
+        while len(self.paths) > 1:
+            if found := self.links(a, b, n, at):
+                self.join(found)
+            elif len(self.paths) > 2:
+                aside.append(self.paths.pop())
+            else:
                 break
-            at, enter = int(ends[leave][:-1]), ends[leave][-1]
-        out.append(path)
-    return sorted(out, key=lambda p: (-sum(lengths[c] for c, _ in p), p[0]))
+        out = []
+        for path in [*self.paths, *aside[::-1]]:
+            path = path[::-1] if path[0][0] > path[-1][0] or path[0][0] == path[-1][0] and path[0][1] else path
+            out.append([(c, "+" if h == 0 else "-") for c, h in path[::2]])
+        return out
 
 
-def ordered_groups(pairs: DataFrame, contigs: DataFrame, membership: DataFrame) -> DataFrame:
-    """(grp, pos, contig, strand): contigs of each group ordered and oriented by growing paths over half densities, one group a task."""
+def ordered_groups(pairs: DataFrame, contigs: DataFrame, membership: DataFrame, flank: int = 500_000, cutoff: float = 1.0) -> DataFrame:
+    """(grp, path, pos, contig, strand): contigs of each group ordered and oriented by growing paths over the links of their halves, one group a task."""
     m = membership.select("contig", "grp")
-    one, two = m.select(F.concat(F.col("contig").cast("string"), F.lit("H")).alias("h"), F.concat(F.col("contig").cast("string"), F.lit("T")).alias("t"), "grp"), m
-    halves = one.select(F.explode(F.array("h", "t")).alias("x"), "grp")
-    d = half_densities(pairs, contigs).select("x", "y", "density")
-    inner = d.join(halves, "x").join(halves.select(F.col("x").alias("y"), F.col("grp").alias("g2")), "y").where("grp = g2").select("grp", "x", "y", "density", F.lit(None).cast("long").alias("contig"), F.lit(None).cast("long").alias("length"))
-    alone = two.join(contigs, "contig").select("grp", F.lit(None).cast("string").alias("x"), F.lit(None).cast("string").alias("y"), F.lit(None).cast("double").alias("density"), "contig", "length")
+    halves = m.select(F.explode(F.array(*(F.concat(F.col("contig").cast("string"), F.lit(h)) for h in "HT"))).alias("x"), "grp")
+    d = half_densities(pairs, contigs).select("x", "y", "links")
+    none = F.lit(None).cast("long")
+    inner = d.join(halves, "x").join(halves.select(F.col("x").alias("y"), F.col("grp").alias("g2")), "y").where("grp = g2").select("grp", "x", "y", "links", none.alias("contig"), none.alias("length"))
+    alone = m.join(contigs, "contig").select("grp", F.lit(None).cast("string").alias("x"), F.lit(None).cast("string").alias("y"), none.alias("links"), "contig", "length")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         own = rows[rows["contig"].notna()]
-        paths = grow_paths(rows[rows["x"].notna()], {int(c): int(n) for c, n in zip(own["contig"], own["length"], strict=True)})
-        flat = [x for p in paths for x in p]
-        return pd.DataFrame({"grp": rows["grp"].iloc[0], "pos": np.arange(1, len(flat) + 1), "contig": [c for c, _ in flat], "strand": [s for _, s in flat]})
+        paths = Growth({int(c): int(n) for c, n in zip(own["contig"], own["length"], strict=True)}, flank, cutoff).run(rows[rows["x"].notna()])
+        flat = [(i, *x) for i, p in enumerate(paths, 1) for x in p]
+        return pd.DataFrame({"grp": rows["grp"].iloc[0], "path": [i for i, _, _ in flat], "pos": np.arange(1, len(flat) + 1), "contig": [c for _, c, _ in flat], "strand": [s for _, _, s in flat]})
 
-    return inner.unionByName(alone).groupBy("grp").applyInPandas(run, "grp long, pos long, contig long, strand string")
+    return inner.unionByName(alone).groupBy("grp").applyInPandas(run, "grp long, path long, pos long, contig long, strand string")
 
 
 def longest_increasing(values: list[int]) -> int:
@@ -324,12 +454,12 @@ def longest_increasing(values: list[int]) -> int:
     return len(tails)
 
 
-def longest_common(a: list, b: list) -> int:
-    """Length of the longest common subsequence."""
+def longest_common(a: list, b: list, weights: list | None = None) -> int:
+    """Length, or with a weight for each element of a weight, of the heaviest common subsequence."""
     row = np.zeros(len(b) + 1, dtype=np.int64)
     other = np.array(b, dtype=object)
-    for x in a:
-        hit = np.concatenate([[0], row[:-1] + (other == x)]) if len(b) else row
+    for x, w in zip(a, weights or [1] * len(a), strict=True):
+        hit = np.concatenate([[0], row[:-1] + w * (other == x).astype(np.int64)]) if len(b) else row
         row = np.maximum.accumulate(np.maximum(row, hit))
     return int(row[-1])
 

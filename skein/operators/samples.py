@@ -53,10 +53,14 @@ def merged_prune(*tables: DataFrame) -> DataFrame:
 def subset_rows(rows: DataFrame) -> DataFrame:
     """Rows (read_name, member, a set each) whose set lies within another's; of equal sets all but the first.
 
-    Sets meet by shared member, so only sets with something in common are compared: a set lies within another if they share as many as it has.
+    A set that lies within another shares its rarest member with it, so each set is compared only with the sets that hold that member, the larger or
+    equal ones: it lies within one if they share as many as it has. Frequent members are nobody's rarest unless all of a set's are.
     """
-    n = rows.groupBy("read_name").agg(F.count("*").alias("n"))
-    a, b = rows, rows.select(F.col("read_name").alias("other"), "member")
-    shared = a.join(b, "member").where("read_name <> other").groupBy("read_name", "other").agg(F.count("*").alias("k"))
-    j = shared.join(n, "read_name").where("k = n").join(n.select(F.col("read_name").alias("other"), F.col("n").alias("m")), "other")
-    return j.where("n < m OR other < read_name").select("read_name").distinct()
+    sets = rows.select("read_name", "member").distinct()
+    held = sets.groupBy("member").agg(F.count("*").alias("sets"))
+    named = sets.join(held, "member").groupBy("read_name").agg(F.min(F.struct("sets", "member")).alias("rarest"), F.count("*").alias("n"))
+    asks = named.select("read_name", "n", F.col("rarest.member").alias("member"))
+    others = sets.select(F.col("read_name").alias("other"), "member").join(named.select(F.col("read_name").alias("other"), F.col("n").alias("m")), "other")
+    near = asks.join(others, "member").where("read_name <> other AND (m > n OR m = n AND other < read_name)").select("read_name", "other", "n")
+    shared = near.join(sets, "read_name").join(sets.withColumnRenamed("read_name", "other"), ["other", "member"]).groupBy("read_name", "other", "n").agg(F.count("*").alias("k"))
+    return shared.where("k = n").select("read_name").distinct()

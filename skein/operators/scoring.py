@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import both_ways, hungarian
+from .graph import both_ways, components, hungarian
 
 
 def weak_2x2(contacts: DataFrame, alleles: DataFrame) -> DataFrame:
@@ -94,6 +94,30 @@ def rescue(edges: pd.DataFrame, groups: dict[int, int], lengths: dict[int, int],
     return out
 
 
+def rescued(edges: DataFrame, membership: DataFrame, contigs: DataFrame, alleles: DataFrame, least: float, share: float, ambiguity: float = 0.85) -> DataFrame:
+    """(contig, grp) with contigs rescued one after the other, the longest first: each one placed counts for those after it. One connected component of the edges a task.
+
+    A component is contig-level: its edges fit a worker, as contigs number 10^3 to 10^5 whatever the number of reads behind the weights. Contigs without edges stay as they are.
+    """
+    off = edges.where("src <> dst").select("src", "dst", "w")
+    of = components(off)
+    one = of.select(F.col("contig").alias("src"), "component")
+    none, zero = F.lit(None).cast("long"), F.lit(None).cast("double")
+    links = off.join(one, "src").select("component", F.lit(0).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "w")
+    sizes = contigs.select("contig", "length").join(of, "contig").select("component", F.lit(1).alias("kind"), F.col("contig").alias("a"), F.col("length").cast("long").alias("b"), zero.alias("w"))
+    groups = membership.select("contig", "grp").join(of, "contig").select("component", F.lit(2).alias("kind"), F.col("contig").alias("a"), F.col("grp").alias("b"), zero.alias("w"))
+    barred = alleles.select("c1", "c2").join(of.withColumnRenamed("contig", "c1"), "c1").select("component", F.lit(3).alias("kind"), F.col("c1").alias("a"), F.col("c2").alias("b"), zero.alias("w"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        part = {k: rows[rows["kind"] == k] for k in range(4)}
+        pairs = {k: dict(zip(part[k]["a"].tolist(), part[k]["b"].tolist(), strict=True)) for k in (1, 2)}
+        out = rescue(part[0].rename(columns={"a": "src", "b": "dst"}), pairs[2], pairs[1], set(zip(part[3]["a"].tolist(), part[3]["b"].tolist(), strict=True)), least, share, ambiguity)
+        return pd.DataFrame({"contig": list(out), "grp": list(out.values())}, dtype="int64")
+
+    found = links.unionByName(sizes).unionByName(groups).unionByName(barred).groupBy("component").applyInPandas(run, "contig long, grp long")
+    return found.unionByName(membership.select("contig", "grp").join(of, "contig", "left_anti"))
+
+
 def recluster_candidates(scores: DataFrame, membership: DataFrame, ratio: float, least: float, specificity: float = 0.9) -> DataFrame:
     """Contigs whose best other group scores over `ratio` times their own, with specificity and total above the limits."""
     own = membership.select("contig", F.col("grp").alias("own_grp"))
@@ -221,6 +245,14 @@ def edge_reweight(incidence: DataFrame, membership: DataFrame) -> DataFrame:
     return k.groupBy("read_idx").agg(F.sum(1.0 / (1 + F.col("k"))).alias("s"), F.sum("k").alias("e"), F.count("*").alias("c")).select("read_idx", "e", "c", (F.col("s") * (F.col("e") + F.col("c")) / (2 * F.col("e"))).alias("weight"))
 
 
+def reweighted_edges(incidence: DataFrame, weights: DataFrame) -> DataFrame:
+    """Clique expansion (src < dst, w) in which a hyperedge of k contigs adds its weight over k - 1 to each of its pairs. incidence: read_idx, contig; weights: read_idx, weight."""
+    n = incidence.groupBy("read_idx").agg(F.count("*").alias("k")).where("k > 1").join(weights, "read_idx")
+    h = incidence.select("read_idx", "contig").join(n.select("read_idx", (F.col("weight") / (F.col("k") - 1)).alias("w")), "read_idx")
+    pairs = h.select("read_idx", F.col("contig").alias("src"), "w").join(h.select("read_idx", F.col("contig").alias("dst")), "read_idx").where("src < dst")
+    return pairs.groupBy("src", "dst").agg(F.sum("w").alias("w"))
+
+
 def triangle_score(pixels: DataFrame, reach: int) -> DataFrame:
     """For every bin the counts between the `reach` bins before it and the `reach` bins from it on: low where an assembly is broken."""
     spread = F.explode(F.sequence(F.greatest(F.col("bin1_id") + 1, F.col("bin2_id") - reach + 1), F.least(F.col("bin2_id"), F.col("bin1_id") + reach)))

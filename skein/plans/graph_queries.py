@@ -38,6 +38,13 @@ def g1_communities(t):
     return g.communities(normalized(t, "svc"))
 
 
+@query(None)
+def g1_reweighted_communities(t):
+    from ..plans.partition import reweighted_communities
+
+    return reweighted_communities(f.min_contacts(incidence(t), 25), rounds=3)
+
+
 @query(None)
 def g2_star_communities(t):
     return g.communities(c.clique(incidence(t), most=15, cis=False, by_sum=True))
@@ -57,6 +64,13 @@ def g5_two_rounds(t):
     return two_rounds(pruned_clique(t), g.vertices(f.min_contacts(incidence(t), 25), t.contigs), t.alleles)
 
 
+@query(None)
+def g5_incremental_partition(t):
+    from ..plans.partition import incremental_partition
+
+    return incremental_partition(pruned_clique(t), g.vertices(f.min_contacts(incidence(t), 25), t.contigs), t.contigs, t.alleles, k=4, per=2)
+
+
 @query(None)
 def g6_merge_groups(t):
     from ..plans.partition import merged_to
@@ -136,15 +150,25 @@ def g14_strongest_allele(t):
     return s.strongest_allele(t.contacts, t.alleles)
 
 
-HALF = "hf AS (SELECT least(x, y) AS x, greatest(x, y) AS y, links, density FROM (SELECT chrom1 || CASE WHEN pos1 * 2 <= a.length THEN 'H' ELSE 'T' END AS x, chrom2 || CASE WHEN pos2 * 2 <= b.length THEN 'H' ELSE 'T' END AS y, count(*) AS links, count(*) * 4e8 / (CAST(a.length AS DOUBLE) * b.length) AS density FROM pairs JOIN contigs a ON chrom1 = a.contig JOIN contigs b ON chrom2 = b.contig WHERE chrom1 <> chrom2 GROUP BY 1, 2, a.length, b.length))"
+TURNED = "tp AS (SELECT CASE WHEN read_idx % 3 = 0 THEN chrom2 ELSE chrom1 END AS chrom1, CASE WHEN read_idx % 3 = 0 THEN pos2 ELSE pos1 END AS pos1, CASE WHEN read_idx % 3 = 0 THEN chrom1 ELSE chrom2 END AS chrom2, CASE WHEN read_idx % 3 = 0 THEN pos1 ELSE pos2 END AS pos2 FROM pairs WHERE read_idx % 5 <> 1)"
+HALF = (
+    f"{TURNED}, hn AS (SELECT chrom1 || CASE WHEN pos1 * 2 <= a.length THEN 'H' ELSE 'T' END AS e, chrom2 || CASE WHEN pos2 * 2 <= b.length THEN 'H' ELSE 'T' END AS f, CAST(a.length AS DOUBLE) * b.length AS area FROM tp JOIN contigs a ON chrom1 = a.contig JOIN contigs b ON chrom2 = b.contig WHERE chrom1 <> chrom2), "
+    "hf AS (SELECT least(e, f) AS x, greatest(e, f) AS y, count(*) AS links, count(*) * 4e8 / any_value(area) AS density FROM hn GROUP BY 1, 2)"
+)
+
+
+def turned(t):
+    """Some of the pairs, a third of them with the ends the other way round."""
+    swap = F.col("read_idx") % 3 == 0
+    return t.pairs.where("read_idx % 5 <> 1").select(*[F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("chrom1", "chrom2"), ("pos1", "pos2"), ("chrom2", "chrom1"), ("pos2", "pos1"))])
 
 
 @query(
-    f"WITH {HALF}, sd AS (SELECT x, y, density FROM hf UNION ALL SELECT y, x, density FROM hf), se AS (SELECT x, density AS second FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY density DESC, y) AS rn FROM sd) WHERE rn = 2) "
-    "SELECT hf.x, hf.y, links, round(density, 6) AS density, round(density / greatest(p.second, q.second), 6) AS confidence FROM hf LEFT JOIN se p ON hf.x = p.x LEFT JOIN se q ON hf.y = q.x"
+    f"WITH {HALF}, sd AS (SELECT x, y, density FROM hf UNION ALL SELECT y, x, density FROM hf), ot AS (SELECT a.x, a.y, max(b.density) AS other FROM sd a LEFT JOIN sd b ON a.x = b.x AND a.y <> b.y GROUP BY a.x, a.y) "
+    "SELECT hf.x, hf.y, links, round(density, 6) AS density, round(CASE WHEN p.other IS NULL AND q.other IS NULL THEN 2 ELSE density / greatest(coalesce(p.other, 0), coalesce(q.other, 0)) END, 6) AS confidence FROM hf JOIN ot p ON hf.x = p.x AND hf.y = p.y JOIN ot q ON hf.y = q.x AND hf.x = q.y"
 )
 def g15_half_densities(t):
-    return g.half_densities(t.pairs, t.contigs).select("x", "y", "links", r6("density").alias("density"), r6("confidence").alias("confidence"))
+    return g.half_densities(turned(t), t.contigs).select("x", "y", "links", r6("density").alias("density"), r6("confidence").alias("confidence"))
 
 
 @query(None)
@@ -410,11 +434,23 @@ def e6_orientation_errors(t):
     return tb.orientation_errors(t.tour_truth, t.tour_test)
 
 
-@query(None)
+AGREE = (
+    "pt AS (SELECT b.grp, a.grp AS truth, b.pos AS p, a.pos AS q, b.strand = a.strand AS same, length FROM tour_test b JOIN tour_truth a USING (contig) JOIN contigs USING (contig)), "
+    "wy AS (SELECT w, grp, truth, p, CASE WHEN w IN ('back', 'back?') THEN -q ELSE q END AS q, length FROM pt, (VALUES ('on'), ('back'), ('on?'), ('back?')) v(w) WHERE w LIKE '%?' OR same = (w = 'on')), "
+    "ch AS (SELECT w, grp, truth, p, q, 1 AS k, length AS bases FROM wy UNION SELECT c.w, c.grp, c.truth, n.p, n.q, c.k + 1, c.bases + n.length FROM ch c JOIN wy n ON c.w = n.w AND c.grp = n.grp AND c.truth = n.truth AND n.p > c.p AND n.q > c.q), "
+    "tp AS (SELECT w, grp, truth, max(k) AS k, max(bases) AS bases FROM ch GROUP BY ALL), sz AS (SELECT grp, truth, count(*) AS n, CAST(sum(length) AS BIGINT) AS bases FROM pt GROUP BY ALL), "
+    "al AS (SELECT grp, truth, n, bases FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n DESC, truth) AS rn FROM sz) WHERE rn = 1), "
+    "bl AS (SELECT grp, coalesce(max(k) FILTER (w IN ('on', 'back')), 0) AS lcs, max(k) FILTER (w LIKE '%?') AS in_order FROM tp GROUP BY grp), "
+    "ed AS (SELECT al.grp, al.n - coalesce(max(k) FILTER (w IN ('on', 'back')), 0) AS edits, CAST(al.bases - coalesce(max(tp.bases) FILTER (w IN ('on', 'back')), 0) AS BIGINT) AS weighted_edits, al.n - max(k) FILTER (w = 'on?') AS misplaced FROM al LEFT JOIN tp ON al.grp = tp.grp AND al.truth = tp.truth GROUP BY al.grp, al.n, al.bases), "
+    "ag AS (SELECT t.grp, count(*) AS contigs, any_value(lcs) AS lcs, any_value(in_order) AS in_order, any_value(edits) AS edits, any_value(weighted_edits) AS weighted_edits, any_value(misplaced) AS misplaced FROM tour_test t LEFT JOIN bl USING (grp) LEFT JOIN ed USING (grp) GROUP BY t.grp)"
+)
+
+
+@query(f"WITH RECURSIVE {AGREE} SELECT grp, contigs, coalesce(lcs, 0) AS lcs, coalesce(in_order, 0) AS in_order, coalesce(edits, 0) AS edits, coalesce(weighted_edits, 0) AS weighted_edits, coalesce(misplaced, 0) AS misplaced FROM ag")
 def e7_common_subsequence(t):
     from ..operators.evaluation import order_agreement
 
-    return order_agreement(t.tour_truth, t.tour_test)
+    return order_agreement(t.tour_truth, t.tour_test, t.contigs)
 
 
 @query("SELECT c1, c2, x.n AS trans, round(x.n / CAST(x.n + p.n + q.n AS DOUBLE), 6) AS ratio FROM alleles JOIN contacts x ON x.contig1 = c1 AND x.contig2 = c2 JOIN contacts p ON p.contig1 = c1 AND p.contig2 = c1 JOIN contacts q ON q.contig1 = c2 AND q.contig2 = c2")
@@ -424,13 +460,31 @@ def e9_homolog_trans(t):
     return homolog_ratio(t.alleles, t.contacts).select("c1", "c2", "trans", r6("ratio").alias("ratio"))
 
 
-@query(None)
+@query(
+    "WITH w AS (SELECT read_idx, frag, m.grp, m.grp <> lag(m.grp) OVER (PARTITION BY read_idx ORDER BY frag) AS changed FROM porec JOIN membership m USING (contig)), g AS (SELECT read_idx, grp, count(*) AS n FROM w GROUP BY ALL), m AS (SELECT read_idx, max(n) AS n FROM g GROUP BY read_idx) "
+    "SELECT w.read_idx, count(*) AS windows, count(*) FILTER (changed) AS switches, count(*) - any_value(m.n) AS hamming FROM w JOIN m USING (read_idx) GROUP BY w.read_idx"
+)
 def e10_switch_errors(t):
     from ..operators.evaluation import switch_errors
 
     return switch_errors(t.porec.join(t.membership.select("contig", "grp"), "contig"))
 
 
+CHAINED = "cw AS (SELECT read_name, chrom % 4 AS chain, read_start // 1000 AS win, mapq, nm, align_length AS length FROM paf)"
+
+
+@query(
+    f"WITH {CHAINED}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY read_name, chain, win ORDER BY nm, length, mapq) AS rn FROM cw) WHERE rn = 1), c AS (SELECT read_name, chain, count(*) FILTER (mapq >= 2) AS sure FROM f GROUP BY ALL), "
+    "m AS (SELECT read_name, chain FROM (SELECT *, row_number() OVER (PARTITION BY read_name ORDER BY sure DESC, chain) AS rn FROM c) WHERE rn = 1), "
+    "o AS (SELECT a.read_name, a.win, a.nm, a.length, (SELECT min(b.nm) FROM f b WHERE b.read_name = a.read_name AND b.win = a.win AND b.chain <> a.chain AND b.mapq >= 2) AS other FROM f a JOIN m USING (read_name, chain)) "
+    "SELECT read_name, count(*) AS windows, count(*) FILTER (other < nm) AS switches, round(avg(CASE WHEN other < nm THEN CAST(nm - other AS DOUBLE) / length END), 6) AS rate FROM o GROUP BY read_name"
+)
+def e10_chain_switches(t):
+    from ..operators.evaluation import chain_switches
+
+    return chain_switches(t.paf.select("read_name", (F.col("chrom") % 4).alias("chain"), F.floor(F.col("read_start") / 1000).alias("win"), "mapq", "nm", F.col("align_length").alias("length")))
+
+
 @query(
     "WITH f AS (SELECT contig AS chrom, start_pos, end_pos FROM porec), " + island_sql("f") + ", c AS (SELECT sum(end_pos - start_pos) / CAST(any_value(length) AS DOUBLE) AS r FROM islands JOIN contigs ON chrom = contig GROUP BY chrom), x AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]::DOUBLE[]) AS cut) SELECT cut, count(*) FILTER (r >= cut) AS contigs FROM x, c GROUP BY cut"
 )

@@ -32,9 +32,9 @@ def depth_lines(depth: DataFrame) -> DataFrame:
 
 
 def clm_lines(clm: DataFrame) -> DataFrame:
-    """'ctg1+ ctg2-', count and space-joined distances."""
+    """'ctg1+ ctg2-', count and space-joined distances; a pair in several parts gives a line each, with the part's own count."""
     ends = F.concat(F.col("contig1").cast("string"), F.substring("orientation", 1, 1), F.lit(" "), F.col("contig2").cast("string"), F.substring("orientation", 2, 1))
-    return clm.select(tsv(ends, "n", F.array_join(F.transform("distances", lambda d: d.cast("string")), " ")))
+    return clm.select(tsv(ends, F.size("distances"), F.array_join(F.transform("distances", lambda d: d.cast("string")), " ")))
 
 
 def contact_lines(contacts: DataFrame) -> DataFrame:

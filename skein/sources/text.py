@@ -62,12 +62,16 @@ def tag(name: str, kind: str) -> Column:
 
 
 def paf(df: DataFrame) -> DataFrame:
-    """Twelve columns and the tags NM, AS, dv, id and cg."""
-    p = F.split("value", "\t")
+    """Twelve columns and the tags NM, AS, dv, id and cg, null if absent. A line is split once, and its tags are picked from the cells by name."""
     named = [x.split() for x in PAF.split(",")]
-    kept = df.where(F.length(F.trim("value")) > 0)
-    tags = [tag("NM", "bigint").alias("nm"), tag("AS", "bigint").alias("score"), tag("dv", "double").alias("dv"), tag("id", "double").alias("id"), tag("cg", "string").alias("cigar")]
-    return kept.select(*[F.try_element_at(p, F.lit(i + 1)).try_cast(kind).alias(name) for i, (name, kind) in enumerate(named)], *tags)
+    kept = df.where(F.length(F.trim("value")) > 0).select(F.split("value", "\t").alias("p")).withColumn("tags", F.slice("p", len(named) + 1, 1 << 30))
+
+    def own(name: str, kind: str) -> Column:
+        cell = F.get(F.filter("tags", lambda x: x.startswith(f"{name}:")), F.lit(0))
+        return F.nullif(F.substr(cell, F.lit(len(name) + 4)), F.lit("")).try_cast(kind)
+
+    tags = [own("NM", "bigint").alias("nm"), own("AS", "bigint").alias("score"), own("dv", "double").alias("dv"), own("id", "double").alias("id"), own("cg", "string").alias("cigar")]
+    return kept.select(*[F.try_element_at("p", F.lit(i + 1)).try_cast(kind).alias(name) for i, (name, kind) in enumerate(named)], *tags)
 
 
 def depth(df: DataFrame) -> DataFrame:

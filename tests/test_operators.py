@@ -94,10 +94,10 @@ def test_hungarian_is_optimal(n, more, seed):
     assert got == min(sum(cost[i, p[i]] for i in range(n)) for p in permutations(range(n + more), n))
 
 
-def test_louvain_finds_cliques():
+def test_leiden_finds_cliques():
     edges = [(a, b, 1.0) for k in range(3) for a in range(k * 5, k * 5 + 5) for b in range(a + 1, k * 5 + 5)] + [(4, 5, 0.1), (9, 10, 0.1)]
     s, d, w = (np.array(x) for x in zip(*edges, strict=True))
-    label = g.louvain(15, s, d, w)
+    label = g.leiden(15, s, d, w)
     assert [len(set(label[k * 5 : k * 5 + 5])) for k in range(3)] == [1, 1, 1] and len(set(label)) == 3
 
 
