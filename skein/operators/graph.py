@@ -430,12 +430,12 @@ def ordered_groups(pairs: DataFrame, contigs: DataFrame, membership: DataFrame,
     m = membership.select("contig", "grp")
     halves = m.select(F.explode(F.array(*(F.concat(F.col("contig").cast("string"), F.lit(h)) for h in "HT"))).alias("x"), "grp")
     d = half_densities(pairs, contigs).select("x", "y", "links")
-    none = F.lit(None).cast("long")
+    none = F.lit(0).cast("long")  # not null: pandas would turn the numbers beside it into doubles
     inner = d.join(halves, "x").join(halves.select(F.col("x").alias("y"), F.col("grp").alias("g2")), "y").where("grp = g2").select("grp", "x", "y", "links", none.alias("contig"), none.alias("length"))
     alone = m.join(contigs, "contig").select("grp", F.lit(None).cast("string").alias("x"), F.lit(None).cast("string").alias("y"), none.alias("links"), "contig", "length")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows[rows["contig"].notna()]
+        own = rows[rows["x"].isna()]
         paths = Growth({int(c): int(n) for c, n in zip(own["contig"], own["length"], strict=True)}, flank, cutoff).run(rows[rows["x"].notna()])
         flat = [(i, *x) for i, p in enumerate(paths, 1) for x in p]
         return pd.DataFrame({"grp": rows["grp"].iloc[0], "path": [i for i, _, _ in flat], "pos": np.arange(1, len(flat) + 1), "contig": [c for _, c, _ in flat], "strand": [s for _, _, s in flat]})

@@ -78,7 +78,7 @@ def assembly_lines(tour: DataFrame, contigs: DataFrame) -> DataFrame:
     heads = i.select(F.lit(0).alias("part"), F.col("idx").cast("long").alias("k"), F.concat_ws(" ", F.concat(F.lit(">"), F.col("contig").cast("string")), F.col("idx").cast("string"), F.col("length").cast("string")).alias("value"))
     signed = F.when(F.col("strand") == "-", -F.col("idx")).otherwise(F.col("idx"))
     paths = tour.join(i, "contig").groupBy("grp").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", signed.alias("s")))), lambda x: x["s"].cast("string")), " ").alias("value"))
-    return heads.unionByName(paths.select(F.lit(1).alias("part"), F.col("grp").alias("k"), "value")).orderBy("part", "k").select("value")
+    return heads.unionByName(paths.select(F.lit(1).alias("part"), F.row_number().over(Window.orderBy("grp")).cast("long").alias("k"), "value")).orderBy("part", "k").select("value")
 
 
 def fasta_lines(seqs: DataFrame) -> DataFrame:
