@@ -380,7 +380,8 @@ class Growth:
                 second[e] = v
         rest = np.maximum(np.where(partner[x] == y, second[x], first[x]), np.where(partner[y] == x, second[y], first[y])) if len(x) else np.zeros(0)
         sure = np.where(rest > 0, density / np.where(rest > 0, rest, 1), 2.0)
-        return sorted(((c, i, j) for c, i, j in zip(sure.tolist(), x.tolist(), y.tolist(), strict=True) if c > self.cutoff), key=lambda r: (-r[0], r[1], r[2]))
+        order = np.lexsort((y, x, -density, -sure))  # of links as sure as each other, the denser first
+        return [(float(sure[k]), int(x[k]), int(y[k])) for k in order.tolist() if sure[k] > self.cutoff]
 
     def join(self, found: list[tuple[float, int, int]]) -> None:
         held = {p: [p] for p in range(len(self.paths))}

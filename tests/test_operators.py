@@ -242,3 +242,94 @@ def test_chains_by_hand(spark):
     rows = [("r", 0, "c", "+", 100, 200, 1), ("r", 100, "c", "+", 200, 300, 2), ("r", 200, "c", "+", 900, 990, 3), ("r", 300, "d", "-", 500, 600, 4), ("r", 400, "d", "-", 400, 500, 5)]
     got = ch.read_chains(frame(spark, "read_name string, read_start long, chrom string, strand string, start_pos long, end_pos long, line_id long", *rows), 100)
     assert sorted((r.chrom, r.start_pos, r.end_pos, r.windows) for r in got.collect()) == [("c", 100, 300, 2), ("d", 400, 600, 2)]
+
+
+def test_leiden_parts_hang_together():
+    rng = np.random.default_rng(2)
+    for seed in range(12):
+        n = 30
+        src, dst = np.triu_indices(n, 1)
+        keep = np.random.default_rng(seed).random(len(src)) < 0.12
+        src, dst, w = src[keep], dst[keep], rng.integers(1, 9, keep.sum()).astype(float)
+        label = g.leiden(n, src, dst, w)
+        for c in set(label.tolist()):
+            members = np.flatnonzero(label == c).tolist()
+            left, open_ = set(members), [members[0]]
+            while open_:
+                v = open_.pop()
+                if v in left:
+                    left.remove(v)
+                    open_ += dst[src == v].tolist() + src[dst == v].tolist()
+            assert not left
+
+
+def test_natural_order(spark):
+    from skein.functions.units import natural_key
+
+    names = ["chr10_ctg1", "chr2_ctg10", "chr2_ctg9", "ctg", "2", "10", "ctg1", "a01", "a1", "a1b", "a" + "9" * 50, "a" + "1" + "0" * 50, ""]
+    got = [r.name for r in frame(spark, "name string", *[(x,) for x in names]).orderBy(natural_key("name")).collect()]
+    assert got == ["", "2", "10", "a1", "a1b", "a01", "a" + "9" * 50, "a" + "1" + "0" * 50, "chr2_ctg9", "chr2_ctg10", "chr10_ctg1", "ctg", "ctg1"]
+
+
+def test_confidence_of_lone_second_and_reversed_links(spark):
+    contigs = frame(spark, "contig long, length long", (1, 100), (2, 100), (3, 100), (4, 100), (5, 100))
+    pairs = frame(spark, "chrom1 long, pos1 long, chrom2 long, pos2 long", *[(1, 90, 2, 10)] * 5, *[(2, 10, 1, 90)] * 4, *[(1, 90, 3, 10)] * 4, (4, 90, 5, 10))
+    got = {(r.x, r.y): (r.links, round(r.confidence, 6)) for r in g.half_densities(pairs, contigs).collect()}
+    assert got == {("1T", "2H"): (9, 2.25), ("1T", "3H"): (4, round(4 / 9, 6)), ("4T", "5H"): (1, 2.0)}
+
+
+def test_paths_grow_over_rounds():
+    rng = np.random.default_rng(1)
+    truth = [(int(c), int(s)) for c, s in zip(rng.permutation(12), rng.integers(0, 2, 12), strict=True)]
+    halves = [f"{c}{'HT'[h]}" for c, s in truth for h in ((0, 1) if s == 0 else (1, 0))]
+    rows = [(*sorted((halves[i], halves[j])), int(4000 / (j - i) ** 2)) for i in range(24) for j in range(i + 1, 24) if halves[i][:-1] != halves[j][:-1] and 4000 / (j - i) ** 2 >= 1]
+    links = pd.DataFrame(rows, columns=["x", "y", "links"])
+    paths = g.Growth(dict.fromkeys(range(12), 100_000), 500_000, 1.0).run(links)
+    want = [(c, "+" if s == 0 else "-") for c, s in truth]
+    back = [(c, "-" if s == "+" else "+") for c, s in reversed(want)]
+    assert max(paths, key=len) in (want, back)
+    alone = g.Growth({1: 10, 2: 20, 3: 5}, 100, 1.0).run(links[:0])
+    assert alone[-1] == [(1, "+")] or sorted(x for p in alone for x in p) == [(1, "+"), (2, "+"), (3, "+")]
+
+
+def test_christofides_and_genetic_search_against_all_orders():
+    from itertools import permutations
+
+    from skein.operators import chains as ch
+
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        n = int(rng.integers(3, 8))
+        m = rng.random((n, n)) * 10
+        m = np.triu(m, 1) + np.triu(m, 1).T
+        best = max(ch.path_weight(list(p), m) for p in permutations(range(n)))
+        for path in (ch.christofides(m), ch.evolved_path(m, seed)):
+            assert sorted(path) == list(range(n)) and ch.path_weight(path, m) >= 0.8 * best
+        assert ch.path_weight(ch.evolved_path(m), m) >= ch.path_weight(ch.tree_path(m), m)
+
+
+def test_hot_pairs_are_split(spark):
+    contigs = frame(spark, "contig long, length long", (1, 1000), (2, 1000))
+    pairs = frame(spark, "chrom1 long, pos1 long, chrom2 long, pos2 long", *[(1, i + 1, 2, 2 * i + 1) for i in range(300)])
+    whole = c.clm(pairs, contigs).collect()
+    parts = c.clm(pairs, contigs, most=70).collect()
+    assert len(whole) == 4 and len(parts) == 20 and all(r.n == 300 for r in parts)
+    for o in c.ORIENTATIONS:
+        assert sorted(d for r in parts if r.orientation == o for d in r.distances) == next(r.distances for r in whole if r.orientation == o)
+
+
+def test_subsets_against_brute_force(spark):
+    from skein.operators.samples import subset_rows
+
+    rng = np.random.default_rng(5)
+    sets = {i: set(rng.choice(8, rng.integers(1, 5), replace=False).tolist()) for i in range(40)}
+    got = {r.read_name for r in subset_rows(frame(spark, "read_name long, member long", *[(i, int(m)) for i, s in sets.items() for m in s])).collect()}
+    assert got == {i for i, s in sets.items() if any(s < t or s == t and j < i for j, t in sets.items() if j != i)}
+
+
+def test_small_tables_only_reach_the_driver(spark):
+    from skein.operators.common import collected
+
+    assert len(collected(spark.range(5), 5)) == 5
+    with pytest.raises(ValueError):
+        collected(spark.range(6), 5)
