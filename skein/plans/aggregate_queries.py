@@ -275,6 +275,21 @@ def a17_vc_balance(t):
     return vc_balance(pruned_clique(t)).select("src", "dst", F.round("w", 12).alias("w"))
 
 
+def balancing_sql(rounds: int) -> str:
+    """So many rounds of balancing, one after the other: bias over the root of bias times weighted row sum."""
+    steps = ["sy AS (SELECT src, dst, w FROM cq UNION ALL SELECT dst, src, w FROM cq WHERE src <> dst)", "b0 AS (SELECT DISTINCT src AS contig, CAST(1 AS DOUBLE) AS b FROM sy)"]
+    for i in range(rounds):
+        steps.append(f"b{i + 1} AS (SELECT x.contig, any_value(x.b) / sqrt(sum(sy.w * y.b) * any_value(x.b)) AS b FROM sy JOIN b{i} x ON sy.src = x.contig JOIN b{i} y ON sy.dst = y.contig GROUP BY x.contig)")
+    return ", ".join(steps) + f" SELECT sy.src, sy.dst, round(sy.w * x.b * y.b, 6) AS w FROM sy JOIN b{rounds} x ON sy.src = x.contig JOIN b{rounds} y ON sy.dst = y.contig"
+
+
+@query(f"WITH {PRUNED_CLIQUE}, {balancing_sql(4)}")
+def a17_ice_rounds(t):
+    from ..operators.graph import ice
+
+    return ice(pruned_clique(t), tolerance=0.0, rounds=4)
+
+
 @query(None)
 def a17_ice_balance(t):
     from ..operators.graph import ice

@@ -86,7 +86,16 @@ def a33_mixture_collapse(t):
     return sg.collapsed_by_mixture(tb.copy_numbers(depth(t), 140.0).select("chrom", "copies"))
 
 
-@query(None)
+# smoothing by a normal kernel of deviation 2, cut at 8, over 100 bins mirrored at both ends; of the smoothed local maxima the highest, in its middle
+PEAK = (
+    "tp AS (SELECT quantile_cont(n, 0.99) AS top, median(n) AS med FROM depth), hs AS (SELECT least(CAST(floor(n / (top / 100)) AS BIGINT), 99) AS k, count(*) AS c FROM depth, tp WHERE n > 0 AND n <= top GROUP BY 1), "
+    "hb AS (SELECT g.k, coalesce(c, 0) AS c FROM (SELECT unnest(generate_series(0, 99)) AS k) g LEFT JOIN hs USING (k)), kn AS (SELECT o, exp(-0.5 * power(o / 2.0, 2)) AS e FROM (SELECT unnest(generate_series(-8, 8)) AS o)), "
+    "sm AS (SELECT a.k, sum(b.c * e) / (SELECT sum(e) FROM kn) AS v FROM hb a, kn JOIN hb b ON b.k = CASE WHEN a.k + o < 0 THEN -1 - a.k - o WHEN a.k + o > 99 THEN 199 - a.k - o ELSE a.k + o END GROUP BY a.k), "
+    "lm AS (SELECT k, v, v > lag(v) OVER (ORDER BY k) AND v > lead(v) OVER (ORDER BY k) AS peak FROM sm), bp AS (SELECT k FROM lm ORDER BY coalesce(peak, false) DESC, v DESC, k LIMIT 1)"
+)
+
+
+@query(f"WITH {DEPTH}, {PEAK} SELECT round(greatest((k + 0.5) * top / 100, med), 6)::DOUBLE AS peak FROM bp, tp")
 def a35_depth_peak(t):
     return t.spark.createDataFrame([(round(sg.depth_peak(depth(t)), 6),)], "peak double")
 

@@ -198,16 +198,10 @@ def check_two_rounds(truth, got):
     assert not split or sum(split) >= 0.5 * len(split)
 
 
-def check_peak(truth, got):
-    n = sorted(r.n for r in aggregate_queries.depth(truth.t).collect())
-    assert n[len(n) // 2] <= got[0].peak <= n[int(0.99 * len(n))] + 1
-
-
 CHECKS = {
     "a17_ice_balance": check_ice,
     "a18_balance": check_balance,
     "a33_mixture_collapse": lambda truth, got: [check for check in [len(got) > 0, all(r.probability > 0.8 and r.copies > 1.35 for r in got)] if not check] == [] or pytest.fail("no collapsed contigs, or unsure ones"),
-    "a35_depth_peak": check_peak,
     "g1_communities": lambda truth, got: communities(truth.edges("svc"), {r.contig: r.community for r in got}),
     "g1_reweighted_communities": lambda truth, got: None if len({r.contig for r in got}) == len(got) == len(nodes(truth.edges())) else pytest.fail("contigs are missing"),
     "g2_star_communities": lambda truth, got: None if {r.contig for r in got} >= nodes(truth.edges()) else pytest.fail("contigs are missing"),
