@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -120,5 +121,34 @@ def test_stages_take_an_empty_table(spark, tmp_path, stage):
     assert corpus_pipeline.STAGES[stage][1](spark, empty, folder).count() == 0
 
 
+MADE = ("size", "source_size", "target", "taken", "__score", "__md", "__own", "__first", "__n", "md", "node", "slot", "key", "Text2")
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_keep_clashing_columns_repeated_rows_nulls_and_long_texts(spark, tmp_path, stage):
+    folder = str(tmp_path)
+    small(spark, folder)
+    name, run = corpus_pipeline.STAGES[stage]
+    rng = np.random.default_rng(2)
+    long = " ".join(rng.choice([f"l{i}" for i in range(5000)], 60_000))
+    rows = [(1, "one and the same text", "en", "s", 21)] * 3 + [(2, long, "en", "s", len(long)), (3, long + " end", None, None, None), (None, "no id here", None, "s", None), (None, None, None, None, None), (None, "", None, None, 0), (4, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for i, c in enumerate(MADE):
+        docs = docs.withColumn(c, F.lit(100 + i))
+    out = run(spark, docs, folder)
+    added = ["_size", "_source_size", "_target", "_taken"] if name == "mixing" else []
+    assert out.columns == [*docs.columns, *added]
+    got = out.collect()
+    assert all(r[c] == 100 + i for r in got for i, c in enumerate(MADE))
+    kept = sorted((-1 if r.doc_id is None else r.doc_id, r.text is None, len(r.text or "")) for r in got)
+    everything = sorted((-1 if r[0] is None else r[0], r[1] is None, len(r[1] or "")) for r in rows)
+    if name == "simhash":  # one of each: the repeated row, the long text and its near copy, the text without id, the empty ones
+        assert [k[0] for k in kept] == [-1, 1, 2, 4]
+    elif name == "mixing":  # what has no words is never taken
+        assert kept == [k for k in everything if k[2]] and all(0 < r._taken <= 3 * r._size for r in got)
+    else:
+        assert kept == everything
+
+
 def test_operators_are_those_of_the_queries():
     assert callable(simhash.keep_one) and callable(decontaminate.remove) and callable(secrets.redact)

@@ -61,6 +61,39 @@ def test_machine_learns_a_pair_and_holds_out(spark):
     assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.93
 
 
+def test_scores_against_the_sum_over_pairs():
+    rng = np.random.default_rng(4)
+    n = 40
+    m = toxicity.Machine(np.arange(n), -0.7, rng.normal(0, 1, n + toxicity.LENGTHS), rng.normal(0, 1, (n + toxicity.LENGTHS, 5)))
+    rows = [rng.choice(n, int(rng.integers(0, 12)), replace=False).tolist() + [n + int(rng.integers(toxicity.LENGTHS))] for _ in range(30)]
+    starts = np.cumsum([0, *map(len, rows)])[:-1]
+    for row, z in zip(rows, m.raw(np.concatenate(rows).astype(int), starts), strict=True):
+        want = m.w0 + sum(m.w[i] for i in row) + sum(float(m.v[i] @ m.v[j]) for k, i in enumerate(row) for j in row[k + 1 :])
+        assert z == pytest.approx(want, rel=1e-9, abs=1e-9)
+
+
+def test_pairs_beat_weights_alone():
+    """Either of two words makes a text toxic, both together don't: the same fit without factors can't tell, with them it can."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}a" for i in "abcdefghijklmnopqrst"]
+    terms, y = [], []
+    for _ in range(900):
+        one, two = (rng.random(2) < 0.4).tolist()
+        own = {*rng.choice(words, rng.integers(5, 20)).tolist(), *(["grumpf"] * one), *(["folk"] * two)}
+        terms.append(np.array([*sorted(set().union(*map(toxicity.hashed, own))), len(own)], dtype=np.int32))
+        y.append(one != two)
+    y = np.array(y)
+    right = {}
+    for rank in (0, 8):
+        m = toxicity.fit(terms[:600], y[:600], rank=rank)
+        index = {int(x): i for i, x in enumerate(m.ids)}
+        held = [[index[int(t)] for t in r[:-1] if int(t) in index] + [len(index) + toxicity.length_slot(int(r[-1]))] for r in terms[600:]]
+        starts = np.cumsum([0, *map(len, held)])[:-1]
+        z = m.raw(np.concatenate(held).astype(int), starts)
+        right[rank] = float(np.mean((1 / (1 + np.exp(-z)) >= 0.5) == y[600:]))
+    assert right[8] > 0.95 and right[0] < 0.9, right
+
+
 def test_labels_of_held_out_rows_do_not_matter(spark):
     rows, labels = labelled(200)
     d = spark.createDataFrame(rows, DOCS)
