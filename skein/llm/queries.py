@@ -58,4 +58,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_toxicity, op2_token_counts, op3_decontaminate, op4_substring_dedup, op5_simhash, op6_lm_scores, op7_warc, op8_mixing, op9_top_k, op10_secrets)
 }
-ORACLE_SQL = {"op3_decontaminate": decontaminate.REPORT_SQL, "op6_lm_scores": lm.SCORES_SQL, "op8_mixing": mixing.MIX_SQL, "op9_top_k": topk.TOP_K_SQL}
+ORACLE_SQL = {"op3_decontaminate": decontaminate.REPORT_SQL, "op4_substring_dedup": substring.REPORT_SQL, "op6_lm_scores": lm.SCORES_SQL, "op8_mixing": mixing.MIX_SQL, "op9_top_k": topk.TOP_K_SQL}
