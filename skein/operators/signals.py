@@ -45,7 +45,7 @@ def coverage_breaks(coverage: DataFrame, sigma: float = 2.0, depth: float = 0.5,
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("w")
-        v = smooth(rows["n"].to_numpy(), sigma)
+        v = np.round(smooth(rows["n"].to_numpy(), sigma), 9)  # so that equal stretches stay level
         med = float(np.median(v))
         at = peaks(-v)
         at = at[(at >= edge) & (at < len(v) - edge) & (v[at] < depth * med)] if med > 0 and len(at) else np.zeros(0, dtype=int)

@@ -13,7 +13,7 @@ from ..operators.common import r6
 from ..operators.intervals import merge
 from .aggregate_queries import BEST, DEPTH, PIXELS, PRUNED_CLIQUE, SCORES, best_two, depth, normalized, pixels, pruned_clique
 from .filter_queries import HE, incidence, island_sql
-from .registry import query
+from .registry import query, troughs_sql
 
 
 @query(f"WITH {PRUNED_CLIQUE} SELECT src, dst, round(w, 6) AS w FROM cq WHERE w >= 100")
@@ -240,7 +240,10 @@ def g26_duplicate_bins(t):
     return s.duplicate_pixels(px, px.where("bin1_id % 50 = 0").select(F.col("bin1_id").alias("bin_id"), F.lit(2).alias("k")).distinct())
 
 
-@query(None)
+@query(
+    "WITH cis AS (SELECT chrom1 AS contig, (least(pos1, pos2) - 1) // 1000 AS a, (greatest(pos1, pos2) - 1) // 1000 AS b FROM pairs WHERE chrom1 = chrom2), gr AS (SELECT contig, unnest(generate_series(0, (length - 1) // 1000)) AS w FROM contigs), "
+    f"cv AS (SELECT gr.contig, gr.w, count(cis.a) AS n FROM gr LEFT JOIN cis ON cis.contig = gr.contig AND gr.w BETWEEN a AND b GROUP BY ALL), {troughs_sql('cv', 2.0, 0.5, 3)} SELECT * FROM tr"
+)
 def g27_chimeric_breaks(t):
     from ..operators.signals import coverage_breaks
 

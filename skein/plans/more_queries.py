@@ -20,7 +20,7 @@ from ..sources import sinks, text
 from .aggregate_queries import BINMAP, DEPTH, PIXELS, PRUNED_CLIQUE, bin_map, depth, normalized, pixels, pruned_clique
 from .filter_queries import HE, incidence
 from .graph_queries import AGP, AGREE, ALIAS, PR, adjacency_sql
-from .registry import query
+from .registry import query, troughs_sql
 
 def scratch(t, name: str) -> str:
     return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
@@ -159,7 +159,10 @@ def g22_haplotype_clusters(t):
     return t.spark.createDataFrame(sorted(ch.average_linkage(names, d, 0.25).items()), "grp long, cluster long")
 
 
-@query(None)
+@query(
+    f"WITH {PIXELS}, {BINMAP}, e AS (SELECT unnest(generate_series(greatest(bin1_id + 1, bin2_id - 4), least(bin2_id, bin1_id + 5))) AS bin_id, n FROM px WHERE bin2_id > bin1_id AND bin2_id - bin1_id < 10), ts AS (SELECT bin_id, CAST(sum(n) AS BIGINT) AS score FROM e GROUP BY bin_id), "
+    f"cv AS (SELECT bm.target AS contig, ts.bin_id AS w, score AS n FROM ts JOIN bm USING (bin_id)), {troughs_sql('cv', 1.0, 0.8, 1)} SELECT * FROM tr"
+)
 def g29_corrector_troughs(t):
     score = s.triangle_score(pixels(t), 5).join(bin_map(t), "bin_id").select(F.col("target").alias("contig"), F.col("bin_id").alias("w"), F.col("score").alias("n"))
     return sg.coverage_breaks(score, sigma=1.0, depth=0.8, edge=1)
