@@ -76,6 +76,24 @@ def j13_pixel_remap(t):
     return c.merge_bins(pixels(t), m)
 
 
+def chrom_balance_sql(rounds: int) -> str:
+    """So many rounds of balancing each chromosome's own matrix, one after the other, weights brought to a median of 1 each time."""
+    steps = [
+        "ci AS (SELECT a.target AS chrom, bin1_id, bin2_id, n FROM px JOIN bm a ON bin1_id = a.bin_id JOIN bm b ON bin2_id = b.bin_id WHERE a.target = b.target)",
+        "sy AS (SELECT chrom, bin1_id AS i, bin2_id AS j, n FROM ci UNION ALL SELECT chrom, bin2_id, bin1_id, n FROM ci WHERE bin1_id <> bin2_id)",
+        "rs AS (SELECT chrom, i, sum(n) AS r FROM sy GROUP BY ALL), ok AS (SELECT chrom, i FROM rs WHERE r <= (SELECT quantile_cont(r, 0.999) FROM rs)), w0 AS (SELECT chrom, i, CAST(1 AS DOUBLE) AS w FROM ok)",
+    ]
+    for k in range(rounds):
+        steps.append(f"r{k} AS (SELECT x.chrom, x.i, any_value(x.w) AS w, coalesce(any_value(x.w) * sum(sy.n * y.w), 0) AS r FROM w{k} x LEFT JOIN sy ON sy.i = x.i LEFT JOIN w{k} y ON y.i = sy.j GROUP BY x.chrom, x.i)")
+        steps.append(f"v{k} AS (SELECT chrom, i, w / sqrt(CASE WHEN r > 0 THEN r ELSE 1 END) AS w FROM r{k}), w{k + 1} AS (SELECT chrom, i, w / median(w) OVER (PARTITION BY chrom) AS w FROM v{k})")
+    return ", ".join(steps) + f" SELECT bm.bin_id, round(w, 6) AS weight FROM bm LEFT JOIN w{rounds} ON bm.bin_id = w{rounds}.i"
+
+
+@query(f"WITH {PIXELS}, {BINMAP}, {chrom_balance_sql(3)}")
+def a18_balance_rounds(t):
+    return ch.balanced(pixels(t), bin_map(t).withColumnRenamed("target", "chrom"), tolerance=0.0, rounds=3)
+
+
 @query(None)
 def a18_balance(t):
     return ch.balanced(pixels(t), bin_map(t).withColumnRenamed("target", "chrom"))
