@@ -12,13 +12,14 @@ message for each chunk of documents and hash range; the tuples themselves are co
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable
-from itertools import chain, repeat
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +35,24 @@ WORDS = r"[^\x20\x09-\x0D]+"
 
 
 def messages(rows: list[tuple]) -> pa.Table:
+    """bucket, chunk, level and up to three blobs a row, which zstandard compresses: planes of small numbers shrink to about a third."""
     kinds = (("bucket", pa.int64()), ("chunk", pa.int64()), ("level", pa.int32()), ("first", pa.binary()), ("second", pa.binary()), ("third", pa.binary()))
-    columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    packed = [(*r[:3], *(x if x is None else squeeze(x) for x in r[3:])) for r in rows]
+    columns = list(zip(*packed, strict=True)) or [[]] * len(kinds)
     return pa.table({n: pa.array(c, k) for (n, k), c in zip(kinds, columns, strict=True)})
 
 
+def rows_of(table: pa.Table) -> list[dict]:
+    restore = zstandard.ZstdDecompressor().decompress
+    return [{k: restore(v) if isinstance(v, bytes) else v for k, v in r.items()} for r in table.to_pylist()]
+
+
+def words_array(blobs: list[bytes]) -> pa.Array:
+    """The words of blobs in which they are joined by line ends."""
+    return pa.array([w for b in blobs for w in b.split(b"\n")], pa.binary())
+
+
 def planes(values: np.ndarray) -> bytes:
     """Unsigned values in any order, cut to as many bytes as the largest needs, lowest bytes of all first."""
     width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
@@ -95,43 +109,42 @@ class Chunk:
     """
 
     def __init__(self, texts: list[bytes]):
-        self.docs = [t.lower().split() for t in texts]
-        self.lengths = np.array([len(d) for d in self.docs], dtype=np.int64)
-        self.doc = np.repeat(np.arange(len(self.docs)), self.lengths)
+        docs = [t.lower().split() for t in texts]
+        self.lengths = np.array([len(d) for d in docs], dtype=np.int64)
+        self.doc = np.repeat(np.arange(len(docs)), self.lengths)
+        coded = pa.array(list(chain.from_iterable(docs)), pa.large_binary()).dictionary_encode()
+        self.words, self.ids = coded.dictionary.cast(pa.binary()), coded.indices.to_numpy().astype(np.int64)
         self.at, self.parts, self.elsewhere, self.here = {}, {}, {}, {}
 
     def word_rows(self, number: int, bits: int) -> list[tuple]:
         """Messages with the distinct words, their counts and whether two documents here hold them; the empty word stands for the number of all words."""
-        seen: set[bytes] = set()
-        many: set[bytes] = {b""}
-        for d in self.docs:
-            own = set(d)
-            many |= own & seen
-            seen |= own
-        counts = Counter(chain.from_iterable(self.docs))
-        counts[b""] = len(self.doc)
-        by: dict[int, list[bytes]] = {}
-        shift = 32 - bits
-        for w in counts:
-            by.setdefault(crc32(w) >> shift, []).append(w)
-        return [(k, number, 1, b"\n".join(ws), np.packbits([w in many for w in ws]).tobytes(), pack_counts(np.array([counts[w] for w in ws], dtype=np.int64))) for k, ws in by.items()]
+        n = len(self.words)
+        first, last = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+        last[self.ids], first[self.ids[::-1]] = self.doc, self.doc[::-1]
+        names = [*self.words.to_pylist(), b""]
+        many, counts = np.append(first != last, True), np.append(np.bincount(self.ids, minlength=n), len(self.doc))
+        bucket = np.fromiter(map(crc32, names), dtype=np.int64, count=n + 1) >> (32 - bits)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.append(True, np.diff(bucket[order]) > 0))
+        out = []
+        for a, b in zip(cuts, np.append(cuts[1:], n + 1), strict=True):
+            own = order[a:b]
+            out.append((int(bucket[own[0]]), number, 1, b"\n".join([names[i] for i in own.tolist()]), np.packbits(many[own]).tobytes(), planes(counts[own])))
+        return out
 
     def take_words(self, replies: list[dict]) -> None:
-        words = [w for r in replies for w in r["first"].split(b"\n")]
+        names = words_array([r["first"] for r in replies])
         sizes = [r["first"].count(b"\n") + 1 for r in replies]
-        numbers = np.concatenate([*(from_planes(r["second"], 0, n)[0] for r, n in zip(replies, sizes, strict=True)), np.zeros(0, dtype=U64)])
-        elsewhere = np.concatenate([*(unpack_counts(r["third"]) for r in replies), np.zeros(0, dtype=np.int64)])
+        numbers, elsewhere = (np.concatenate([*(from_planes(r[c], 0, n)[0] for r, n in zip(replies, sizes, strict=True)), np.zeros(0, dtype=U64)]) for c in ("second", "third"))
         order = np.argsort(numbers)
         # places among the live words follow the words' numbers, so tuples in the order of places are in the order of numbers
-        place = np.empty(len(order), dtype=np.int64)
+        place = np.zeros(len(order) + 1, dtype=np.int64)
         place[order] = np.arange(1, len(order) + 1)
-        of = dict(zip(words, place.tolist(), strict=True))
-        total = of.pop(b"", 0)
-        self.total = int(elsewhere[order][total - 1]) + len(self.doc) if total else len(self.doc)
-        at = np.fromiter(map(of.get, chain.from_iterable(self.docs), repeat(0)), dtype=np.int64, count=len(self.doc))
-        self.at[1], self.parts[1], self.elsewhere[1] = at, numbers[order][:, None], elsewhere[order]
+        found = pc.index_in(pa.concat_arrays([self.words, pa.array([b""], pa.binary())]), names).fill_null(len(order)).to_numpy().astype(np.int64)
+        self.total = len(self.doc) + (int(elsewhere[found[-1]]) if found[-1] < len(order) else 0)
+        at = place[found[:-1]][self.ids]
+        self.at[1], self.parts[1], self.elsewhere[1] = at, numbers[order][:, None], elsewhere[order].astype(np.int64)
         self.here[1] = np.bincount(at, minlength=len(order) + 1)[1:]
-        self.docs = []
 
     def explode(self, n: int) -> None:
         """The n-grams whose first and last n-1 words are live: distinct tuples, the place of each start among them, and which two documents here hold."""
@@ -168,16 +181,10 @@ class Chunk:
 
     def rest(self, n: int) -> np.ndarray:
         """How often the n-gram that starts at each place occurs in all other documents."""
-        at, out, a = self.at[n], np.zeros(len(self.doc), dtype=np.int64), 0
-        own = np.zeros(len(self.doc), dtype=np.int64)
-        for size in self.lengths.tolist():
-            if size:
-                _, back, counts = np.unique(at[a : a + size], return_inverse=True, return_counts=True)
-                own[a : a + size] = counts[back]
-                a += size
-        live = at > 0
-        everywhere = self.elsewhere[n] + self.here[n]
-        out[live] = everywhere[at[live] - 1] - own[live]
+        live = np.flatnonzero(self.at[n])
+        at, out = self.at[n][live], np.zeros(len(self.doc), dtype=np.int64)
+        _, back, own = np.unique(joined(self.doc[live], at), return_inverse=True, return_counts=True)
+        out[live] = (self.elsewhere[n] + self.here[n])[at - 1] - own[back]
         return out
 
     def sums(self, order: int) -> np.ndarray:
@@ -199,28 +206,27 @@ def number_words(bits: int) -> Callable[[pa.Table], pa.Table]:
     """One hash range of all words: those that two documents hold get numbers, 1 and up by falling count and then by the word, that differ over all ranges."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        total: dict[bytes, int] = {}
-        held: dict[bytes, int] = {}
-        own = []
-        for r in rows:
-            words = r["first"].split(b"\n")
-            counts = unpack_counts(r["third"]).tolist()
-            many = np.unpackbits(np.frombuffer(r["second"], dtype=np.uint8), count=len(words)).tolist()
-            own.append((words, counts))
-            for w, n, m in zip(words, counts, many, strict=True):
-                total[w] = total.get(w, 0) + n
-                held[w] = held.get(w, 0) + 1 + m
-        shared = sorted((w for w, n in held.items() if n > 1), key=lambda w: (-total[w], w))
-        number = {w: 1 + (i << bits | rows[0]["bucket"]) for i, w in enumerate(shared)}
-        if shared and number[shared[-1]] >= 1 << 32:
+        rows = rows_of(table)
+        coded = words_array([r["first"] for r in rows]).dictionary_encode()
+        names, ids = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        sizes = [r["first"].count(b"\n") + 1 for r in rows]
+        counts = np.concatenate([from_planes(r["third"], 0, n)[0] for r, n in zip(rows, sizes, strict=True)]).astype(np.int64)
+        many = np.concatenate([np.unpackbits(np.frombuffer(r["second"], dtype=np.uint8), count=n) for r, n in zip(rows, sizes, strict=True)])
+        total = np.zeros(len(names), dtype=np.int64)
+        np.add.at(total, ids, counts)
+        shared = np.flatnonzero(np.bincount(ids, weights=1 + many, minlength=len(names)) > 1)
+        order = pc.sort_indices(pa.table({"n": total[shared], "w": names.take(pa.array(shared))}), sort_keys=[("n", "descending"), ("w", "ascending")]).to_numpy()
+        number = np.zeros(len(names), dtype=np.int64)
+        number[shared[order]] = 1 + (np.arange(len(shared)) << bits | rows[0]["bucket"])
+        if number.max(initial=0) >= 1 << 32:
             raise ValueError("more than 2**32 words that two documents share")
-        out = []
-        for r, (words, counts) in zip(rows, own, strict=True):
-            kept = [(w, number[w], total[w] - n) for w, n in zip(words, counts, strict=True) if w in number]
-            if kept:
-                names, numbers, elsewhere = zip(*kept, strict=True)
-                out.append((r["bucket"], r["chunk"], 1, b"\n".join(names), planes(np.array(numbers, dtype=U64)), pack_counts(np.array(elsewhere, dtype=np.int64))))
+        out, a = [], 0
+        for r, n in zip(rows, sizes, strict=True):
+            own = ids[a : a + n]
+            kept = number[own] > 0
+            if kept.any():
+                out.append((r["bucket"], r["chunk"], 1, b"\n".join(names.take(pa.array(own[kept])).to_pylist()), planes(number[own[kept]]), planes((total[own] - counts[a : a + n])[kept])))
+            a += n
         return messages(out)
 
     return run
@@ -230,7 +236,7 @@ def add_up(n: int) -> Callable[[pa.Table], pa.Table]:
     """One hash range of the n-grams' count table over all chunks; answers each chunk's n-grams with their counts in the other chunks."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+        rows = rows_of(table)
         tuples = [unpack_tuples(r["first"], n) for r in rows]
         counts = np.concatenate([unpack_counts(r["second"]) for r in rows])
         flat = np.concatenate(tuples)
@@ -261,7 +267,7 @@ def scores(docs: DataFrame, order: int = 3, chunk_chars: int = CHUNK_CHARS) -> D
 
     def replied(texts: pa.Table, replies: pa.Table, upto: int) -> Chunk:
         own, by = Chunk(raw(texts["text"])), {}
-        for r in replies.to_pylist():
+        for r in rows_of(replies):
             by.setdefault(r["level"], []).append(r)
         own.take_words(by.get(1, []))
         for n in range(2, upto + 1):
