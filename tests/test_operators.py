@@ -333,3 +333,10 @@ def test_small_tables_only_reach_the_driver(spark):
     assert len(collected(spark.range(5), 5)) == 5
     with pytest.raises(ValueError):
         collected(spark.range(6), 5)
+
+
+def test_clique_keeps_weights_of_exactly_the_limit(spark):
+    # six reads of four contigs for each of 40 pairs (0, k): terms of 1/3, which some orders of adding make a bit less than 2
+    rows = [(10 * k + r, x, 1) for k in range(1, 41) for r in range(6) for x in (0, k, 1000 + 20 * k + 2 * r, 1001 + 20 * k + 2 * r)]
+    got = c.clique(frame(spark, "read_idx long, contig long, cnt long", *rows), 2.0, cis=False).collect()
+    assert {(r.src, r.dst) for r in got if r.dst < 1000} == {(0, k) for k in range(1, 41)}
