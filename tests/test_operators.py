@@ -340,3 +340,14 @@ def test_clique_keeps_weights_of_exactly_the_limit(spark):
     rows = [(10 * k + r, x, 1) for k in range(1, 41) for r in range(6) for x in (0, k, 1000 + 20 * k + 2 * r, 1001 + 20 * k + 2 * r)]
     got = c.clique(frame(spark, "read_idx long, contig long, cnt long", *rows), 2.0, cis=False).collect()
     assert {(r.src, r.dst) for r in got if r.dst < 1000} == {(0, k) for k in range(1, 41)}
+
+
+def test_pruned_clique_keeps_weights_of_exactly_the_limit(spark):
+    from types import SimpleNamespace
+
+    from skein.plans.aggregate_queries import a11_clique_pruned
+
+    rows = [(10 * k + r, x, 9) for k in range(1, 41) for r in range(6) for x in (0, k, 1000 + 2 * r, 1001 + 2 * r)]
+    rows += [(1000 + k, k, 9) for k in range(1, 41) for _ in range(20)]  # each contig counts 25 at least
+    got = a11_clique_pruned(SimpleNamespace(porec=frame(spark, "read_idx long, contig long, mapq long", *rows))).collect()
+    assert {(r.src, r.dst) for r in got if r.src < r.dst < 1000} == {(0, k) for k in range(1, 41)}
