@@ -381,3 +381,14 @@ def test_heaviest_matchings_of_parts_add_up():
         m[x, y] = n
         taken = scoring.heaviest(x, y, n)
         assert len(set(x[taken])) == taken.sum() == len(set(y[taken])) and n[taken].sum() == m[np.arange(4), g.hungarian(m.max() - m)].sum()
+
+
+def test_strongest_alleles_are_not_shuffled(spark, monkeypatch):
+    alleles = frame(spark, "c1 long, c2 long", (1, 2), (2, 3), (1, 3), (5, 4), (4, 5), (7, 8))
+    links = [(1, 9, 4), (2, 9, 4), (3, 9, 5), (4, 9, 1), (5, 9, 1), (1, 2, 3), (6, 7, 1), (7, 7, 5), (6, 9, 1)]
+    want = {(9, "1-2", 1, 4), (9, "2-3", 3, 5), (9, "1-3", 3, 5), (9, "5-4", 4, 1), (9, "4-5", 4, 1), (1, "1-2", 2, 3), (1, "2-3", 2, 3), (2, "1-2", 1, 3), (2, "1-3", 1, 3), (6, "7-8", 7, 1)}
+    for side in (scoring.SIDE, 2):  # all in one task, and many blocks on both sides
+        monkeypatch.setattr(scoring, "SIDE", side)
+        out = scoring.strongest_allele(frame(spark, "contig1 long, contig2 long, n long", *links), alleles)
+        assert sorted(tuple(r) for r in out.collect()) == sorted(want)
+        assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
