@@ -46,13 +46,17 @@ def bit_counts(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    h = hashes(text, shingle)
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; 0 without hashes."""
     if not len(h):
         return 0
     return int(np.packbits(bit_counts(h) * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    return majority(hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """All columns of docs but text, with fp (the 64 bits as a signed long)."""
     keep = [c for c in docs.columns if c != "text"]
@@ -345,13 +349,33 @@ def unmet(met: DataFrame, roots: DataFrame, sketches: DataFrame, texts: DataFram
     return grouped(flagged).join(held, "node").groupBy("group").applyInArrow(settle, "a long, b long").distinct()
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def starred(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) with a tile each, in which many a meet few b; only b of more than one tile's side are looked up: few, so that no b's pairs have to meet for it."""
+    many = pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > SIDE).withColumnRenamed("b", "of")
+    return pairs.join(many, F.col("b") == F.col("of"), "left").select("a", "b", F.xxhash64("b", F.pmod(F.xxhash64("a"), pieces(F.coalesce("n", F.lit(1))))).alias("tile"))
+
+
+def close(classes: DataFrame, distance: int) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints are linked: nodes of one fingerprint with their least, and the least nodes of linked fingerprints. classes: node, fp."""
+    heads = materialize(classes.groupBy("fp").agg(F.min("node").alias("head")))
+    same = classes.join(heads, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    one, two = heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), heads.select(F.col("fp").alias("b"), F.col("head").alias("y"))
+    return same.unionByName(links(heads.select("fp"), distance).join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
+def rooted(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, root) for every class, its own root where none was found."""
+    return classes.select("node").join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 2) -> DataFrame:
     """docs without all but one of each group of near copies: the one with the smallest doc_id (null last) stays.
 
     Word shingles, A-Z lower-cased; a text of fewer words is one shingle, empty and null texts are copies of each other. Exact copies are one class
-    from the start. Classes meet where they agree in one of the bands of a MinHash sketch, whose form doesn't depend on the table. First, each bucket's
-    members are compared with one leader, which makes one component of most groups without pairs; then all members of a bucket whose components
-    still differ are compared with each other. Links are settled by the shingles. Groups are connected components, so which one stays depends neither on
+    from the start. SimHash comes first: fingerprints of the shingles that differ in at most `distance` bits are linked (links(), as in near_duplicates()), and
+    linked texts meet. What fingerprints can't tell (at a similarity of 0.8 they differ in up to 14 bits) is looked for among texts whose components still differ, which
+    meet where they agree in one of the bands of a MinHash sketch, whose form doesn't depend on the table: each bucket's members with one leader, then
+    all members of a bucket whose components still differ with each other. Links are settled by the shingles. Groups are connected components, so which one stays depends neither on
     the order of rows nor on the leaders. Repeated rows (equal doc_id and text) are copies, of which one comes back (rows that differ in other columns
     only: any). Very long texts are hashed whole. An empty table gives no rows; all columns stay, whatever their names.
     """
@@ -359,11 +383,15 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
 
     def sketch_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            own = [sketch(hashes(t, shingle)).tobytes() for t in raw(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("md"), pa.array(own, pa.binary())], names=["doc_id", "md", "sketch"])
+            own, fps = [], []
+            for t in raw(batch.column("text")):
+                h = hashes(t, shingle)
+                own.append(sketch(h).tobytes())
+                fps.append(majority(h))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("md"), pa.array(own, pa.binary()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "md", "sketch", "fp"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text.cast("binary")).alias("md"), text.alias("text")).mapInArrow(sketch_all, "doc_id long, md string, sketch binary")
-    classes = materialize(own.groupBy("md").agg(F.min("doc_id").alias("first"), F.min("sketch").alias("sketch")).withColumn("node", F.xxhash64("md")))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text.cast("binary")).alias("md"), text.alias("text")).mapInArrow(sketch_all, "doc_id long, md string, sketch binary, fp long")
+    classes = materialize(own.groupBy("md").agg(F.min("doc_id").alias("first"), F.min("sketch").alias("sketch"), F.min("fp").alias("fp")).withColumn("node", F.xxhash64("md")))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -375,19 +403,21 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     led = members.groupBy("slot").agg(F.min_by("node", F.xxhash64("node")).alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     met = materialize(members.join(led, "slot"))
     texts, nodes = docs.select(F.md5(text.cast("binary")).alias("md"), text.alias("text")), classes.select("md", "node")
-    pairs = materialize(met.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
-    # only leaders of more than one tile's side are looked up: few, so that no leader's pairs have to meet for it
-    many = pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > SIDE).withColumnRenamed("b", "of")
-    stars = pairs.join(many, F.col("b") == F.col("of"), "left").select("a", "b", F.xxhash64("b", F.pmod(F.xxhash64("a"), pieces(F.coalesce("n", F.lit(1))))).alias("tile"))
-    linked = materialize(settled(stars, texts, nodes, shingle, similarity))
+    near = materialize(close(classes.select("node", "fp"), distance))
+    linked = materialize(settled(starred(near), texts, nodes, shingle, similarity))
+    roots = materialize(rooted(classes, components(linked)))
+    one, two = roots.select(F.col("node").alias("a"), F.col("root").alias("r1")), roots.select(F.col("node").alias("b"), F.col("root").alias("r2"))
+    pairs = met.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    pairs = materialize(pairs.join(one, "a").join(two, "b").where("r1 <> r2").select("a", "b"))
+    linked = materialize(linked.unionByName(settled(starred(pairs), texts, nodes, shingle, similarity)))
     found = components(linked)
-    roots = classes.select("node").join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", F.coalesce("root", "node").alias("root"))
+    roots = rooted(classes, found)
     rest = materialize(unmet(met, roots, classes.select("node", "sketch"), texts, nodes, shingle, similarity))
     if not rest.isEmpty():
         found = components(linked.unionByName(rest))
-    rooted = classes.select("md", "first", F.col("node").alias("own")).join(found, F.col("own") == F.col("node"), "left").select("md", "first", F.coalesce("root", "own").alias("root"))
+    placed = classes.select("md", "first", F.col("node").alias("own")).join(found, F.col("own") == F.col("node"), "left").select("md", "first", F.coalesce("root", "own").alias("root"))
     md, first, own_md, n = fresh(docs.columns, "__md", "__first", "__own", "__n")
-    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "md")).alias("best")).select(F.col("best.md").alias(md), F.col("best.first").alias(first))
+    best = placed.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "md")).alias("best")).select(F.col("best.md").alias(md), F.col("best.first").alias(first))
     once = Window.partitionBy(md, first).orderBy(F.lit(0))
     kept = docs.withColumn(own_md, F.md5(text.cast("binary"))).join(best, (F.col(own_md) == F.col(md)) & F.col("doc_id").eqNullSafe(F.col(first)))
     return kept.withColumn(n, F.row_number().over(once)).where(F.col(n) == 1).select(*docs.columns)

@@ -507,3 +507,17 @@ def test_bounds_never_lie_below_the_product(n, seed, size):
         assert len(c) == 30 or size > 1e100
         kept = topk.survivors(block.part(i, i + 1), x, np.array([np.median(want[i])]))[1]
         assert size > 1e100 or set(np.flatnonzero(want[i] >= np.median(want[i]))) <= set(kept.tolist())
+
+
+def test_near_copies_are_linked_by_fingerprints(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    for n in range(500, 4000, 50):  # until one word more changes one or two bits
+        words = [f"w{i}" for i in rng.integers(0, 5000, n)]
+        one, two = " ".join(words), " ".join([*words, "end"])
+        if 1 <= (simhash.fingerprint(one.encode(), 5) ^ simhash.fingerprint(two.encode(), 5)).bit_count() <= 2:
+            break
+    rows = [(1, one), (2, two), (3, " ".join(words[::-1]))]
+    seen, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda fps, distance: seen.append((links(fps, distance).count(), distance)) or links(fps, distance))
+    out = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in out} == {1, 3} and seen == [(1, 2)]
