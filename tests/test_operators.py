@@ -392,3 +392,19 @@ def test_strongest_alleles_are_not_shuffled(spark, monkeypatch):
         out = scoring.strongest_allele(frame(spark, "contig1 long, contig2 long, n long", *links), alleles)
         assert sorted(tuple(r) for r in out.collect()) == sorted(want)
         assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_graphs_in_files_are_clustered_alike(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    src, dst = np.triu_indices(60, 1)
+    some = rng.random(len(src)) < np.where(src % 4 == dst % 4, 0.8, 0.1)
+    src, dst, w = src[some], dst[some], rng.integers(1, 9, some.sum()).astype(float)
+    want = g.leiden(60, src, dst, w)
+    monkeypatch.setattr(g, "CHUNK", 16)
+    spool = g.Spool(str(tmp_path))
+    for k in range(0, len(src), 7):
+        spool.add(src[k : k + 7], dst[k : k + 7], w[k : k + 7])
+    graph = spool.network(str(tmp_path))
+    assert isinstance(graph.heads, np.memmap) and isinstance(graph.folded(np.arange(60) // 2, 30).weights, np.memmap)
+    assert g.clustered(graph).tolist() == want.tolist()
+    assert {len({want[v] for v in range(60) if v % 4 == k}) for k in range(4)} == {1}
