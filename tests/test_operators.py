@@ -408,3 +408,12 @@ def test_graphs_in_files_are_clustered_alike(spark, tmp_path, monkeypatch):
     assert isinstance(graph.heads, np.memmap) and isinstance(graph.folded(np.arange(60) // 2, 30).weights, np.memmap)
     assert g.clustered(graph).tolist() == want.tolist()
     assert {len({want[v] for v in range(60) if v % 4 == k}) for k in range(4)} == {1}
+
+
+def test_more_groups_than_a_driver_holds_are_merged(spark):
+    from skein.plans.partition import merged_to
+
+    n = 460  # groups, each of one contig, every two with an edge: over 100 000 block sums
+    edges = spark.range(n * n).selectExpr("id div 460 AS src", "id % 460 AS dst").where("src < dst").selectExpr("src", "dst", "IF(src % 2 = dst % 2, 5.0D, 1.0D) AS w")
+    got = {r.contig: r.grp for r in merged_to(edges, spark.range(n).selectExpr("id AS contig", "id AS grp"), 2).collect()}
+    assert got == {c: c % 2 for c in range(n)}
