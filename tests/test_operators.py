@@ -417,3 +417,11 @@ def test_more_groups_than_a_driver_holds_are_merged(spark):
     edges = spark.range(n * n).selectExpr("id div 460 AS src", "id % 460 AS dst").where("src < dst").selectExpr("src", "dst", "IF(src % 2 = dst % 2, 5.0D, 1.0D) AS w")
     got = {r.contig: r.grp for r in merged_to(edges, spark.range(n).selectExpr("id AS contig", "id AS grp"), 2).collect()}
     assert got == {c: c % 2 for c in range(n)}
+
+
+def test_rescue_reads_a_component_batch_by_batch(spark):
+    edges = frame(spark, "src long, dst long, w double", (1, 10, 9.0), (1, 20, 5.0), (2, 10, 8.0), (1, 2, 50.0), (3, 20, 7.0), (3, 10, 9.0))
+    sizes = frame(spark, "contig long, length long", (1, 50), (2, 40), (3, 30), (10, 5), (20, 5))
+    out = scoring.rescued(edges, frame(spark, "contig long, grp long", (10, 100), (20, 200), (30, 300)), sizes, frame(spark, "c1 long, c2 long", (3, 10), (4, 5)), least=5, share=0.5)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.contig: r.grp for r in out.collect()} == {10: 100, 20: 200, 30: 300, 1: 100, 2: 100}
