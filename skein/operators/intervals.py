@@ -104,6 +104,10 @@ def overlap_fraction(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
 
 
 def window_counts(wins: DataFrame, alignments: DataFrame, least: float = 0.5) -> DataFrame:
-    """Alignments that cover at least this share of each window; windows without any count 0."""
+    """Alignments that cover at least this share of each window; windows without any count 0.
+
+    Windows are made from few contigs, so the planner takes them for few and would broadcast them through the driver: they are joined by sorts.
+    """
+    wins = wins.hint("merge")
     hits = overlap_fraction(alignments, wins, least).groupBy("chrom", F.col("b_start").alias("start_pos"), F.col("b_end").alias("end_pos")).agg(F.count("*").alias("n"))
     return wins.join(hits, ["chrom", "start_pos", "end_pos"], "left").select("chrom", "start_pos", "end_pos", F.coalesce("n", F.lit(0)).alias("n"))

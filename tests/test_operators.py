@@ -425,3 +425,10 @@ def test_rescue_reads_a_component_batch_by_batch(spark):
     out = scoring.rescued(edges, frame(spark, "contig long, grp long", (10, 100), (20, 200), (30, 300)), sizes, frame(spark, "c1 long, c2 long", (3, 10), (4, 5)), least=5, share=0.5)
     assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert {r.contig: r.grp for r in out.collect()} == {10: 100, 20: 200, 30: 300, 1: 100, 2: 100}
+
+
+def test_windows_are_not_broadcast(spark):
+    wins = iv.windows(spark.range(1, 2).selectExpr("id AS chrom", "2000L AS length"), 1000, 500)  # known to be small
+    out = iv.window_counts(wins, spark.range(2).selectExpr("1L AS chrom", "400 * id AS start_pos", "600 + 900 * id AS end_pos"))
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.start_pos, r.n) for r in out.collect()} == {(0, 2), (500, 1), (1000, 1), (1500, 0)}
