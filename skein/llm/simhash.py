@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -11,11 +12,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import distinct, fresh, materialize, mix, raw, sliced
+from . import common
+from .common import distinct, fresh, mix, raw, sliced
 
+#: The steps here are many, so what one has shuffled goes before the next one begins.
+materialize = partial(common.materialize, release=True)
 LANES = np.uint64(0x0101010101010101)
 #: Buckets of at most this many fingerprints are compared pair by pair; larger ones go the exact way without pairs.
 PAIRS_UP_TO = 24
+#: Graphs of at most this many edges are united on the driver, some 2 MB; larger ones in rounds of joins.
+UNITED = 100_000
 
 
 def hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -103,29 +109,49 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
     keys = keyed(fps, masks)
     counted = keys.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(keys.join(counted, ["table", "key"]))
-    small = members.where(F.col("n") <= PAIRS_UP_TO).select("table", "key", "fp")
-    other = small.select("table", "key", F.col("fp").alias("b"))
-    pairs = small.join(other, ["table", "key"]).where((F.col("fp") < F.col("b")) & (apart(F.col("fp"), F.col("b")) <= distance)).select(F.col("fp").alias("a"), "b")
-    large = members.where(F.col("n") > PAIRS_UP_TO)
-    cleared = None
-    for i, m in enumerate(masks):
+    small = members.where(F.col("n") <= PAIRS_UP_TO).groupBy("table", "key").agg(F.collect_list("fp").alias("fps"))
+    pairs = small.select(F.explode("fps").alias("a"), "fps").select("a", F.explode("fps").alias("b")).where((F.col("a") < F.col("b")) & (apart(F.col("a"), F.col("b")) <= distance))
+    choices = []
+    for m in masks:
         free = [b for b in range(64) if not m >> b & 1]
-        choices = F.array(*[F.lit(signed(sum(1 << b for b in chosen) ^ (2**64 - 1))) for chosen in combinations(free, distance)])
-        part = large.where(F.col("table") == i).select("fp", F.posexplode(choices).alias("choice", "mask"))
-        part = part.select("fp", F.lit(i).alias("table"), "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-        cleared = part if cleared is None else cleared.unionByName(part)
-    least = cleared.groupBy("table", "choice", "key").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = cleared.join(least, ["table", "choice", "key"]).where("fp <> a").select("a", F.col("fp").alias("b"))
+        choices.append(F.array(*[F.lit(signed(sum(1 << b for b in chosen) ^ (2**64 - 1))) for chosen in combinations(free, distance)]))
+    own = F.get(F.array(*choices), F.col("table"))
+    cleared = members.where(F.col("n") > PAIRS_UP_TO).select("fp", "table", F.posexplode(own).alias("choice", "mask"))
+    cleared = cleared.select("fp", "table", "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+    # at most 2 ** distance fingerprints have a key in common, so no window is large
+    least = F.min("fp").over(Window.partitionBy("table", "choice", "key"))
+    stars = cleared.select(least.alias("a"), F.col("fp").alias("b")).where("a <> b")
     return pairs.unionByName(stars).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def united(edges: DataFrame) -> DataFrame:
+    """components() of few edges (u, v), found on the driver: each node under the least one that it reaches."""
+    table = edges.toArrow()
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for u, v in zip(table.column("u").to_pylist(), table.column("v").to_pylist(), strict=True):
+        u, v = top(u), top(v)
+        root[max(u, v)] = min(u, v)
+    nodes = sorted(root)
+    found = pa.table([pa.array(nodes, pa.int64()), pa.array(map(top, nodes), pa.int64())], names=["node", "root"])
+    return F.broadcast(edges.sparkSession.createDataFrame(found))
+
+
+def components(edges: DataFrame, rounds: int = 60, few: int = UNITED) -> DataFrame:
     """(node, root) for every node of the edges (a, b): the least node that it reaches. Alternates large and small stars until nothing changes.
 
     Every round is joins and minima keyed by node, and its result goes to the checkpoint folder, so no component is gathered in one place. Rounds grow with the
-    logarithm of the longest path; should `rounds` not do, this is an error, never an unfinished result.
+    logarithm of the longest path; should `rounds` not do, this is an error, never an unfinished result. Up to `few` edges need no rounds: they are united on the
+    driver, with the same result.
     """
     current = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if current.count() <= few:
+        return united(current)
     before = None
     for _ in range(rounds):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -236,7 +262,8 @@ def settled(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int,
 
     Only the pairs' own texts are fetched, and each set goes once to every tile that one of its pairs is in; small tiles share a group.
     """
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node"), "tile").distinct()
+    pairs = materialize(pairs)
+    asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node"), "tile").distinct())
     groups = F.lit(max(1, asked.count() // (2 * SIDE)))
     grouped = F.pmod(F.xxhash64("tile"), groups).alias("group")
     held = shingle_sets(asked, texts, nodes, shingle)

@@ -1,8 +1,10 @@
 """Decontamination, substring deduplication, SimHash, language model, mixing, top-k: brute force on small fixtures, edge cases, hot groups."""
 
 import math
+import time
 from collections import Counter, defaultdict
 from hashlib import md5, sha256
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -521,3 +523,55 @@ def test_near_copies_are_linked_by_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(simhash, "links", lambda fps, distance: seen.append((links(fps, distance).count(), distance)) or links(fps, distance))
     out = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id for r in out} == {1, 3} and seen == [(1, 2)]
+
+
+# --- Many short steps on little data: what they leave on disk ---------------------------------------------------------------------------------
+
+
+def shuffle_files(spark):
+    folders = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()
+    return {f for folder in folders for f in Path(str(folder)).rglob("shuffle_*")}
+
+
+def test_near_copy_steps_are_few_and_leave_no_shuffle_files(spark):
+    rng = np.random.default_rng(31)
+    words = [f"w{i}" for i in range(600)]
+    rows = []
+    for text in sentences(rng, words, 40, 60, 90):
+        rows += [(len(rows), text), (len(rows) + 1, text + " more"), (len(rows) + 2, text)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).checkpoint()
+    context, before = spark.sparkContext, shuffle_files(spark)
+    context.setJobGroup("near copies", "near copies")
+    try:
+        out = simhash.keep_one(d)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    stages = {s for j in context.statusTracker().getJobIdsForGroup("near copies") for s in context.statusTracker().getJobInfo(j).stageIds}
+    for _ in range(50):  # files go in the background
+        if len(left := shuffle_files(spark) - before) <= 100:
+            break
+        time.sleep(0.2)
+    print("stages", len(stages), "files", len(left))
+    assert len(stages) <= 200
+    assert len(left) <= 100  # those of a few counts
+    assert sorted(r.doc_id for r in out.collect()) == list(range(0, 120, 3))
+
+
+def test_components_are_the_same_in_rounds_and_on_the_driver(spark):
+    rng = np.random.default_rng(32)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-300, 300, (250, 2))] + [(2**63 - 1, -(2**63)), (5, 5), (700, 701), (702, 701), (703, 702), (704, 703)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    few, many = ({(r.node, r.root) for r in simhash.components(edges, few=n).collect()} for n in (10**6, -1))
+    assert few == many and (704, 700) in few and (2**63 - 1, -(2**63)) in few
+    assert len(few) == len({x for a, b in pairs if a != b for x in (a, b)})
+
+
+def test_links_within_large_buckets_need_no_pairs(spark):
+    fps = [a << 40 | b for a in range(3) for b in range(64)]  # one bucket of all masks that leave the low bits free
+    got = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long")).collect()}
+    assert all((a ^ b).bit_count() <= 2 and a < b for a, b in got) and len(got) < len(fps) * 30
+    root = {x: x for x in fps}
+    for _ in fps:
+        for a, b in got:
+            root[a] = root[b] = min(root[a], root[b])
+    assert set(root.values()) == {0}  # 1 << 40 and 2 << 40 are one bit from nought
