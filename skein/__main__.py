@@ -127,7 +127,7 @@ def clusters_of(x: Files) -> DataFrame:
 
 def partition_of(x: Files) -> DataFrame:
     gr = Graph(x)
-    found = partition.single_partition(gr.edges, gr.normalized(), gr.contigs, gr.alleles(), x.args.groups, shortest=x.args.length)
+    found = partition.single_partition(gr.edges, gr.normalized(), gr.contigs, gr.alleles(), x.args.groups, shortest=x.args.length, least_cis=0.0)
     return sinks.cluster_lines(gr.names(found.select(F.col("name").alias("grp"), "contig")))
 
 

@@ -1,5 +1,7 @@
 """Hand-checked values and invariants of the operators."""
 
+import itertools
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -432,3 +434,16 @@ def test_windows_are_not_broadcast(spark):
     out = iv.window_counts(wins, spark.range(2).selectExpr("1L AS chrom", "400 * id AS start_pos", "600 + 900 * id AS end_pos"))
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert {(r.start_pos, r.n) for r in out.collect()} == {(0, 2), (500, 1), (1000, 1), (1500, 0)}
+
+
+def test_single_partition_rescues_what_it_left_out(spark):
+    from skein.plans.partition import single_partition
+
+    # two groups 1-4 and 11-14, a short one 21-22; 5 to 7 have little cis weight: 5 is pulled enough, 6 is not, 7 is an allele of 1
+    blocks = [(a, b, 50.0) for own in (range(1, 5), range(11, 15), (21, 22)) for a, b in itertools.combinations(own, 2)]
+    rows = [*blocks, (5, 11, 9.0), (5, 12, 9.0), (6, 12, 3.0), (1, 7, 9.0), (2, 22, 6.0)]
+    cis = [(c, c, 100.0) for c in (*range(1, 5), *range(11, 15), 21, 22)] + [(c, c, 1.0) for c in (5, 6, 7)]
+    edges = frame(spark, "src long, dst long, w double", *rows, *cis)
+    sizes = frame(spark, "contig long, length long", *[(c, {21: 10, 22: 20}.get(c, 100)) for c, _, _ in cis])
+    got = single_partition(edges, edges.where("src <> dst"), sizes, frame(spark, "c1 long, c2 long", (1, 7)), 3, shortest=100).collect()
+    assert {r.contig: r.name for r in got} == dict.fromkeys((5, 11, 12, 13, 14), "Chr01") | dict.fromkeys((1, 2, 3, 4, 21, 22), "Chr02")
