@@ -447,3 +447,39 @@ def test_single_partition_rescues_what_it_left_out(spark):
     sizes = frame(spark, "contig long, length long", *[(c, {21: 10, 22: 20}.get(c, 100)) for c, _, _ in cis])
     got = single_partition(edges, edges.where("src <> dst"), sizes, frame(spark, "c1 long, c2 long", (1, 7)), 3, shortest=100).collect()
     assert {r.contig: r.name for r in got} == dict.fromkeys((5, 11, 12, 13, 14), "Chr01") | dict.fromkeys((1, 2, 3, 4, 21, 22), "Chr02")
+
+
+def test_components_of_any_number_of_edges(spark, monkeypatch):
+    pairs = [(int(a), int(b)) for a, b in np.random.default_rng(3).integers(0, 400, (240, 2)) if a != b]
+    least = {x: x for p in pairs for x in p}
+    while any(least[a] != least[b] for a, b in pairs):
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    names, found = g.stars(*np.array(pairs, dtype=np.int64).T)
+    assert dict(zip(names.tolist(), found.tolist(), strict=True)) == least
+    edges = frame(spark, "src long, dst long", *pairs)
+    for most in (1 << 20, 16):  # in one partition; in rounds
+        monkeypatch.setattr(g, "EDGES", most)
+        got = g.components(edges).collect()
+        assert {r.contig: r.component for r in got} == least and len(got) == len(least)
+
+
+def test_components_are_clustered_in_whatever_order_their_edges_come(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(5)
+    src, dst = np.triu_indices(40, 1)
+    own, w = np.repeat([7, 9, 11], len(src)), rng.random(3 * len(src)) + 4.0 * np.tile(src % 2 == dst % 2, 3)
+    src, dst, mix = np.tile(src, 3) + 100 * own, np.tile(dst, 3) + 100 * own, rng.permutation(len(own))
+    monkeypatch.setattr(g, "CHUNK", 1000)
+    for kinds in ([7, 9, 11], [9]):
+        parts = g.Parts(str(tmp_path))
+        for k in range(0, len(mix), 50):
+            at = mix[k : k + 50][np.isin(own[mix[k : k + 50]], kinds)]
+            parts.put(own[at], src[at], dst[at], w[at])
+        got = {key: (names, g.clustered(graph)) for key, names, graph in parts.networks()}
+        assert sorted(got) == kinds
+        for key in kinds:
+            names, back = np.unique(np.concatenate([src[own == key], dst[own == key]]), return_inverse=True)
+            assert (got[key][0] == names).all() and (got[key][1] == g.leiden(len(names), *np.split(back, 2), w[own == key])).all()
+    edges = frame(spark, "src long, dst long, w double", *zip(src.tolist(), dst.tolist(), w.tolist(), strict=True))
+    plan = g.communities(edges)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "Sort [component" not in plan
