@@ -483,3 +483,16 @@ def test_components_are_clustered_in_whatever_order_their_edges_come(spark, tmp_
     edges = frame(spark, "src long, dst long, w double", *zip(src.tolist(), dst.tolist(), w.tolist(), strict=True))
     plan = g.communities(edges)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroups" not in plan and "Sort [component" not in plan
+
+
+def test_resolution_search_does_no_round_that_it_can_do_without(spark, monkeypatch):
+    from skein.plans.partition import to_group_count
+
+    calls, own = [], g.communities
+    monkeypatch.setattr(g, "communities", lambda edges, resolution=1.0, group=None: calls.append(resolution) or own(edges, resolution, group))
+    cliques = [(10 * k + a, 10 * k + b, 1.0) for k in range(4) for a, b in itertools.combinations(range(4), 2)]
+    apart = frame(spark, "src long, dst long, w double", *cliques)
+    assert len({r.grp for r in to_group_count(apart, 3).collect()}) == 4 and calls == [0.1]  # one for each component, at any resolution
+    together = frame(spark, "src long, dst long, w double", *cliques, *[(10 * k, 10 * k + 10, 0.5) for k in range(3)])
+    assert len({r.grp for r in to_group_count(together, 2).collect()}) == 2 and calls == [0.1]  # one component: all in one task
+    assert len({r.grp for r in to_group_count(together, 4).collect()}) == 4
